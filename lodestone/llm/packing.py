@@ -10,32 +10,48 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.bpe import WORDS, specification, worker_encoder
 from lodestone.llm.common import cut, global_rank, id_type, text_batches
 
-_TOKENIZERS: dict[int, object] = {}
+_ENCODINGS: dict[int, Callable[[list[str | None]], list[list[int]]]] = {}
+#: Characters of a text above which the library's backtracking may give up; such texts go to the encoder of this package.
+_LIBRARY_CHARS = 500_000
 
 
-def _tokenizer(spec: str):
-    """The tokenizer of a JSON specification, made once in a worker."""
-    from tokenizers import Tokenizer
+def _encoding(spec: Broadcast) -> Callable[[list[str | None]], list[list[int]]]:
+    """A function from texts to ids for a specification, made once in a worker.
 
-    key = hash(spec)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        t = Tokenizer.from_str(spec)
-        t.no_truncation()
-        t.no_padding()
-        _TOKENIZERS[key] = t
-    return _TOKENIZERS[key]
+    Where the merges are in the order of their ids (so that an id is a rank), a library encodes by ranks; it gives the
+    ids that the specification gives. Other specifications go through the encoder of this package.
+    """
+    key = spec.value["key"]
+    if key not in _ENCODINGS:
+        import tiktoken
+
+        own = worker_encoder(spec)
+        plain = {b: i for i, b in own.bytes_of.items() if i not in own.special.values()}
+        by_rank = len(plain) + len(own.special) == len(own.bytes_of) and bool((np.diff(own.merged) > 0).all())
+        library = tiktoken.Encoding("corpus", pat_str=WORDS, mergeable_ranks=plain, special_tokens=own.special) if by_rank else None
+
+        def run(texts: list[str | None]) -> list[list[int]]:
+            return [library.encode(x or "", allowed_special="all") if library and len(x or "") <= _LIBRARY_CHARS else own.encode([x])[0].tolist() for x in texts]
+
+        _ENCODINGS.clear()
+        _ENCODINGS[key] = run
+    return _ENCODINGS[key]
+
+
+#: Rows of the table of places up to which it is sent to every executor; a larger one is joined by a shuffle.
+BROADCAST_PLACES = 200_000
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -93,24 +109,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     The tokenizer's file is read on the driver and travels with the function (its size is that of a vocabulary).
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    spec = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())
+    text_batches(docs.sparkSession)
+    spec = specification(docs, tokenizer_path)
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(spec.value)
+        encode = _encoding(spec)
         for b in batches:
-            texts = b.column(1).to_pylist()
             of, start, length, crc, total, ids = [], [], [], [], [], []
-            for at in range(0, len(texts), 32):
-                for k, e in enumerate(tok.encode_batch_fast([x or "" for x in texts[at : at + 32]], add_special_tokens=False), at):
-                    a = np.array([*e.ids, end_id], dtype="<u4")
-                    for s in range(0, len(a), capacity):
-                        part = a[s : s + capacity]
-                        of.append(k), start.append(s), length.append(len(part)), crc.append(zlib.crc32(part.tobytes())), total.append(len(a))
-                        if with_ids:
-                            ids.append(part.astype(np.int32))
+            for k, x in enumerate(b.column(1)):
+                a = np.array([*encode([x.as_py()])[0], end_id], dtype="<u4")
+                for s in range(0, len(a), capacity):
+                    part = a[s : s + capacity]
+                    of.append(k), start.append(s), length.append(len(part)), crc.append(zlib.crc32(part.tobytes())), total.append(len(a))
+                    if with_ids:
+                        ids.append(part.astype(np.int32))
             arrays = [b.column(0).take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(ids, pa.list_(pa.int32()))] * with_ids], names)
 
@@ -124,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     Null and empty texts are a document of ``end_id`` alone. Repeated rows are packed each; a null id stays null. An
     empty table gives an empty result. The table of places is bounded by the histogram (one row for each pattern and
-    length), not by the documents, and is joined as the optimizer sees fit.
+    length), not by the documents.
     """
     spark = docs.sparkSession
     cutted = cut(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids))
@@ -134,5 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ranked = global_rank(slim, ["length"], ["id", "start", "ids_crc32", "doc_tokens"], "rank")
     where = spark.createDataFrame(table, "p_length long, low long, high long, first_sequence long, `offset` long")
     on = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    if len(table) <= BROADCAST_PLACES:
+        where = F.broadcast(where)
     placed = ranked.join(where, on).withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("low"))
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "sequence_id", "offset")
