@@ -6,8 +6,9 @@ Consecutive windows with the same minimiser make a super-k-mer, a passage that t
 Passages go first as a digest only. Equal passages are one entry with the smallest document id, so copies cost a row
 each and never meet in a task. Passages that share a minimiser but differ travel as one packed string of each distinct
 passage; in its bucket all windows are sorted, and runs of equal windows give the smallest document that has them.
-Buckets with more than ``bucket_rows`` distinct passages are dealt by their windows instead, whose smallest documents
-are partial sums before the shuffle.
+A bucket with more than ``bucket_rows`` distinct passages is split into lots of about that size. Each lot is sorted in
+the same way and sends its distinct windows' digests on, dealt by digest into as many parts as there are lots; a part
+holds one row for each lot and compares the lots' smallest documents.
 """
 
 from __future__ import annotations
@@ -108,8 +109,8 @@ def passages(docs: DataFrame, id_col: str, text_col: str, window: int, seed_word
 
 
 def _packed(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(key, sid, low, hot, packed): the words of each wanted passage (id, tid, start, n, key, sid, low, hot)."""
-    fields = ["start", "n", "key", "sid", "hot"]
+    """(key, sid, lot, lots, low, packed): the words of each wanted passage (id, tid, start, n, key, sid, lot, lots)."""
+    fields = ["start", "n", "key", "sid", "lot", "lots"]
     lists = wanted.groupBy("id", "tid").agg(F.collect_list(F.struct(*fields)).alias("parts"))  # at most a document's passages
     texts = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("tid"), F.col(text_col).cast("binary").alias("text")).filter(F.col("id").isNotNull())
 
@@ -120,11 +121,11 @@ def _packed(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wind
                 flat, at = b" ".join(words), _bounds(words)
                 parts = b.column(2)[k].as_py()
                 packed = [flat[at[p["start"]] : at[p["start"] + p["n"] + window - 1] - 1] for p in parts]
-                columns = [pa.array([p[c] for p in parts], t) for c, t in (("key", pa.int64()), ("sid", pa.int64()), ("hot", pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(pa.array([k] * len(parts))), pa.array(packed, pa.binary())], ["key", "sid", "hot", "low", "packed"])
+                columns = [pa.array([p[c] for p in parts], t) for c, t in (("key", pa.int64()), ("sid", pa.int64()), ("lot", pa.int32()), ("lots", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(pa.array([k] * len(parts))), pa.array(packed, pa.binary())], ["key", "sid", "lot", "lots", "low", "packed"])
 
     joined = texts.join(lists, ["id", "tid"]).select("id", "text", "parts")
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("hot", T.BooleanType()), T.StructField("low", docs.schema[id_col].dataType), T.StructField("packed", T.BinaryType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("lot", T.IntegerType()), T.StructField("lots", T.IntegerType()), T.StructField("low", docs.schema[id_col].dataType), T.StructField("packed", T.BinaryType())])
     return joined.mapInArrow(run, schema)
 
 
@@ -134,55 +135,87 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
     return [packed[at[k] : at[k + window] - 1] for k in range(len(words) - window + 1)]
 
 
-def _sort_buckets(window: int):
-    """For partitions of (key, sid, low, packed) sorted by key: (key, sid, w) of windows that a smaller document has."""
+def _sort_lots(window: int):
+    """For partitions sorted by key and lot: rows (key, part, digests, lows, sids, ws).
 
-    def bucket(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        if len(rows) < 2:
-            return
-        found = sorted((x, low, sid, w) for _, sid, low, packed in rows for w, x in enumerate(_windows(packed, window)))
-        least, before = None, None
+    Part -1: windows ``ws`` of passage ``sids[0]``, each of which a smaller document of the lot has. Other parts, where
+    the key has further lots: the digests of the lot's distinct windows, dealt by digest, with their smallest document
+    and the passages and windows where that has them.
+    """
+
+    def lot(rows: list[tuple]) -> Iterator[tuple]:
+        key, lots = rows[0][0], rows[0][2]
+        found = sorted((x, low, sid, w) for _, _, _, sid, low, packed in rows for w, x in enumerate(_windows(packed, window)))
+        later: dict[int, list[int]] = {}
+        parts: dict[int, list[tuple]] = {}
+        least, before, digest = None, None, b""
         for x, low, sid, w in found:
             if x != before:
                 least, before = low, x
-            elif low > least:
-                yield rows[0][0], sid, w
+                digest = xxhash.xxh3_128_digest(x) if lots > 1 else b""
+            if low > least:
+                later.setdefault(sid, []).append(w)
+            elif lots > 1:
+                parts.setdefault(int.from_bytes(digest[:4], "big") % lots, []).append((digest, low, sid, w))
+        for sid, ws in later.items():
+            yield key, -1, [], [], [sid], ws
+        for part, entries in parts.items():
+            yield key, part, *map(list, zip(*entries, strict=True))
+
+    def out(rows: list[tuple], low_type: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*lot(rows), strict=True)) or [[]] * 6
+        types = [pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(low_type), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "part", "digests", "lows", "sids", "ws"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            got = list(bucket(rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got, strict=True) if got else ([], [], []))], ["key", "sid", "w"])
-
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and rows[0][0] != row[0]:
-                    yield out(rows)
+                if rows and rows[0][:2] != row[:2]:
+                    yield out(rows, b.column(4).type)
                     rows = []
                 rows.append(row)
         if rows:
-            yield out(rows)
+            yield out(rows, b.column(4).type)
 
     return run
 
 
-def _by_windows(hot: DataFrame, window: int) -> DataFrame:
-    """(key, sid, w) as from the buckets, for passages whose bucket is too large: each window by its digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                each = [[xxhash.xxh3_128_digest(x) for x in _windows(p.as_py(), window)] for p in part.column(3)]
-                of = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in each]))
-                w = pa.array([k for x in each for k in range(len(x))], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(of) for k in range(3)), w, pa.array([d for x in each for d in x], pa.binary())], ["key", "sid", "low", "w", "digest"])
-
-    schema = T.StructType([hot.schema["key"], hot.schema["sid"], hot.schema["low"], T.StructField("w", T.LongType()), T.StructField("digest", T.BinaryType())])
-    windows = cut(hot.select("key", "sid", "low", "packed").mapInArrow(run, schema))
-    first = cut(windows.groupBy("digest").agg(F.min("low").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least"))
-    return windows.join(first, "digest").filter("low > least").select("key", "sid", "w")
+def _resolve_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For partitions sorted by key and part: (key, sid, windows) of windows that a smaller document of another lot has."""
+    at, entries = None, []
+
+    def out() -> pa.RecordBatch:
+        least: dict[bytes, object] = {}
+        for digest, low, _, _ in entries:
+            if digest not in least or low < least[digest]:
+                least[digest] = low
+        later: dict[int, list[int]] = {}
+        for digest, low, sid, w in entries:
+            if low > least[digest]:
+                later.setdefault(sid, []).append(w)
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(later), pa.int64()), pa.array(list(later), pa.int64()), pa.array(list(later.values()), pa.list_(pa.int64()))], ["key", "sid", "windows"])
+
+    for b in batches:
+        for key, part, *lists in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != (key, part):
+                if entries:
+                    yield out()
+                at, entries = (key, part), []
+            entries.extend(zip(*lists, strict=True))
+    if entries:
+        yield out()
+
+
+def _shared_windows(packed: DataFrame, window: int) -> DataFrame:
+    """(key, sid, windows): the windows of each passage that a document smaller than the passage's first one has."""
+    low = packed.schema["low"].dataType.simpleString()
+    dealt = packed.select("key", "lot", "lots", "sid", "low", "packed").repartition("key", "lot").sortWithinPartitions("key", "lot")
+    found = cut(dealt.mapInArrow(_sort_lots(window), f"key long, part int, digests array<binary>, lows array<{low}>, sids array<long>, ws array<long>"))
+    parts = found.filter("part >= 0").repartition("key", "part").sortWithinPartitions("key", "part")
+    across = parts.mapInArrow(_resolve_parts, "key long, sid long, windows array<long>")
+    every = found.filter("part < 0").select("key", F.col("sids")[0].alias("sid"), F.col("ws").alias("windows")).unionByName(across)
+    return every.groupBy("key", "sid").agg(F.array_distinct(F.flatten(F.collect_list("windows"))).alias("windows"))  # at most a passage's windows
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed_words: int = SEED_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -196,12 +229,11 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = spans.groupBy("key", "sid").agg(F.min(F.struct("id", "tid", "start", "n")).alias("first"), F.max("id").alias("last"))
     one = cut(one.select("key", "sid", F.col("first.id").alias("id"), F.col("first.tid").alias("tid"), F.col("first.start").alias("start"), F.col("first.n").alias("n"), "last"))
     shared = cut(one.groupBy("key").agg(F.count("*").alias("distinct")).filter("distinct > 1"))
-    wanted = one.join(shared, "key").withColumn("hot", F.col("distinct") > bucket_rows)
+    wanted = one.join(shared, "key").withColumn("lots", F.ceil(F.col("distinct") / bucket_rows).cast("int"))
+    wanted = wanted.withColumn("lot", F.pmod(F.xxhash64("sid"), F.col("lots")).cast("int"))
     packed = cut(_packed(docs, wanted, id_col, text_col, window).distinct())
     slim_batches(docs.sparkSession)
-    dealt = packed.filter("NOT hot").select("key", "sid", "low", "packed").repartition("key").sortWithinPartitions("key")
-    inner = dealt.mapInArrow(_sort_buckets(window), "key long, sid long, w long").unionByName(_by_windows(packed.filter("hot"), window))
-    inner = cut(inner.groupBy("key", "sid").agg(F.collect_set("w").alias("windows")))  # at most a passage's windows
+    inner = cut(_shared_windows(packed, window))
     # a later document than the first loses the whole passage; the first one loses the windows that others have before it
     useful = cut(one.select("key", "sid", F.col("id").alias("low"), "last").join(inner, ["key", "sid"], "left").filter("last > low OR windows IS NOT NULL").drop("last"))
     hits = spans.join(useful, ["key", "sid"]).filter("id > low OR windows IS NOT NULL")
