@@ -1,0 +1 @@
+"""Curation, matching, splitting and scoring of scientific tables on Spark."""

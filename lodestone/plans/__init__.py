@@ -1,0 +1 @@
+"""Plans of several operators."""

@@ -1,11 +1,13 @@
-"""All queries of the library by name, with SQL of the same result where SQL can express it."""
+"""All queries of the library outside the corpus operators; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone.functions import arrays, composition
+from lodestone.operators import aggregates, joins, metrics, projections, sets, windows
+from lodestone.registry import ORACLE_SQL, QUERIES
+from lodestone.sources import files
+from lodestone.streaming import telemetry
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "agg_consensus_label"
+MODULES = (arrays, composition, aggregates, joins, metrics, projections, sets, windows, files, telemetry)
+__all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
