@@ -46,7 +46,7 @@ def outlier_classes(spark, sf):
     return j.select("p_partkey", cascade([((v < 905) & (m > 920), "low in high cloud"), ((v > 920) & (m < 905), "high in low cloud"), (F.abs(v - m) > 10, "mid")], "in").alias("class"))
 
 
-@query("SELECT a.l_orderkey, a.k = b.k AS aligned FROM (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey) AS k FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, list(CASE WHEN l_quantity > 49 THEN 'X' ELSE l_returnflag END ORDER BY l_linenumber, l_partkey) AS k FROM lineitem GROUP BY 1) b USING (l_orderkey)")
+@query("SELECT a.l_orderkey, a.k = b.k AS aligned FROM (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_returnflag) AS k FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, list(CASE WHEN l_quantity > 49 THEN 'X' ELSE l_returnflag END ORDER BY l_linenumber, l_partkey, CASE WHEN l_quantity > 49 THEN 'X' ELSE l_returnflag END) AS k FROM lineitem GROUP BY 1) b USING (l_orderkey)")
 def alignment_guard(spark, sf):
     """Both records of an id must have equal lists, order included."""
     def listed(c: Column, name: str) -> DataFrame:

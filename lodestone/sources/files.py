@@ -108,3 +108,117 @@ def source_chunked_resumable(spark, sf):
 @query("SELECT c_custkey, c_name FROM customer")
 def sink_atomic(spark, sf):
     return written(table(spark, sf, "customer").select("c_custkey", "c_name"))
+
+
+@query("SELECT doc_id % 5 AS material, CASE WHEN doc_id % 2 = 0 THEN 'dfpt' ELSE 'togo' END AS method, count(*) AS n FROM documents GROUP BY 1, 2")
+def scan_npz(spark, sf):
+    """Arrays of a material with the method that made them, as a partitioned table: a filter on the method reads only its files."""
+    path = scratch(spark)
+    method = F.when(F.col("doc_id") % 2 == 0, "dfpt").otherwise("togo")
+    table(spark, sf, "documents").select((F.col("doc_id") % 5).alias("material"), F.array(F.col("n_chars")).alias("values"), method.alias("method")).write.partitionBy("method").parquet(path)
+    return spark.read.parquet(path).groupBy("material", "method").agg(F.count("*").alias("n"))
+
+
+def read_header_fields(archives: DataFrame, member: str, fields: list[str]) -> DataFrame:
+    """(path, fields...) of the top-level ``key: value`` lines of an xz member of zip archives, as ``binaryFile`` reads them.
+
+    Lines are read until all fields are found, so the large tables after the header are never unpacked. A field that isn't
+    there is null; an archive without the member gives nulls.
+    """
+    import io
+    import lzma
+    import zipfile
+
+    import pandas as pd
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                found: dict[str, str | None] = dict.fromkeys(fields)
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [n for n in z.namelist() if n.rsplit("/", 1)[-1] == member]
+                    if names:
+                        with z.open(names[0]) as raw, lzma.open(raw, "rt", encoding="utf-8") as lines:
+                            for line in lines:
+                                key, colon, value = line.partition(":")
+                                if colon and found.get(key, "") is None:
+                                    found[key] = value.strip()
+                                    if all(v is not None for v in found.values()):
+                                        break
+                rows.append([path, *found.values()])
+            yield pd.DataFrame(rows, columns=["path", *fields])
+
+    return archives.select("path", "content").mapInPandas(read, ", ".join(["path string", *[f"{f} string" for f in fields]]))
+
+
+def read_cif_header(files: DataFrame) -> DataFrame:
+    """(path, formula, cell volume) from the tags of CIF text, one file a row as ``wholetext`` reads them; stray lines before the
+    data block don't matter. Structures themselves aren't built."""
+    formula = F.regexp_extract("value", r"(?m)^_chemical_formula_sum\s+['\"]?([^'\"\n]+?)['\"]?\s*$", 1)
+    volume = F.regexp_extract("value", r"(?m)^_cell_volume\s+([0-9.]+)", 1).try_cast("double")
+    return files.select("path", F.nullif(formula, F.lit("")).alias("formula"), volume.alias("volume"))
+
+
+@query("SELECT 'Nb' || (n_nationkey + 1) || ' Sn1' AS formula, n_nationkey + 0.5::DOUBLE AS volume FROM nation")
+def scan_cif(spark, sf):
+    path = scratch(spark)
+    n = F.col("n_nationkey")
+    body = F.concat(F.lit("stray\ndata_x\n_chemical_formula_sum 'Nb"), (n + 1).cast("string"), F.lit(" Sn1'\n_cell_volume "), (n + 0.5).cast("string"), F.lit("(3)"))
+    table(spark, sf, "nation").select(body.alias("value"), n).write.partitionBy("n_nationkey").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path"))
+    return read_cif_header(files).select("formula", "volume")
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def sink_pickle_csv_twin(spark, sf):
+    """The index as Parquet and as CSV with the same order of columns; the Parquet side is read back with the CSV's names."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    twin, path = written(s), scratch(spark)
+    twin.write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema(twin.schema).csv(path)
+
+
+def swap_in(df: DataFrame, target: str) -> None:
+    """Write beside ``target`` and rename when whole; what a broken run leaves is ``target.partial``, never a changed target."""
+    spark = df.sparkSession
+    part = f"{target}.partial"
+    df.write.mode("overwrite").parquet(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path(target)):
+        fs.delete(path(target), True)
+    if not fs.rename(path(part), path(target)):
+        raise OSError(f"could not move {part} to {target}")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def sink_partial_on_abort(spark, sf):
+    """A run that fails midway leaves the table that was there as it was."""
+    from pyspark.errors import PySparkException
+
+    n, target = table(spark, sf, "nation").select("n_nationkey", "n_name"), scratch(spark)
+    swap_in(n, target)
+    broken = n.withColumn("n_name", F.when(F.col("n_nationkey") < 10, F.col("n_name")).otherwise(F.raise_error("the source broke off")))
+    try:
+        swap_in(broken, target)
+    except PySparkException:
+        pass
+    return spark.read.schema(n.schema).parquet(target)
+
+
+@query("SELECT l_orderkey, count(*)::BIGINT AS n_nodes, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1")
+def sink_pack(spark, sf):
+    """Nested records in a columnar table; a later read takes only the parts it names."""
+    node = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    packed = written(table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(node).alias("nodes")))
+    return packed.select("l_orderkey", F.size("nodes").cast("long").alias("n_nodes"), F.array_min("nodes.l_linenumber").alias("first_line"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE value > 10")
+def sink_incremental_csv(spark, sf):
+    """Two appends to the same CSV table; readers see whole files only."""
+    e, path = table(spark, sf, "events").filter("value > 10").select("event_id", "event_type"), scratch(spark)
+    for odd in (0, 1):
+        e.filter(F.col("event_id") % 2 == odd).write.mode("append").csv(path)
+    return spark.read.schema(e.schema).csv(path)
