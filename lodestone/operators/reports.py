@@ -159,14 +159,14 @@ def masked_cross_entropy_rows(spark, sf):
     return e.groupBy("event_type").agg(F.round(F.avg(-F.log("p")), 6).alias("loss"), F.count("*").alias("n"))
 
 
-@query(f"SELECT id, round(exp((ln(1 + p) + ln(1 + y)) / 2) - 1, 2) AS pred, round(abs(p - y) / 2, 3) AS spread, round(((p > 150000)::INT + (y > 150000)::INT) / 2, 3) AS p_class FROM {_TRUTH}")
+@query(f"SELECT id, round(exp((ln(1 + p) + ln(1 + y)) / 2) - 1, 2) AS pred, round(abs(ln(1 + p) - ln(1 + y)) / 2, 6) AS spread, round(((p > 150000)::INT + (y > 150000)::INT) / 2, 3) AS p_class FROM {_TRUTH}")
 def ensemble_predict(spark, sf):
     """The seeds of a row are columns, so their mean in log1p, population deviation and class share need no shuffle."""
     seeds = F.array("p", "y")
     total = lambda f: F.aggregate(seeds, F.lit(0.0), lambda s, x: s + f(x))
-    mean = total(lambda x: x) / 2
-    spread = F.sqrt(F.aggregate(seeds, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / 2)
-    return estimates(spark, sf).select("id", F.round(F.expm1(total(F.log1p) / 2), 2).alias("pred"), F.round(spread, 3).alias("spread"), F.round(total(lambda x: (x > 150000).cast("double")) / 2, 3).alias("p_class"))
+    mean = total(F.log1p) / 2
+    spread = F.sqrt(total(lambda x: (F.log1p(x) - mean) * (F.log1p(x) - mean)) / 2)
+    return estimates(spark, sf).select("id", F.round(F.expm1(mean), 2).alias("pred"), F.round(spread, 6).alias("spread"), F.round(total(lambda x: (x > 150000).cast("double")) / 2, 3).alias("p_class"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(median(l_extendedprice), 3) AS p50, round(quantile_cont(l_extendedprice, 0.05), 3) AS p5, round(quantile_cont(l_extendedprice, 0.95), 3) AS p95 FROM lineitem GROUP BY 1, 2")
