@@ -30,6 +30,14 @@ def test_sublattice_fit():
     assert chemistry.sublattice_fit({"La": 1.85, "Sr": 0.15, "Cu": 1}, {"La": 2, "Cu": 1}) == pytest.approx(0.2)
 
 
+def test_subshells(spark):
+    # Z, charge and outer electrons in s, p, d and f.
+    for z, charge, want in [(1, 0, [1, 0, 0, 0]), (1, 3, [0, 0, 0, 0]), (8, 0, [2, 4, 0, 0]), (10, 0, [2, 6, 0, 0]), (26, 0, [2, 0, 6, 0]), (26, 3, [0, 0, 5, 0]), (60, 3, [0, 0, 0, 3]), (83, 3, [2, 0, 10, 14])]:
+        assert chemistry.subshells(z, charge) == want
+    blocks = {r["z"]: r["block"] for r in QUERIES["fn_atom_init"](spark, SF).collect()}
+    assert len(blocks) == 118 and [blocks[z] for z in (3, 8, 20, 26, 30, 31, 60, 83)] == ["s", "p", "s", "d", "d", "p", "f", "p"]
+
+
 def test_parse_edge_cases(spark):
     df = spark.createDataFrame([(None,), ("",), ("La2(CuO4)",), ("La2CuO-y",), ("O1.2.3",), ("Cu2Cu1",)], "f string")
     assert [r[0] for r in df.select(composition.parse(F.col("f"))).collect()] == [None, None, None, None, None, {"Cu": 3.0}]
