@@ -260,6 +260,22 @@ def test_caps(spark, block_rows):
     assert caps.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_caps_recall_at_the_threshold(spark):
+    """Pairs just over the threshold among tens of thousands of vectors; others are far from all."""
+    r = np.random.default_rng(12)
+    x = r.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((3000, 64))
+    y -= (x[:3000] * y).sum(axis=1, keepdims=True) * x[:3000]
+    y = 0.9001 * x[:3000] + np.sqrt(1 - 0.9001**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(np.concatenate((x, y)).tolist())], "vec_id long, embedding array<double>")
+    got = {g["vec_id"]: g for g in caps.near_duplicates(df).filter("n_links > 0").collect()}
+    assert all(g["n_links"] == 1 and g["component_id"] == k for k, g in got.items() if k < 3000)
+    missed = [k for k in range(3000) if k not in got]
+    assert not any(3000 <= k < 20_000 for k in got) and len(missed) <= 0.01 * 3000
+    assert all(got[20_000 + k]["component_id"] == k and not got[20_000 + k]["kept"] for k in range(3000) if k in got)
+
+
 def test_neighbours(spark):
     v = vectors()
     df = spark.createDataFrame([(k, x, 1) for k, x in v.items()], "vec_id long, embedding array<float>, q int").repartition(3)
