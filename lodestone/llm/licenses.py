@@ -112,7 +112,8 @@ class Scanner:
         texts = [words_of(x.encode()) for _, x in templates]
         self.labels, self.sizes = [label for label, _ in templates], [len(x) for x in texts]
         self.number: dict[bytes, int] = {}
-        self.automaton = Automaton([[self.number.setdefault(w, len(self.number)) for w in x] for x in texts])
+        sequences = [[self.number.setdefault(w, len(self.number)) for w in x] for x in texts]
+        self.automaton, self.each = Automaton(sequences), [Automaton([x]) for x in sequences]
         self.least, self.gap, self.share = least, gap, share
 
     def places(self, words: list[bytes]) -> list[tuple[str, int]]:
@@ -142,9 +143,13 @@ class Scanner:
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a < self.least:
                 continue
-            for start, n, ends in self.automaton.matches(numbers[a:b].tolist(), self.least):
-                start += a
-                for t, end in ends.items():
+            part = numbers[a:b].tolist()
+            if not self.automaton.matches(part, self.least):
+                continue
+            # a run may grow into another template; each template's own maximal runs count
+            for t, own in enumerate(self.each):
+                for start, n, ends in own.matches(part, self.least):
+                    start, end = start + a, ends[0]
                     chain = open_chains.get(t)
                     fresh = 0 if chain is None else min(n, start + n - max(start, chain[1]))
                     if chain and start - chain[1] <= self.gap and 0 < end - chain[3] <= self.gap + n and fresh > 0:

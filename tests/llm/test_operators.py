@@ -100,6 +100,18 @@ def test_licences(spark):
     assert not any(got[k]["spans"] for k in (0, 1, 2, 5, 7))
 
 
+def test_licence_that_goes_on_as_another():
+    """Each template whole, followed by the words that stand after its last words in another one."""
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES, 5, 6, 0.6)
+    for text in ("Licensed under the Apache License, Version 2.0. The code is here", "Licensed under the Apache License, Version 2.0 (the License); you may not copy it"):
+        assert ("apache-2.0", 0, 8, 8, 8) in scanner.spans(licenses.words_of(text.encode()))
+    every = [licenses.words_of(t.encode()) for _, t in licenses.TEMPLATES]
+    for (label, _), own in zip(licenses.TEMPLATES, every, strict=True):
+        for other in every:
+            for k in (k for k, w in enumerate(other) if w == own[-1]):
+                assert any(s[0] == label and s[1] == 0 and s[3] == s[4] == len(own) for s in scanner.spans(own + other[k + 1 : k + 6]))
+
+
 def test_automaton_against_all_runs():
     r = random.Random(1)
     for _ in range(60):
