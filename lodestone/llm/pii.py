@@ -4,8 +4,8 @@ Patterns find e-mail addresses, network addresses, card and phone numbers; each
 How strongly a term reveals an entity is estimated from the whole corpus: with P(c) the entity's occurrences for each
 document and P(c|t) the share of all occurrences of t that stand within ``REACH`` characters of c, the term's pointwise
 mutual information log P(c|t)/P(c) is compared with the entity's information -log P(c). A term that reaches the share
-``DISCLOSURE`` of it, stands nearer to c than anywhere else (P(c|t) over one half) and was seen ``SUPPORT`` times beside
-c is a span of its own wherever it stands beside c, and is generalised with it.
+``DISCLOSURE`` of it and was seen ``SUPPORT`` times beside c is a span of its own wherever it stands beside c, and is
+generalised with it. A term may give several entities away.
 """
 
 from __future__ import annotations
@@ -97,21 +97,20 @@ def _beside(text: Column, spans: Column) -> Column:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(term, entity, together, total, seen): the terms that give an entity away, from counts over all documents."""
+    """(term, entity, together, total, seen): the terms that give an entity away, for each one that they do, from counts over all documents."""
     beside = found.select(F.explode("beside").alias("b")).select("b.entity", "b.term", "b.start", "b.end")
     pairs = beside.groupBy("term", "entity").agg(F.count("*").alias("together"))
-    # only an entity with over half of a term's occurrences can pass, so each term has one candidate at most
-    top = F.max_by("entity", "together").alias("entity"), F.max("together").alias("together"), F.sum("together").alias("near")
-    likely = cut(pairs.groupBy("term").agg(*top).filter((F.col("together") >= support) & (2 * F.col("together") > F.col("near"))).select("term", "entity", "together"))
+    likely = cut(pairs.filter(F.col("together") >= support))
+    terms = cut(likely.select("term").distinct())
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(_TERM), F.lit(0))).alias("term"))
-    if likely.count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(likely.select("term")), "term", "left_semi")
+    if terms.count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(terms), "term", "left_semi")
     total = words.groupBy("term").agg(F.count("*").alias("total"))
     rows = found.count()
     seen = found.select(F.explode("base").alias("s")).select(_entity(F.col("s")).alias("entity")).groupBy("entity").agg(F.count("*").alias("seen"))
     known = cut(likely.join(total, "term")).join(cut(seen), "entity")
     share, often = F.col("together") / F.greatest("total", "together"), F.least(F.col("seen") / max(rows, 1), F.lit(0.5))
-    return known.filter((share > 0.5) & (F.log(share / often) >= disclosure * -F.log(often)))
+    return known.filter(F.log(share / often) >= disclosure * -F.log(often))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:

@@ -252,6 +252,15 @@ def test_pii_terms_and_text(spark):
     assert clean[0] == "worda [TERM] writes to [EMAIL] about lunch" and clean[6] == rows[6] and clean[45] is None
 
 
+def test_pii_terms_of_two_entities(spark):
+    """A name split evenly between a mail address and a phone number, and one with a part of its places beside a rare entity."""
+    rows = [f"{w} Zorblax writes to zor@blax.org now" for w in ("a", "b", "c")] + [f"{w} Zorblax calls +49 30 1234567 then" for w in ("a", "b", "c")]
+    rows += [f"Quimby sees qq@quim.by {w}" for w in ("a", "b", "c")] + ["Quimby is here"] * 4 + ["sees writes calls now then is here to"] * 400
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["spans"] if pii.KINDS[s["kind"]] == "term"] for r in pii.find(df).collect()}
+    assert all(got[k] == ["zorblax"] for k in range(6)) and all(got[k] == ["quimby"] for k in range(6, 9)) and not any(got[k] for k in range(9, len(rows)))
+
+
 def vectors():
     r = np.random.default_rng(0)
     x = r.standard_normal((400, 16)).astype(np.float32)
