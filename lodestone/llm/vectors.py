@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
 
+#: Copies of a vector up to which they may meet in one task.
+OFTEN = 1024
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null or empty, all components finite, not all zero."""
@@ -25,7 +28,12 @@ def classes(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, D
     """
     own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter(usable(F.col("vector")) & F.col("id").isNotNull())
     each = cut(own.groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()))
-    members = cut(own.join(each.select("vector", "cls"), "vector").select("id", "cls"))
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # vectors with many copies are at most 10,000, so they are sent to every task; the rest meet in a shuffle
+    many = F.col("n") > max(OFTEN, total // 10_000)
+    told = own.join(F.broadcast(each.filter(many).select("vector", "cls")), "vector", "left")
+    rest = told.filter(F.col("cls").isNull()).select("id", "vector").join(each.filter(~many).select("vector", "cls"), "vector")
+    members = cut(told.filter(F.col("cls").isNotNull()).select("id", "cls").unionByName(rest.select("id", "cls")))
     return each.select("cls", "first", "n", "vector"), members
 
 
@@ -36,8 +44,3 @@ def matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for d in np.unique(size):
         at = np.flatnonzero(size == d)
         yield at, flat[bounds[at][:, None] + np.arange(d)].astype(np.float64)
-
-
-def list_column(x: np.ndarray) -> pa.Array:
-    n, d = x.shape
-    return pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32) if d else np.zeros(n + 1, np.int32), x.ravel())

@@ -297,11 +297,13 @@ def test_caps_recall_at_the_threshold(spark):
     assert all(got[20_000 + k]["component_id"] == k and not got[20_000 + k]["kept"] for k in range(3000) if k in got)
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("cell_rows,lot_queries", [(16_384, 65_536), (25, 3)])
+def test_neighbours(spark, cell_rows, lot_queries):
     v = vectors()
     df = spark.createDataFrame([(k, x, 1) for k, x in v.items()], "vec_id long, embedding array<float>, q int").repartition(3)
     got = {}
-    for r in neighbours.search(df, leaf_rows=40, leaves=60).collect():
+    for r in neighbours.search(df, leaf_rows=40, trials=8, cell_rows=cell_rows, lot_queries=lot_queries).collect():
+        assert r["trial_recall"] >= neighbours.RECALL and r["leaves"] > 0
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ok = {k: np.array(x, np.float32).astype(float) for k, x in v.items() if x and len(x) == 16 and all(c is not None and np.isfinite(c) for c in x) and any(x)}
     hit = total = 0
@@ -310,12 +312,36 @@ def test_neighbours(spark):
         rows.sort()
         want = sorted(((-ok[q] @ x, k) for k, x in ok.items() if k != q))[:20]
         assert [r for r, _, _ in rows] == list(range(1, 21)) and rows == sorted(rows, key=lambda r: (-r[2], r[1]))
-        assert all(s == pytest.approx(ok[q] @ ok[k]) and k != q for _, k, s in rows)
+        assert all(s == pytest.approx(ok[q] @ ok[k]) and k != q for _, k, s in rows) and len({k for _, k, _ in rows}) == 20
         hit, total = hit + len({k for _, k in want} & {k for _, k, _ in rows}), total + 20
     assert hit / total >= 0.9
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3000, 30_000])
+def test_neighbours_recall(spark, n):
+    """Random vectors, which have no structure to exploit, at two sizes: recall holds and nothing is listed twice."""
+    x = np.random.default_rng(n).standard_normal((n, 32))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    got: dict[int, list[int]] = {}
+    for r in neighbours.search(df, every=100).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == list(range(0, n, 100)) and all(len(set(v)) == len(v) == 20 for v in got.values())
+    score = x[::100] @ x.T
+    score[np.arange(len(score)), np.arange(0, n, 100)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert sum(len({*v.tolist()} & {*got[100 * k]}) for k, v in enumerate(best)) >= 0.9 * 20 * len(best)
+
+
+def test_leaves_in_the_order_of_the_queue():
+    x = np.random.default_rng(3).standard_normal((500, 6))
+    trees = [neighbours.Tree(x, 16, np.random.default_rng(k)) for k in range(3)]
+    for q in x[:20]:
+        crossed = [t.crossed(q[None])[0] for t in trees]
+        order = [crossed[t][leaf] for t, leaf in neighbours.search_leaves(trees, q, 10_000)]
+        assert order == sorted(np.concatenate(crossed).tolist())
+
+
 @pytest.mark.parametrize("bucket_rows", [256, 1])
 def test_substrings(docs, empty, bucket_rows):
     want = substrings.brute_force(list(enumerate(texts())))
