@@ -12,40 +12,62 @@ one matrix product with it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import id_type, text_batches
 
 LENGTHS = (2, 3, 4)
-#: Bounds of the sample that the model is fitted on: texts for each language, and the characters of such a text.
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 8_000
+#: Bounds of the sample that the model is fitted on: languages (the most frequent ones), texts of each, texts of all, and
+#: the characters of such a text; a longer one takes part in the fit with its beginning. Predictions read whole texts.
+LANGUAGES, SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 1024, 300, 8192, 8_000
 LANDMARKS, RIDGE = 256, 1e-3
-_LETTER = re.compile(r"[^\W\d_]")
-_BLOCK = 1 << 20
+_LETTER = regex.compile(r"\p{L}")
+_BLOCK, _TEXTS, _BYTES = 1 << 20, 32, 1 << 18
+
+
+def _codes(b: np.ndarray, n: int) -> np.ndarray:
+    """The n-grams of a byte string as numbers; those of different lengths don't clash."""
+    code = np.full(max(len(b) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        code = code << np.uint64(8) | b[k : k + len(code)]
+    return code
 
 
 def grams(text: bytes) -> np.ndarray:
-    """The distinct n-grams of a text as numbers, sorted; the lengths don't clash. Long texts go block by block."""
+    """The distinct n-grams of a text as numbers, sorted. Long texts go block by block."""
     b = np.frombuffer(text, np.uint8).astype(np.uint64)
-    out = []
-    for n in LENGTHS:
-        for at in range(0, max(len(b) - n + 1, 0), _BLOCK):
-            part = b[at : at + _BLOCK + n - 1]
-            code = np.full(len(part) - n + 1, n, np.uint64)
-            for k in range(n):
-                code = code << np.uint64(8) | part[k : k + len(code)]
-            out.append(np.unique(code))
+    out = [np.unique(_codes(b[at : at + _BLOCK + n - 1], n)) for n in LENGTHS for at in range(0, max(len(b) - n + 1, 0), _BLOCK)]
     return np.unique(np.concatenate(out)) if len(out) > len(LENGTHS) else np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def batch_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, n-gram) of the distinct n-grams of each text, sorted; all texts of a lot are sorted at once."""
+    rows, found, at = [], [], 0
+    while at < len(texts):
+        lot, size = [], 0
+        while at < len(texts) and len(lot) < _TEXTS and (not lot or size + len(texts[at]) <= _BYTES):
+            lot.append(at)
+            size += len(texts[at])
+            at += 1
+        if len(lot) == 1:
+            found.append(grams(texts[lot[0]]))
+            rows.append(np.full(len(found[-1]), lot[0]))
+            continue
+        own = [_codes(np.frombuffer(texts[k], np.uint8).astype(np.uint64), n) | np.uint64((k - lot[0]) << 40) for k in lot for n in LENGTHS]
+        code = np.unique(np.concatenate(own))
+        rows.append((code >> np.uint64(40)).astype(np.int64) + lot[0])
+        found.append(code & np.uint64((1 << 40) - 1))
+    return np.concatenate(rows), np.concatenate(found)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -54,13 +76,17 @@ class Model:
     bias: np.ndarray
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """texts x languages; a product of the batch's presence rows with ``weights``."""
+        """texts x languages: for a lot of texts the product of their presence matrix with ``weights``."""
         out = np.zeros((len(texts), len(self.languages)))
-        for k, x in enumerate(texts):
-            g = grams(x)
-            at = np.minimum(np.searchsorted(self.vocabulary, g), len(self.vocabulary) - 1)
-            rows = at[self.vocabulary[at] == g]
-            out[k] = self.weights[rows].sum(axis=0) / np.sqrt(max(len(g), 1))
+        for lo in range(0, len(texts), _TEXTS):
+            lot = texts[lo : lo + _TEXTS]
+            row, gram = batch_grams(lot)
+            at = np.minimum(np.searchsorted(self.vocabulary, gram), len(self.vocabulary) - 1)
+            known = self.vocabulary[at] == gram
+            presence = np.zeros((len(lot), len(self.vocabulary)))
+            presence[row[known], at[known]] = 1.0
+            size = np.bincount(row, minlength=len(lot))
+            out[lo : lo + len(lot)] = presence @ self.weights / np.sqrt(np.maximum(size, 1))[:, None]
         return out + self.bias
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
@@ -111,31 +137,32 @@ def train(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: fl
     return Model(languages, vocabulary, weights, mean_y - mean_x @ w)
 
 
-def sample(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``rows`` texts of each language, the smallest by a hash of the text, none longer than ``chars``.
+def sample(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, languages: int = LANGUAGES, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(language, beginning of a text) of at most ``rows`` different texts of each language, those with the smallest hashes.
 
-    The count by language sets a threshold of the hash, so only about twice the wanted rows reach the driver.
+    Copies of a text are one text before any is chosen, so every language with a text takes part, however often or seldom
+    and however long its texts are. Of more than ``languages`` labels the ones with most texts take part. Many languages
+    share ``total`` texts. Only what is chosen reaches the driver, a text with its first ``chars`` characters.
     """
-    own = docs.filter(usable & F.col(lang_col).isNotNull() & (F.char_length(text_col).between(1, chars)))
-    own = own.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text").bitwiseAND((1 << 62) - 1))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    parts = [(F.col("lang") == lang) & (F.col("h") < int((1 << 62) * min(1.0, (2.0 * rows + 50) / n))) for lang, n in counts.items()]
-    if not parts:
+    own = docs.filter(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    own = own.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    counts = own.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    known = [r["lang"] for r in counts.select("lang").collect()]
+    if not known:
         return []
-    some = parts[0]
-    for p in parts[1:]:
-        some = some | p
-    got: dict[str, set[tuple[int, str]]] = {}
-    for r in own.filter(some).collect():
-        got.setdefault(r["lang"], set()).add((r["h"], r["text"]))
-    return [(lang, text) for lang, texts in got.items() for _, text in sorted(texts)[:rows]]
+    each = max(1, min(rows, total // len(known)))
+    first = Window.partitionBy("lang").orderBy("h")  # every task keeps the smallest ones of its own before rows travel
+    ranked = own.select("lang", "h").filter(F.col("lang").isin(known)).distinct().withColumn("r", F.row_number().over(first))
+    chosen = F.broadcast(ranked.filter(F.col("r") <= each).select("lang", "h"))  # ``total`` rows or one for each language
+    texts = own.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    return [(r["lang"], r["text"]) for r in texts.select("lang", "text").collect()]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(``id_col``, ``keep`` columns, lang_pred, score 0 to 1): a row for each row of ``docs``, from its whole text alone.
 
     ``und`` and score 0 where the text is null, empty or has no letter, or where no language was learned. Null ids and
-    repeated rows stay; columns outside ``keep`` aren't read; an empty table gives an empty result.
+    repeated rows stay; columns outside ``keep`` aren't read, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)

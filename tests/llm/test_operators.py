@@ -153,6 +153,42 @@ def test_language_kernel_by_sets():
             assert k[i, j] == pytest.approx(len({*a.tolist()} & {*b.tolist()}) / max(len(a), 1) ** 0.5 / max(len(b), 1) ** 0.5)
 
 
+def test_language_scores_by_the_full_kernel():
+    """With every text a landmark the scores are those of weighted kernel ridge regression on the whole kernel."""
+    r = random.Random(8)
+    rows = sorted({(lang, "".join(r.choice(letters) for _ in range(r.randrange(3, 60)))) for lang, letters in (("aa", "abcde "), ("bb", "cdefgñ "), ("cc", "hijka ")) for _ in range(25)})
+    model = language.train(rows, landmarks=10_000, ridge=0.1)
+    sets = [{*language.grams(t.encode()).tolist()} for _, t in rows]
+    kernel = lambda a, b: len(a & b) / max(len(a), 1) ** 0.5 / max(len(b), 1) ** 0.5
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    n = {x: sum(lang == x for lang, _ in rows) for x in model.languages}
+    system = np.block([[np.zeros((1, 1)), np.ones((1, len(rows)))], [np.ones((len(rows), 1)), k + 0.1 * np.diag([n[lang] for lang, _ in rows])]])
+    y = np.array([[0.0] * 3] + [[1.0 if lang == x else -1.0 for x in model.languages] for lang, _ in rows])
+    solved = np.linalg.solve(system, y)
+    new = ["abba cd", "ñg fed", "hi", "", "zzzz" * 50, "é" * 3000, *("ab cde " * n for n in range(40))]
+    want = np.array([solved[0] + np.array([kernel({*language.grams(t.encode()).tolist()}, s) for s in sets]) @ solved[1:] for t in new])
+    assert model.scores([t.encode() for t in new]) == pytest.approx(want, abs=1e-4)
+
+
+def test_language_sample(spark):
+    """A text in thousands of copies is one text; languages with few, only repeated or only long texts are learned; the sample is bounded."""
+    rows = [(k, "copied text", "aa") for k in range(6000)] + [(k, f"text number {k}", "bb") for k in range(900)] + [(1, "long " * 9000, "cc"), (2, "long " * 9000 + "x", "cc")]
+    rows += [(k, f"t{k}", f"l{k:04d}") for k in range(30)] + [(5, None, "dd"), (6, "", "ee"), (7, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(df, F.lit(True))
+    count = lambda x: sum(lang == x for lang, _ in got)
+    assert (count("aa"), count("cc"), len(got)) == (1, 2, 1 + 2 + 30 + count("bb")) and count("bb") == 8192 // 33
+    assert max(len(t) for _, t in got) == language.SAMPLE_CHARS
+    assert {lang for lang, _ in language.sample(df, F.lit(True), languages=3)} == {"aa", "bb", "cc"}
+    assert len(language.sample(df, F.lit(True), total=40)) == 33
+
+
+def test_language_letters(spark):
+    df = spark.createDataFrame([(1, "½ Ⅷ ²"), (2, "aaa"), (3, "漢")], "doc_id long, text string")
+    model = language.train([("aa", "aaa bbb"), ("bb", "ccc 漢漢")])
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(df, model).collect()} == {1: "und", 2: "aa", 3: "bb"}
+
+
 def test_language_nothing_learned(docs, empty):
     model = language.train(language.sample(empty, ~language.held_out()))
     assert {r["lang_pred"] for r in language.identify(docs, model).collect()} == {"und"}
