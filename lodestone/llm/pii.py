@@ -4,12 +4,17 @@ Patterns find e-mail addresses, network addresses, card and phone numbers; each
 How strongly a term reveals an entity is estimated from the whole corpus: with P(c) the entity's occurrences for each
 document and P(c|t) the share of all occurrences of t that stand within ``REACH`` characters of c, the term's pointwise
 mutual information log P(c|t)/P(c) is compared with the entity's information -log P(c). A term that reaches the share
-``DISCLOSURE`` of it and was seen ``SUPPORT`` times beside c is a span of its own wherever it stands beside c, and is
-generalised with it. A term may give several entities away.
+``DISCLOSURE`` of it and was seen ``SUPPORT`` times beside c gives c away wherever it stands: each of its places in any
+document is a span, unless a base span overlaps it, and is generalised. A term may give several entities away.
+
+Running sums over a text's matches go block by block, and pieces of a text are taken from blocks of it, so the work on
+one text grows in proportion to its length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +31,83 @@ _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
     "email": rf"(?={_LOCAL})(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++",
     "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _TERM = r"\p{L}{3,}+"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<start, end, value> of the matches in ``text``: code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("gap"), F.char_length(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
+#: Elements of one block of a running sum, and characters of one block of a text.
+_BLOCK, _CHARS = 128, 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine, zero: int) -> Column:
+    """array<int>: each element combined with all before it."""
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.lit(zero), combine)
+
+    def whole(v: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int"))
+        totals = F.transform(at, lambda k: fold(F.slice(v, k * _BLOCK + 1, _BLOCK)))
+        before = lambda t: F.transform(at, lambda k: fold(F.slice(t, F.lit(1), k)))
+        inside = lambda part, ahead: F.transform(part, lambda x, i: combine(combine(ahead, fold(F.slice(part, F.lit(1), i))), x))
+        return _let(_let(totals, before), lambda ahead: F.flatten(F.transform(at, lambda k: _let(F.slice(v, k * _BLOCK + 1, _BLOCK), lambda part: inside(part, F.get(ahead, k))))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def located(text: Column, pattern: str, short: bool = False) -> Column:
+    """array<start, end, value> of the matches in ``text``: code points, end exclusive. ``short``: there are a few at most."""
+    both = lambda m, g: F.char_length(m) + F.char_length(g)
+    span = lambda m, end: F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("value"))
+    gaps = F.split(text, pattern, -1)
+    sums = lambda n: F.transform(n, lambda x, i: x + F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), _add))
+    lengths = lambda found: F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), both)
+    ends = lambda found: _let(lengths(found), sums) if short else running(lengths(found), _add, 0)
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(found, ends(found), span))
 
-    def step(s: Column, x: Column) -> Column:
-        lo = s["at"] + x["gap"]
-        span = F.struct(lo.alias("start"), (lo + x["n"]).alias("end"), x["m"].alias("value"))
-        return F.struct((lo + x["n"]).alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
 
-    return F.aggregate(both, start, step, lambda s: s["spans"])
+def in_blocks(text: Column) -> Column:
+    """The text as pieces of ``_CHARS`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHARS}}}"), F.lit(0))
+
+
+def between(blocks: Column, lo: Column, hi: Column) -> Column:
+    """The code points from ``lo`` to ``hi`` of the text that was cut into ``blocks``."""
+    first = F.floor(lo / _CHARS).cast("int")
+    parts = F.slice(blocks, first + 1, F.greatest(F.floor((hi - 1) / _CHARS).cast("int") - first + 1, F.lit(0)))
+    return F.substring(F.array_join(parts, ""), lo - first * _CHARS + 1, F.greatest(hi - lo, F.lit(0)))
+
+
+def hull(spans: Column) -> Column:
+    """array<start, end, kind, last>: overlapping ones of the sorted ``spans`` as one, named after the first; ``last`` is the number of spans so far."""
+
+    def joined(s: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(reach, i - 1)))
+        upto = lambda h, k: F.coalesce(F.get(h, k + 1), F.size(s))
+        one = lambda h, i, k: F.struct(F.get(s, i)["start"].alias("start"), F.get(reach, upto(h, k) - 1).alias("end"), F.get(s, i)["kind"].alias("kind"), upto(h, k).alias("last"))
+        return _let(heads, lambda h: F.transform(h, lambda i, k: one(h, i, k)))
+
+    whole = _let(running(F.transform(spans, lambda x: x["end"]), _larger, 0), lambda reach: joined(spans, reach))
+    return F.when(F.size(spans) > 0, whole).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int,last:int>>"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -81,28 +144,36 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), span["kind"] + 1), F.lower(span["value"]))
 
 
-def _beside(text: Column, spans: Column) -> Column:
-    """array<entity, term, start, end>: the whole words within reach of each span that no span overlaps."""
+#: Merged spans that can lie within reach on one side of a span, as none is shorter than five characters.
+_NEAR = REACH // 5 + 2
+
+
+def _beside(base: Column, merged: Column, blocks: Column) -> Column:
+    """array<entity, term>: the whole words within reach of each span that no span overlaps."""
 
-    def near(s: Column) -> Column:
+    def near(s: Column, own: Column) -> Column:
+        clear = lambda t: ~F.exists(own, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))
+        moved = lambda found, at: F.transform(found, lambda t: F.struct((t["start"] + at).alias("start"), (t["end"] + at).alias("end"), t["value"].alias("value")))
         lo = F.greatest(s["start"] - REACH, F.lit(0))
-        left, right = F.substring(text, lo + 1, s["start"] - lo), F.substring(text, s["end"] + 1, F.lit(REACH))
-        before = F.filter(located(left, _TERM), lambda t: (lo == 0) | (t["start"] > 0))
-        after = F.filter(located(right, _TERM), lambda t: t["end"] < REACH)
-        place = lambda t, at: F.struct(_entity(s).alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + at).alias("start"), (t["end"] + at).alias("end"))
-        return F.concat(F.transform(before, lambda t: place(t, lo)), F.transform(after, lambda t: place(t, s["end"])))
+        # a word that goes on in the span isn't whole
+        opens, closes = (~s["value"].rlike(p) for p in (r"^\p{L}", r"\p{L}$"))
+        before = F.filter(located(between(blocks, lo, s["start"]), _TERM, True), lambda t: ((lo == 0) | (t["start"] > 0)) & (opens | (t["end"] + lo < s["start"])))
+        after = F.filter(located(between(blocks, s["end"], s["end"] + REACH), _TERM, True), lambda t: (t["end"] < REACH) & (closes | (t["start"] > 0)))
+        return F.transform(F.filter(F.concat(moved(before, lo), moved(after, s["end"])), clear), lambda t: F.struct(_entity(s).alias("entity"), F.lower(t["value"]).alias("term")))
 
-    every = F.flatten(F.transform(spans, near))
-    return F.filter(every, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    def one(s: Column, group: Column) -> Column:
+        return near(s, F.slice(merged, F.greatest(group - _NEAR, F.lit(1)), 2 * _NEAR))
 
+    groups = F.flatten(F.transform(merged, lambda m, k: F.array_repeat(k + 1, m["last"] - F.coalesce(F.get(merged, k - 1)["last"], F.lit(0)))))
+    return F.flatten(F.zip_with(base, groups, one))
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+
+def disclosing(found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(term, entity, together, total, seen): the terms that give an entity away, for each one that they do, from counts over all documents."""
-    beside = found.select(F.explode("beside").alias("b")).select("b.entity", "b.term", "b.start", "b.end")
-    pairs = beside.groupBy("term", "entity").agg(F.count("*").alias("together"))
+    pairs = found.select(F.explode("beside").alias("b")).groupBy("b.term", "b.entity").agg(F.count("*").alias("together"))
     likely = cut(pairs.filter(F.col("together") >= support))
     terms = cut(likely.select("term").distinct())
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(_TERM), F.lit(0))).alias("term"))
+    words = found.select(F.explode(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))).alias("word")).select(F.lower("word").alias("term"))
     if terms.count() <= BROADCAST_TERMS:
         words = words.join(F.broadcast(terms), "term", "left_semi")
     total = words.groupBy("term").agg(F.count("*").alias("total"))
@@ -113,28 +184,44 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, disclosure: flo
     return known.filter(F.log(share / often) >= disclosure * -F.log(often))
 
 
+def _with_terms(text: Column, base: Column, terms: Column) -> Column:
+    """The base spans and every place of ``terms`` that none of them overlaps, sorted by start and kind."""
+    no = KINDS.index("term")
+    places = F.filter(F.transform(located(text, _TERM), lambda t: F.struct(t["start"].alias("start"), F.lit(no).alias("kind"), t["end"].alias("end"), F.lower(t["value"]).alias("value"))), lambda t: F.array_contains(terms, t["value"]))
+
+    def clear(every: Column) -> Column:
+        ends = running(F.transform(every, lambda s: F.when(s["kind"] < no, s["end"]).otherwise(0)), _larger, 0)
+        starts = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(s["kind"] < no, s["start"]).otherwise(2**31 - 1))), _smaller, 2**31 - 1))
+        fits = lambda s, i, e, b: (s["kind"] < no) | ((F.coalesce(F.get(e, i - 1), F.lit(0)) <= s["start"]) & (F.get(b, i) >= s["end"]))
+        return _let(ends, lambda e: _let(starts, lambda b: F.filter(every, lambda s, i: fits(s, i, e, b))))
+
+    return _let(F.array_sort(F.concat(base, places)), clear)
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(``id_col``, k0, k1, ... the ``keep`` columns, base, spans) for each row of ``docs``.
 
     ``base`` and ``spans`` are array<start, kind, end, value>, sorted by start and kind (numbers in ``KINDS``); ``spans``
     has the base ones and the terms. A null or empty text has none. Null ids and repeated rows stay as they are and count
-    as documents; columns outside ``keep`` aren't read; an empty table gives an empty result.
+    as documents; columns outside ``keep`` aren't read, whatever their names; an empty table gives an empty result. Very
+    long texts take time in proportion to their length.
     """
     keep = keep or []
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)])
     rows = rows.withColumns({kind: _base(text, kind) for kind in KINDS[:4]})
     rows = rows.withColumn("base", F.array_sort(F.concat(*KINDS[:4])))
-    empty = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    rows = rows.withColumn("beside", F.when(F.size("base") > 0, _beside(text, F.col("base"))).otherwise(empty))
+    empty = F.array().cast("array<struct<entity:string,term:string>>")
+    beside = _let(hull(F.col("base")), lambda merged: _let(in_blocks(text), lambda blocks: _beside(F.col("base"), merged, blocks)))
+    rows = rows.withColumn("beside", F.when(F.size("base") > 0, beside).otherwise(empty))
     names = ["id", *(f"k{k}" for k in range(len(keep)))]
-    found = cut(rows.select(*names, "base", "beside").withColumn("row", F.monotonically_increasing_id()))
-    telling = cut(disclosing(found, docs, text_col, disclosure, support).select("term", "entity"))
-    hits = found.select("row", F.explode("beside").alias("b")).select("row", "b.entity", "b.term", "b.start", "b.end").join(telling, ["term", "entity"])
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", F.col("term").alias("value"))
-    added = hits.groupBy("row").agg(F.collect_set(span).alias("added"))  # at most a document's words
-    spans = F.array_sort(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")))
-    return found.drop("beside").join(added, "row", "left").select(F.col("id").alias(id_col), *names[1:], "base", spans.alias("spans"))
+    found = cut(rows.select(*names, "text", "base", "beside").withColumn("row", F.monotonically_increasing_id()))
+    telling = cut(disclosing(found, disclosure, support).select("term").distinct())
+    words = found.select("row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("word")).select("row", F.lower("word").alias("term"))
+    small = telling.count() <= BROADCAST_TERMS
+    own = words.join(F.broadcast(telling) if small else telling, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))  # at most a document's words
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(_with_terms(text, F.col("base"), F.col("terms")))
+    return found.drop("beside").join(own, "row", "left").select(F.col("id").alias(id_col), *names[1:], "base", spans.alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -144,20 +231,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """
     keep = keep or []
     found = find(docs, id_col, text_col, [text_col, *keep], disclosure, support)
+    text = F.col("k0")
+    label = lambda s: F.get(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"])
+
+    def joined(m: Column, blocks: Column) -> Column:
+        pieces = F.transform(m, lambda s, i: F.concat(between(blocks, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)), s["start"]), label(s)))
+        return F.concat(F.array_join(pieces, ""), between(blocks, F.element_at(m, -1)["end"], F.char_length(text)))
 
-    def join(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        own = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(own)))
-
-    merged = F.aggregate("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"), join)
-    text, m = F.col("k0"), F.col("merged")
-    label = lambda s: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1)
-    pieces = F.transform(m, lambda s, i: F.concat(F.substring(text, F.when(i == 0, 0).otherwise(F.try_element_at(m, i)["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.try_element_at(m, i)["end"])), label(s)))
-    rest = F.substring(text, F.element_at(m, -1)["end"] + 1, F.char_length(text))
-    clean = F.when(F.size(m) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
-    found = found.withColumn("merged", merged)
+    clean = F.when(F.size("spans") > 0, _let(hull(F.col("spans")), lambda m: _let(in_blocks(text), lambda blocks: joined(m, blocks)))).otherwise(text)
     return found.select(id_col, *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep, 1)], clean.alias(text_col))
 
 
@@ -184,3 +265,30 @@ def brute_force(text: str | None) -> list[tuple[str, int, int]]:
             if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]:
                 out.append((kind, m.start(), m.end()))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def brute_force_terms(texts: list[str | None], disclosure: float = DISCLOSURE, support: int = SUPPORT) -> set[str]:
+    """The terms that give an entity away, by plain loops; for tests."""
+    import math
+
+    import regex
+
+    together, total, seen = Counter(), Counter(), Counter()
+    for text in texts:
+        text = text or ""
+        words = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"\p{L}{3,}+", text)]
+        total.update(w for _, _, w in words)
+        spans = brute_force(text)
+        for kind, start, end in spans:
+            entity = f"{kind}:{text[start:end].lower()}"
+            seen[entity] += 1
+            for a, b, w in words:
+                left = b <= start and (a >= start - REACH + 1 or (a >= start - REACH and start <= REACH))
+                if (left or (a >= end and b < end + REACH)) and not any(s < b and a < e for _, s, e in spans):
+                    together[w, entity] += 1
+    out = set()
+    for (w, entity), n in together.items():
+        often = min(seen[entity] / max(len(texts), 1), 0.5)
+        if n >= support and math.log(n / max(total[w], n) / often) >= disclosure * -math.log(often):
+            out.add(w)
+    return out

@@ -294,7 +294,48 @@ def test_pii_terms_of_two_entities(spark):
     rows += [f"Quimby sees qq@quim.by {w}" for w in ("a", "b", "c")] + ["Quimby is here"] * 4 + ["sees writes calls now then is here to"] * 400
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: [s["value"] for s in r["spans"] if pii.KINDS[s["kind"]] == "term"] for r in pii.find(df).collect()}
-    assert all(got[k] == ["zorblax"] for k in range(6)) and all(got[k] == ["quimby"] for k in range(6, 9)) and not any(got[k] for k in range(9, len(rows)))
+    assert all(got[k] == ["zorblax"] for k in range(6)) and all(got[k] == ["quimby"] for k in range(6, 13)) and not any(got[k] for k in range(13, len(rows)))
+
+
+def test_pii_terms_by_plain_loops(spark):
+    """Terms wherever they stand, against plain loops over random texts with entities, odd letters and overlapping spans."""
+    import regex
+
+    r = random.Random(21)
+    people = [(f"Nam{c}lo Sur{c}name", e) for c, e in zip("abcdef", ["a@b.co", "+49 30 12345678", "4111 1111 1111 1111", "10.1.2.3", "Ünï@x.org", "q.r@s.t.u"])]
+    common = "über straße the and to is of in it was for on are with они были".split()
+    rows = [None, ""]
+    for _ in range(400):
+        words = [r.choice(common) for _ in range(r.randrange(3, 40))]
+        if r.random() < 0.3:
+            name, entity = r.choice(people)
+            at = r.randrange(len(words))
+            words[at:at] = [name, *r.sample(common, r.randrange(3)), entity]
+        if r.random() < 0.1:
+            words.insert(r.randrange(len(words)), r.choice(people)[0].upper())
+        rows.append(r.choice(" \n")[0].join(words) + r.choice(["", ".", " @", "@x"]))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    telling = pii.brute_force_terms(rows)
+    assert len(telling) >= 6
+    for g in pii.find(df).collect():
+        text = rows[g["doc_id"]] or ""
+        base = pii.brute_force(text)
+        want = [("term", m.start(), m.end()) for m in regex.finditer(r"\p{L}{3,}+", text) if m[0].lower() in telling and not any(s < m.end() and m.start() < e for _, s, e in base)]
+        assert [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in g["spans"]] == sorted(base + want, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_pii_long_texts_in_proportion(spark):
+    """Texts of a megabyte that are all numbers, addresses or names take seconds."""
+    import time
+
+    rows = [",".join(str(k % 997) for k in range(260_000)), "1.2.3.4," * 125_000, "me a@b.co " * 50_000 + "Zorblax " * 60_000, " ".join("4111 1111 1111 1111;" for _ in range(50_000))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find(df).select("doc_id", *[pii.count_of("base", k).alias(k) for k in pii.KINDS[:4]]).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert [(got[k]["email"], got[k]["ip"], got[k]["card"]) for k in range(4)] == [(0, 0, 0), (0, 125_000, 0), (50_000, 0, 0), (0, 0, 50_000)]
+    assert clean[0] == rows[0] and clean[1] == "[IP]," * 125_000 and clean[3] == ";".join(["[CARD]"] + [" [CARD]"] * 49_999) + ";"
+    assert time.time() - began < 90
 
 
 def vectors():
