@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import language, pii, simhash, substrings
+from lodestone.llm import language, pii, substrings
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,9 +48,11 @@ def test_language_stage(spark, kept):
 
 
 def test_near_copies_stage(kept):
+    """Links are pairs that share 0.8 of their five-word shingles, found by comparing all."""
     (_, before, after, *_), _ = kept
-    fp = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in before}
-    ids = sorted(fp)
+    words = {r["doc_id"]: (r["text"] or "").lower().split() for r in before}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} for k, w in words.items()}
+    ids = sorted(sets)
     root = {k: k for k in ids}
 
     def find(k):
@@ -60,7 +62,8 @@ def test_near_copies_stage(kept):
 
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            if (fp[i] ^ fp[j]).bit_count() <= 4:
+            common = len(sets[i] & sets[j])
+            if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert sorted(r["doc_id"] for r in after) == [k for k in ids if find(k) == k]
