@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import id_type, text_batches
 
-#: Bytes of a word up to which ranks are scanned, and chunks that are kept before all are forgotten.
-LONG, KEPT = 64, 800_000
+#: Bytes of a word up to which ranks are scanned, and bytes of kept chunks (with what their entries take) before all are
+#: forgotten.
+LONG, KEPT, ENTRY = 64, 120_000_000, 160
 _NONE = np.int32(2**31 - 1)
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The words of byte-level BPE. Contractions stand where an apostrophe could begin another alternative.
@@ -98,6 +99,7 @@ class Encoder:
     def forget(self) -> None:
         self.words, self.word_ids = {}, _Pool()
         self.first, self.later, self.chunk_ids, self.opens, self.closes = {}, {}, _Pool(), np.zeros(0, bool), np.zeros(0, bool)
+        self.kept = 0
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
@@ -186,6 +188,7 @@ class Encoder:
         first = self.chunk_ids.add(flat, sums_of(sizes, counts))
         self.opens = np.concatenate((self.opens, [not x or x[0].isspace() for _, x in chunks]))
         self.closes = np.concatenate((self.closes, [not x or x[-1].isspace() for _, x in chunks]))
+        self.kept += sum(ENTRY + 6 * len(x) for _, x in chunks)
         for k, (spaced, x) in enumerate(chunks, first):
             (self.later if spaced else self.first)[x] = k
 
@@ -218,7 +221,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, no special tokens added; a null text is empty. Special tokens' strings in a text are their ids."""
-        if self.chunk_ids.n > KEPT:
+        if self.kept > KEPT:
             self.forget()
         texts = [x or "" for x in texts]
         parts = [self.split.split(x) if self.split and any(s in x for s in self.special) else [x] for x in texts]

@@ -12,7 +12,7 @@ of their own that evens out. Directions and threshold follow the number of vecto
 vectors, a vector lies in about ``LISTS`` caps of a code. The codes are as many as it takes until, of ``PAIRS`` random
 pairs at the least cosine, a share of ``MISS`` at most shares no cap; as the rotations are random, that rate is the
 same for pairs of any data. Caps with more than ``BLOCK_ROWS`` vectors are compared block against block, in tasks of
-their own.
+their own: links are counted, so all pairs of such a cap are looked at, but a vector that travels meets thousands.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import connected_components, cut, forest, slim_batches, sorted_groups
 from lodestone.llm.vectors import classes, matrix, usable
 
-CAP_ROWS, LISTS, BLOCK_ROWS = 64, 2, 512
+CAP_ROWS, LISTS, BLOCK_ROWS = 64, 2, 4096
 #: Random pairs on which the miss rate is measured, the largest rate allowed, and the codes beyond which it is an error.
 PAIRS, MISS, MOST_CODES = 4000, 0.005, 1024
 #: The largest share of random vectors that a cap holds, for small tables; and the largest threshold of a cap, as a part

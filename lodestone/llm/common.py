@@ -31,10 +31,13 @@ def slim_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
@@ -142,21 +145,26 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+#: Links of a node up to which they meet in one task.
+OFTEN = 1024
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node that has a link; ``root`` is the smallest node reachable. Ids are longs.
 
     Alternates two steps until nothing changes: each node links its larger neighbours to its smallest one, then itself
-    and its smaller neighbours to that one. Each round is an aggregation with partial sums and a join that can be split
-    where a node has very many links; nothing is collected, and each round is written to the checkpoint folder.
+    and its smaller neighbours to that one. Each round is an aggregation with partial sums and a join in which the links
+    of a node that has very many are dealt over several tasks; nothing is collected, and each round is written to the
+    checkpoint folder.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e, seen = _counted(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_low(both.filter("v > u"), low, 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, 2 * seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e, now = _counted(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         if now == seen:
             break
@@ -164,6 +172,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _with_low(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """``rows`` (u, v) with the ``m`` of u. A node with many of the ``total`` rows is dealt into lots; there are 10,000 such nodes at most."""
+    most = max(OFTEN, total // 10_000)
+    lots = F.ceil(F.col("n") / most).cast("int")
+    low = cut(low)
+    dealt = rows.join(F.broadcast(low.filter(F.col("n") > most).select("u", lots.alias("lots"))), "u", "left")
+    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("v"), F.coalesce("lots", F.lit(1))).cast("int"))
+    return dealt.join(low.select("u", "m", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot")), ["u", "lot"]).select("u", "v", "m")
+
+
 def _counted(e: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     e = cut(e)
     row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()

@@ -7,6 +7,7 @@ positional bytes meets in a posting list. There the bytes that a pair shares are
 kept, and the kept pairs are verified on all 64 bits.
 
 Equal fingerprints are one entry of the index. A posting list writes a spanning forest of its links, never all pairs.
+Lists that are too long for one task aren't put together: their members are dealt one by one to values near them.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import connected_components, cut, forest, group_bounds, id_type, slim_batches, text_batches
+from lodestone.llm.common import connected_components, cut, forest, id_type, slim_batches, sorted_groups, text_batches
 
 #: Positions 0-7 in three classes; a triple lies in one class or has two positions in a class and one in the next.
 _CLASSES = ((0, 1, 2), (3, 4, 5), (6, 7))
 #: Differing bits up to which fingerprints link, and the positional bytes that such a pair shares at least.
 MAX_BITS, LEAST_BYTES = 4, 4
-#: Posting lists up to this length are compared pair by pair within the task; longer ones go through midpoints.
+#: Posting lists up to this length meet in one task; the members of longer ones go through midpoints.
 LIST_ROWS = 8192
 #: Posting lists up to this length are compared by shifted columns, many lists at once.
 _SHORT = 16
@@ -110,76 +111,62 @@ def midpoints(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (fps[:, None] ^ masks[None, :]).ravel(), np.repeat(fps, len(masks))
 
 
-def find_links(most: int = LIST_ROWS):
-    """For partitions of (key, fp) sorted by key: rows (kind, a, b). Kind 0: a links to b. Kind 1: b is within two bits of a."""
+def find_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For partitions of (key, fp) sorted by key: (a, b), links that span what is connected in each list."""
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
+    def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    def whole(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bounds = group_bounds([keys])
+    for table, bounds in sorted_groups(batches, ["key"]):
+        keys, fps = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
         sizes = np.diff(bounds)
         short = np.repeat(sizes, sizes) <= _SHORT
         for d in range(1, int(min(sizes.max(initial=1), _SHORT))):
             at = np.flatnonzero((keys[d:] == keys[:-d]) & short[d:])
             at = at[_linked(fps[at] ^ fps[at + d])]
             if len(at):
-                yield rows(0, fps[at], fps[at + d])
+                yield rows(fps[at], fps[at + d])
         for k in np.flatnonzero(sizes > _SHORT):
-            group = fps[bounds[k] : bounds[k + 1]]
-            if len(group) > most:
-                yield from spread(group)
-            else:
-                a, b = list_links(group)
-                yield rows(0, a, b)
+            a, b = list_links(fps[bounds[k] : bounds[k + 1]])
+            if len(a):
+                yield rows(a, b)
 
-    def spread(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(fps), 64):
-            yield rows(1, *midpoints(fps[at : at + 64]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, long_key = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
-        for b in batches:
-            keys = np.concatenate((keys, b.column(0).to_numpy()))
-            fps = np.concatenate((fps, b.column(1).to_numpy().view(np.uint64)))
-            if long_key is not None:
-                n = int(np.searchsorted(keys, long_key, side="right"))
-                yield from spread(fps[:n])
-                keys, fps = keys[n:], fps[n:]
-                if not len(keys):
-                    continue
-                long_key = None
-            n = int(np.searchsorted(keys, keys[-1]))  # where the last list begins: it may go on
-            if n:
-                yield from whole(keys[:n], fps[:n])
-                keys, fps = keys[n:], fps[n:]
-            if len(keys) > most:
-                long_key = keys[-1]
-                yield from spread(fps)
-                keys, fps = keys[:0], fps[:0]
-        if len(keys):
-            yield from whole(keys, fps)
-
-    return run
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(near, fp): each fingerprint with the values within two bits of it."""
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            near, fp = midpoints(b.column(0).to_numpy()[at : at + 64].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(fp.view(np.int64))], ["near", "fp"])
 
 
 def links(fps: DataFrame, fp_col: str = "fp", list_rows: int = LIST_ROWS) -> DataFrame:
     """(a, b) longs: links between different fingerprints, enough of them to connect all that are within four bits.
 
-    A posting list longer than ``list_rows`` isn't compared pair by pair: its members are written with all values within
-    two bits of them, and members that share such a value link to the smallest of them. That is exact as well.
+    The members of posting lists longer than ``list_rows`` don't meet in a task: each is written once with all values
+    within two bits of it, and members that share such a value link to the smallest of them. That is exact as well, as
+    fingerprints within four bits share such a value. Null fingerprints have no links; an empty table gives none.
     """
     slim_batches(fps.sparkSession)
     fp = F.col("fp")
     byte = [F.shiftrightunsigned(fp, 8 * k).bitwiseAND(255) for k in range(8)]
     keys = [(F.lit(n << 24) + F.shiftleft(byte[i], 16) + F.shiftleft(byte[j], 8) + byte[k]).cast("long") for n, (i, j, k) in enumerate(byte_triples())]
-    postings = fps.select(F.col(fp_col).alias("fp")).distinct().select(F.explode(F.array(*keys)).alias("key"), "fp")
-    dealt = postings.repartition("key").sortWithinPartitions("key")
-    found = cut(dealt.mapInArrow(find_links(list_rows), "kind int, a long, b long"))
-    shared = found.filter("kind = 1").select("a", "b")
-    hubs = shared.groupBy("a").agg(F.min("b").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    through = shared.join(hubs, "a").filter("b <> hub").select(F.col("hub").alias("a"), "b")
-    return found.filter("kind = 0").select("a", "b").unionByName(through).distinct()
+    postings = fps.select(F.col(fp_col).alias("fp")).filter("fp IS NOT NULL").distinct().select(F.explode(F.array(*keys)).alias("key"), "fp")
+    postings = cut(postings)
+    long = cut(postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > list_rows).select("key"))
+    if long.isEmpty():
+        short, members = postings, None
+    else:
+        # their number is bounded by the postings over ``list_rows``; a large one is joined by a shuffle of keys
+        short = postings.join(long, "key", "left_anti")
+        members = postings.join(long, "key", "left_semi").select("fp").distinct()
+    found = cut(short.repartition("key").sortWithinPartitions("key").mapInArrow(find_links, "a long, b long"))
+    if members is None:
+        return found.distinct()
+    shared = cut(members.mapInArrow(_spread, "near long, fp long"))
+    hubs = shared.groupBy("near").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("near", "hub")
+    through = shared.join(hubs, "near").filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    return found.unionByName(through).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
