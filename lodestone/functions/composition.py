@@ -7,16 +7,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.registry import query
-
-# Formulas with flat subscripts that the queries here use, with the ids they come with.
-FORMULAS = [
-    "La2CuO4", "La1.85Sr0.15CuO4", "Nd1.85Ce0.15CuO4", "Y1Ba2Cu3O7", "Y1Ba2Cu3O6.9", "Bi2Sr2Ca1Cu2O8", "Mg1B2", "Au0.9Ga0.1",
-    "Ba1Fe2As2", "Au1Ga1", "Nd2CuO4", "Nb50Zr50", "Fe1Se1", "LaFeAsO", "NdNiO2", "Sr0.2Nd0.8NiO2", "CuO", "Fe2O3", "Nb3Sn", "Ba2Ca0.7Ce0.3Cu2Tl2O8",
-]
-# Usual oxidation numbers, and valence electrons.
-OXIDATION = {"O": -2, "La": 3, "Sr": 2, "Nd": 3, "Ce": 4, "Y": 3, "Ba": 2, "Bi": 3, "Ca": 2, "Tl": 3}
-VALENCE = {"Nb": 5, "Zr": 4, "Sn": 4, "Mg": 2, "B": 3, "Au": 11, "Ga": 3, "Fe": 8, "Se": 6, "Ba": 2, "As": 5}
+from lodestone.registry import query, table
+
+# Formulas with flat subscripts, of which the rows of ``part`` are made here, and what they are doped with.
+BASES = [
+    "La2CuO4", "Nd2CuO4", "YBa2Cu3O7", "YBa2Cu3O6.9", "Bi2Sr2CaCu2O8", "MgB2", "Ba1Fe2As2", "SrFe2As2", "LaFeAsO", "CeFeAsO", "FeSe", "FeTe", "LiFeAs", "KFe2Se2",
+    "NdNiO2", "LaNiO2", "CuO", "Fe2O3", "Nb3Sn", "Nb50Zr50", "Nb0.75Ti0.25", "Mo0.6Re0.4", "V3Ir", "AuGa", "LaH10", "Ba2Ca0.7Ce0.3Cu2Tl2O8",
+]
+DOPANTS = ["Sr", "Ce", "Ni", "Zn", "Co", "K", "F", "Te"]
+# Oxidation numbers of three balances: a short one where others count nothing, a long one of that kind, and a
+# strict one where others leave the balance open.
+OXIDATION = {"La": 3, "Sr": 2, "Ba": 2, "Ce": 4, "Nd": 3, "Eu": 3, "Gd": 3, "Sm": 3, "Pr": 3, "Ca": 2, "K": 1, "Na": 1, "Li": 1, "Zn": 2, "Ni": 2, "O": -2}
+OXIDATION_LONG = OXIDATION | {
+    "Y": 3, "Bi": 3, "Tl": 3, "Hg": 2, "Pb": 2, "Al": 3, "Ti": 4, "B": 3, "Cd": 2, "Tb": 3, "Lu": 3, "Sc": 3, "Ga": 3, "Cs": 1, "Rb": 1, "Ho": 3, "Er": 3, "Tm": 3, "Yb": 3, "Dy": 3,
+    "F": -1, "I": -1, "Co": 3, "Fe": 3, "S": -2, "Se": -2, "Te": -2, "Cl": -1, "Br": -1,
+}
+OXIDATION_STRICT = {
+    "La": 3, "Sr": 2, "Ba": 2, "Ce": 4, "Nd": 3, "Eu": 3, "Gd": 3, "Sm": 3, "Pr": 3, "Ca": 2, "K": 1, "Na": 1, "Li": 1, "Rb": 1, "Cs": 1, "Y": 3, "Dy": 3, "Ho": 3, "Er": 3, "Tm": 3, "Yb": 3,
+    "Lu": 3, "Tb": 3, "Sc": 3, "Mg": 2, "Zn": 2, "Cd": 2, "Hg": 2, "O": -2, "F": -1, "Cl": -1, "Br": -1,
+}
+# Valence electrons of the transition metals; alloys with any other element have no value.
+VALENCE = {
+    "Sc": 3, "Y": 3, "La": 3, "Lu": 3, "Ti": 4, "Zr": 4, "Hf": 4, "V": 5, "Nb": 5, "Ta": 5, "Cr": 6, "Mo": 6, "W": 6, "Mn": 7, "Tc": 7, "Re": 7, "Fe": 8, "Ru": 8, "Os": 8,
+    "Co": 9, "Rh": 9, "Ir": 9, "Ni": 10, "Pd": 10, "Pt": 10,
+}
 
 _PAIR = r"([A-Z][a-z]?)([0-9.]*)"
 
@@ -50,7 +64,7 @@ def chemsys(comp: Column) -> Column:
 def norm_key(comp: Column, digits: int = 3) -> Column:
     """element:share of the whole, rounded, sorted by element and joined by a pipe."""
     entries = F.array_sort(F.map_entries(fractions(comp)))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.format_string(f"%.{digits}f", F.round(e["value"], digits)))), "|")
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.format_string(f"%.{digits}f", F.round(e["value"] + 1e-9, digits)))), "|")
 
 
 def weighted(comp: Column, values: dict[str, float], missing: float | None = None) -> Column:
@@ -60,10 +74,11 @@ def weighted(comp: Column, values: dict[str, float], missing: float | None = Non
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
 
 
-def oxidation_of(comp: Column, centre: str) -> Column:
-    """The charge that balances all elements but ``centre``, for each atom of it; null without any or for unknown elements."""
+def oxidation_of(comp: Column, centre: str, numbers: dict[str, float] | None = None, missing: float | None = None) -> Column:
+    """The charge that balances all elements but ``centre``, for each atom of it; null without any. Elements without a number
+    count ``missing``, or leave the result null."""
     rest = F.map_filter(comp, lambda k, _: k != centre)
-    return F.try_divide(-weighted(rest, OXIDATION), F.try_element_at(comp, F.lit(centre)))
+    return F.try_divide(-weighted(rest, numbers or OXIDATION_STRICT, missing), F.try_element_at(comp, F.lit(centre)))
 
 
 def distance(a: Column, b: Column, largest: bool = False) -> Column:
@@ -82,14 +97,49 @@ def subsets(elements: Column, drop: int = 3, least: int = 2) -> Column:
     return F.array_distinct(F.transform(F.flatten(F.array(*levels)), lambda s: F.array_join(s, "-")))
 
 
-def formulas(spark) -> DataFrame:
-    return spark.createDataFrame([(k, f) for k, f in enumerate(FORMULAS)], "id long, formula string").withColumn("comp", parse(F.col("formula")))
+def formulas(spark, sf) -> DataFrame:
+    """(id, formula, comp, plain, parent_formula, tc, built, reports, iqr): a row for each of ``part``, all from its key and size.
+
+    Plain formulas are bases; the others hold a dopant besides. One in seven names another base as its parent.
+    """
+    k, share = F.col("p_partkey"), F.col("p_size") % 10 * 5
+    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    dopant = F.concat(of(DOPANTS, F.floor(k / len(BASES))), F.lit("0."), F.lpad(share.cast("string"), 2, "0"))
+    formula = F.concat(of(BASES, k), F.when(share > 0, dopant).otherwise(""))
+    parent = of(BASES, k + F.when(k % 7 == 0, 1).otherwise(0))
+    tc = F.when(k % 5 == 0, 0.0).otherwise(k * 37 % 1800 / 10.0)
+    rows = table(spark, sf, "part").select(k.alias("id"), formula.alias("formula"), (share == 0).alias("plain"), parent.alias("parent_formula"), tc.alias("tc"), (1 + k % 3).alias("reports"), (k % 13).cast("double").alias("iqr"))
+    return rows.withColumn("built", F.when(F.col("id") % 11 == 0, F.col("parent_formula")).otherwise(F.col("formula"))).withColumn("comp", parse(F.col("formula")))
+
+
+def parents(spark, sf) -> DataFrame:
+    """(parent, pcomp, elements): each plain formula once, under its smallest id, with its sorted elements joined."""
+    each = formulas(spark, sf).filter("plain").groupBy("formula").agg(F.min("id").alias("parent")).withColumn("pcomp", parse(F.col("formula")))
+    return each.select("parent", "pcomp", chemsys(F.col("pcomp")).alias("elements"))
+
+
+def pairs(spark, sf) -> DataFrame:
+    """(id, comp, parent, pcomp): each formula with the plain ones whose elements are its own without three at most."""
+    keys = formulas(spark, sf).select("id", "comp", F.explode(subsets(F.map_keys("comp"))).alias("elements"))
+    return keys.join(parents(spark, sf), "elements").select("id", "comp", "parent", "pcomp")
+
 
+def _pick(values: list[str], at: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][({at} % {len(values)} + 1)::INT]"
 
-_LIST = "(SELECT id, formula FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{f}')" for k, f in enumerate(FORMULAS)) + ") t(id, formula))"
-_TOKENS = f"(SELECT id, unnest(regexp_extract_all(formula, '[A-Z][a-z]?[0-9.]*')) AS t FROM {_LIST})"
-_PARTS = f"(SELECT id, e, sum(n) AS n FROM (SELECT id, regexp_extract(t, '^[A-Z][a-z]?') AS e, CASE WHEN regexp_extract(t, '[0-9.]+$') = '' THEN 1.0::DOUBLE ELSE regexp_extract(t, '[0-9.]+$')::DOUBLE END AS n FROM {_TOKENS}) GROUP BY id, e)"
+
+_ROWS = f"""(SELECT *, CASE WHEN id % 11 = 0 THEN parent_formula ELSE formula END AS built FROM (SELECT p_partkey AS id, {_pick(BASES, 'p_partkey')} || CASE WHEN p_size % 10 > 0 THEN {_pick(DOPANTS, f'(p_partkey // {len(BASES)})')} || '0.' || lpad((p_size % 10 * 5)::VARCHAR, 2, '0') ELSE '' END AS formula,
+    p_size % 10 = 0 AS plain, {_pick(BASES, '(p_partkey + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END)')} AS parent_formula, CASE WHEN p_partkey % 5 = 0 THEN 0.0::DOUBLE ELSE (p_partkey * 37 % 1800)::DOUBLE / 10 END AS tc, 1 + p_partkey % 3 AS reports, (p_partkey % 13)::DOUBLE AS iqr FROM part))"""
+_LIST = f"(SELECT id, formula FROM {_ROWS})"
+_TOKENS_OF = "(SELECT id, unnest(regexp_extract_all(formula, '[A-Z][a-z]?[0-9.]*')) AS t FROM {rows})"
+_PARTS_OF = "(SELECT id, e, sum(n) AS n FROM (SELECT id, regexp_extract(t, '^[A-Z][a-z]?') AS e, CASE WHEN regexp_extract(t, '[0-9.]+$') = '' THEN 1.0::DOUBLE ELSE regexp_extract(t, '[0-9.]+$')::DOUBLE END AS n FROM " + _TOKENS_OF + ") GROUP BY id, e)"
+_PARTS = _PARTS_OF.format(rows=_LIST)
 _SHARES = f"(SELECT id, e, n, n / sum(n) OVER (PARTITION BY id) AS f FROM {_PARTS})"
+_ELEMENTS = f"(SELECT id, list(e ORDER BY e) AS es FROM {_PARTS} GROUP BY id)"
+_POOL = f"(SELECT parent, es AS pes FROM (SELECT min(id) AS parent FROM {_ROWS} WHERE plain GROUP BY formula) JOIN {_ELEMENTS} ON id = parent)"
+_PAIRED = f"(SELECT id, parent FROM {_ELEMENTS} JOIN {_POOL} ON list_has_all(es, pes) AND len(es) - len(pes) <= 3 AND len(pes) >= 2)"
+#: (id, parent, e, a, b, fa, fb): amounts and shares of both sides of each pair, zero where absent.
+_BOTH = f"(SELECT id, parent, e, sum(a) AS a, sum(b) AS b, sum(fa) AS fa, sum(fb) AS fb FROM (SELECT pr.id, pr.parent, e, n AS a, 0 AS b, f AS fa, 0 AS fb FROM {_PAIRED} pr JOIN {_SHARES} s ON s.id = pr.id UNION ALL SELECT pr.id, pr.parent, e, 0, n, 0, f FROM {_PAIRED} pr JOIN {_SHARES} s ON s.id = pr.parent) GROUP BY 1, 2, 3)"
 
 
 def _values(t: dict[str, float]) -> str:
@@ -98,60 +148,63 @@ def _values(t: dict[str, float]) -> str:
 
 @query(f"SELECT id, e AS element, round(n, 6) AS amount FROM {_PARTS}")
 def fn_parse_composition(spark, sf):
-    return formulas(spark).select("id", F.explode("comp").alias("element", "amount")).withColumn("amount", F.round("amount", 6))
+    return formulas(spark, sf).select("id", F.explode("comp").alias("element", "amount")).withColumn("amount", F.round("amount", 6))
 
 
-@query(f"SELECT id, string_agg(e || printf('%.3f', round(f, 3)), '|' ORDER BY e) AS key FROM {_SHARES} GROUP BY id")
+@query(f"SELECT id, string_agg(e || printf('%.3f', round(f + 1e-9, 3)), '|' ORDER BY e) AS key FROM {_SHARES} GROUP BY id")
 def fn_norm_key(spark, sf):
-    return formulas(spark).select("id", norm_key(F.col("comp")).alias("key"))
+    return formulas(spark, sf).select("id", norm_key(F.col("comp")).alias("key"))
 
 
 @query(f"SELECT id, string_agg(e, '-' ORDER BY e) AS chemsys FROM {_PARTS} GROUP BY id")
 def fn_chemsys(spark, sf):
-    return formulas(spark).select("id", chemsys(F.col("comp")).alias("chemsys"))
+    return formulas(spark, sf).select("id", chemsys(F.col("comp")).alias("chemsys"))
 
 
 @query(f"SELECT id, CASE WHEN count(val) = count(*) THEN round(sum(n * val) / sum(n), 5) END AS ea FROM {_PARTS} LEFT JOIN {_values(VALENCE)} ON el = e GROUP BY id")
 def fn_valence_per_atom(spark, sf):
     c = F.col("comp")
-    return formulas(spark).select("id", F.round(weighted(c, VALENCE) / whole(c), 5).alias("ea"))
+    return formulas(spark, sf).select("id", F.round(weighted(c, VALENCE) / whole(c), 5).alias("ea"))
+
 
+def _balance(numbers: dict[str, float], strict: bool) -> str:
+    total = f"(SELECT id, round(-coalesce(sum(n * coalesce(val, 0)) FILTER (e <> 'Cu'), 0) / sum(n) FILTER (e = 'Cu'), 5) AS ox, count(*) FILTER (e <> 'Cu' AND val IS NULL) AS open FROM {_PARTS} LEFT JOIN {_values(numbers)} ON el = e GROUP BY id)"
+    return f"(SELECT id, CASE WHEN open = 0 THEN ox END AS ox FROM {total})" if strict else f"(SELECT id, ox FROM {total})"
 
-@query(f"SELECT id, CASE WHEN count(*) FILTER (e <> 'Cu' AND val IS NULL) = 0 THEN round(-coalesce(sum(n * val) FILTER (e <> 'Cu'), 0) / sum(n) FILTER (e = 'Cu'), 5) END AS cu FROM {_PARTS} LEFT JOIN {_values(OXIDATION)} ON el = e GROUP BY id")
+
+@query(f"SELECT id, a.ox AS short, b.ox AS long, c.ox AS strict FROM {_balance(OXIDATION, False)} a JOIN {_balance(OXIDATION_LONG, False)} b USING (id) JOIN {_balance(OXIDATION_STRICT, True)} c USING (id)")
 def fn_cu_oxidation(spark, sf):
-    return formulas(spark).select("id", F.round(oxidation_of(F.col("comp"), "Cu"), 5).alias("cu"))
+    """The three balances: two where unknown elements count nothing, and one that is left open by them."""
+    of = lambda numbers, missing: F.round(oxidation_of(F.col("comp"), "Cu", numbers, missing), 5)
+    return formulas(spark, sf).select("id", of(OXIDATION, 0.0).alias("short"), of(OXIDATION_LONG, 0.0).alias("long"), of(OXIDATION_STRICT, None).alias("strict"))
 
 
 @query(f"SELECT id, round(sum(n) FILTER (e = 'O') / nullif(sum(n) FILTER (e <> 'O'), 0), 5) AS ratio FROM {_PARTS} GROUP BY id HAVING count(*) FILTER (e = 'O') > 0")
 def fn_anion_ratio(spark, sf):
     o = amount(F.col("comp"), "O")
-    return formulas(spark).filter(o > 0).select("id", F.round(F.try_divide(o, whole(F.col("comp")) - o), 5).alias("ratio"))
+    return formulas(spark, sf).filter(o > 0).select("id", F.round(F.try_divide(o, whole(F.col("comp")) - o), 5).alias("ratio"))
 
 
-@query(f"SELECT id, round(coalesce((2 * sum(n) FILTER (e = 'O') - 3 * coalesce(sum(n) FILTER (e IN ('La', 'Nd')), 0) - 2 * coalesce(sum(n) FILTER (e = 'Sr'), 0)) / sum(n) FILTER (e = 'Ni'), -1), 5) AS ni FROM {_PARTS} GROUP BY id")
+@query(f"SELECT id, round(coalesce((2 * coalesce(sum(n) FILTER (e = 'O'), 0) - 3 * coalesce(sum(n) FILTER (e IN ('La', 'Nd')), 0) - 2 * coalesce(sum(n) FILTER (e = 'Sr'), 0)) / sum(n) FILTER (e = 'Ni'), -1), 5) AS ni FROM {_PARTS} GROUP BY id")
 def fn_ni_valence(spark, sf):
     c = F.col("comp")
     ni = F.try_divide(2 * amount(c, "O") - 3 * (amount(c, "La") + amount(c, "Nd")) - 2 * amount(c, "Sr"), F.nullif(amount(c, "Ni"), F.lit(0.0)))
-    return formulas(spark).select("id", F.round(F.coalesce(ni, F.lit(-1.0)), 5).alias("ni"))
+    return formulas(spark, sf).select("id", F.round(F.coalesce(ni, F.lit(-1.0)), 5).alias("ni"))
 
 
-@query(f"""SELECT a.id, b.id AS other, round(sum(abs(a.f - coalesce(s.f, 0))) + coalesce(max(b.extra), 0), 5) AS l1 FROM {_SHARES} a JOIN (SELECT DISTINCT id FROM {_PARTS}) o ON o.id <> a.id JOIN (SELECT id, 0.0 AS extra FROM (SELECT DISTINCT id FROM {_PARTS})) b ON b.id = o.id LEFT JOIN {_SHARES} s ON s.id = b.id AND s.e = a.e
-    WHERE a.id = 0 AND b.id IN (1) GROUP BY a.id, b.id""".replace("coalesce(max(b.extra), 0)", f"(SELECT sum(f) FROM {_SHARES} x WHERE x.id = 1 AND x.e NOT IN (SELECT e FROM {_PARTS} WHERE id = 0))"))
+@query(f"SELECT id, parent AS other, round(sum(abs(fa - fb)), 5) AS l1, round(max(abs(fa - fb)), 5) AS largest FROM {_BOTH} GROUP BY 1, 2")
 def fn_comp_error(spark, sf):
-    f = formulas(spark)
-    a, b = f.filter("id = 0").select("id", "comp"), f.filter("id = 1").select(F.col("id").alias("other"), F.col("comp").alias("o"))
-    return a.crossJoin(b).select("id", "other", F.round(distance(F.col("comp"), F.col("o")), 5).alias("l1"))
+    d = lambda largest: F.round(distance(F.col("comp"), F.col("pcomp"), largest), 5)
+    return pairs(spark, sf).select("id", F.col("parent").alias("other"), d(False).alias("l1"), d(True).alias("largest"))
 
 
 @query(f"SELECT id, count(*)::INT AS n_subsets FROM (SELECT DISTINCT p.id, m FROM (SELECT id, count(*)::INT AS k FROM {_PARTS} GROUP BY id) p, range(1, 512) r(m) WHERE m < pow(2, k) AND bit_count(m::INT) >= greatest(k - 3, least(k, 2)) AND (bit_count(m::INT) >= 2)) GROUP BY id")
 def fn_subsets(spark, sf):
-    return formulas(spark).select("id", F.size(subsets(F.map_keys("comp"))).alias("n_subsets"))
+    return formulas(spark, sf).select("id", F.size(subsets(F.map_keys("comp"))).alias("n_subsets"))
 
 
 @query("SELECT doc_id, coalesce(nullif(regexp_extract(k, '-MP-(mp-[0-9]+)', 1), ''), k) AS parent, regexp_extract(k, '^(.*?)(?:-(?:MP|ICSD)-.*)?$', 1) AS formula FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE source || '-MP-mp-' || doc_id || '.cif' END AS k FROM documents)")
 def fn_parent_id(spark, sf):
-    from lodestone.registry import table
-
     k = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat("source", F.lit("-MP-mp-"), F.col("doc_id").cast("string"), F.lit(".cif")))
     d = table(spark, sf, "documents").select("doc_id", k.alias("k"))
     parent = F.coalesce(F.nullif(F.regexp_extract("k", "-MP-(mp-[0-9]+)", 1), F.lit("")), F.col("k"))
@@ -161,12 +214,6 @@ def fn_parent_id(spark, sf):
 @query("SELECT event_id, CASE WHEN t > 0 AND t < 2000 THEN round(t, 4) END AS kelvin FROM (SELECT event_id, round(value, 2) + CASE WHEN event_id % 2 = 0 THEN 273.15 ELSE 0 END AS t FROM events)")
 def fn_parse_temp(spark, sf):
     text = F.concat(F.lit("T = "), F.format_string("%.2f", F.round("value", 2)), F.when(F.col("event_id") % 2 == 0, " °C").otherwise(" K"))
-    e = table_of(spark, sf).select("event_id", text.alias("s"))
+    e = table(spark, sf, "events").select("event_id", text.alias("s"))
     t = F.regexp_extract("s", r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double") + F.when(F.col("s").contains("°C"), 273.15).otherwise(0.0)
     return e.select("event_id", F.when((t > 0) & (t < 2000), F.round(t, 4)).alias("kelvin"))
-
-
-def table_of(spark, sf) -> DataFrame:
-    from lodestone.registry import table
-
-    return table(spark, sf, "events")

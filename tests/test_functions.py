@@ -3,6 +3,7 @@
 import io
 import itertools
 import lzma
+import random
 import zipfile
 
 import numpy as np
@@ -28,13 +29,26 @@ def test_sublattice_fit():
     assert chemistry.sublattice_fit({"O": 4}, {"La": 1}) == 9.9 and chemistry.sublattice_fit({"La": 2}, {"La": 1, "Cu": 1}) == 0.1
     assert chemistry.sublattice_fit({"La": 2, "Cu": 1}, {"Sr": 4, "Ni": 2, "O": 1}) == pytest.approx(0)
     assert chemistry.sublattice_fit({"La": 1.85, "Sr": 0.15, "Cu": 1}, {"La": 2, "Cu": 1}) == pytest.approx(0.2)
+    r = random.Random(3)
+    for _ in range(40):  # against every way of joining, one at a time
+        ours, theirs = ({e: r.randrange(1, 9) for e in r.sample(["La", "Sr", "Cu", "Ni", "Ba", "Y"], r.randrange(1, n))} for n in (7, 5))
+        a, b = (sorted((x / sum(c.values()) for x in c.values()), reverse=True) for c in (ours, theirs))
+        if len(a) < len(b):
+            continue
+        every = []
+        for way in itertools.product(range(len(b)), repeat=len(a) - len(b)):
+            sums = [x + sum(y for y, k in zip(a[len(b) :], way) if k == i) for i, x in enumerate(a[: len(b)])]
+            every.append(sum(abs(x - y) for x, y in zip(sorted(sums, reverse=True), b)))
+        assert chemistry.sublattice_fit(ours, theirs) == pytest.approx(min(every) + 0.2 * (len(a) - len(b)))
 
 
 def test_subshells(spark):
     # Z, charge and outer electrons in s, p, d and f.
-    for z, charge, want in [(1, 0, [1, 0, 0, 0]), (1, 3, [0, 0, 0, 0]), (8, 0, [2, 4, 0, 0]), (10, 0, [2, 6, 0, 0]), (26, 0, [2, 0, 6, 0]), (26, 3, [0, 0, 5, 0]), (60, 3, [0, 0, 0, 3]), (83, 3, [2, 0, 10, 14])]:
+    for z, charge, want in [(1, 0, [1, 0, 0, 0]), (1, 3, [0, 0, 0, 0]), (8, 0, [2, 4, 0, 0]), (10, 0, [2, 6, 0, 0]), (26, 0, [2, 0, 6, 0]), (26, 3, [0, 0, 5, 0]), (60, 3, [0, 0, 0, 3]), (83, 3, [2, 0, 10, 14]), (29, 0, [1, 0, 10, 0]), (29, 2, [0, 0, 9, 0]), (41, 0, [1, 0, 4, 0]), (79, 0, [1, 0, 10, 14]), (8, -2, [2, 6, 0, 0]), (46, 0, [0, 0, 10, 0])]:
         assert chemistry.subshells(z, charge) == want
     blocks = {r["z"]: r["block"] for r in QUERIES["fn_atom_init"](spark, SF).collect()}
+    counts = {r["z"]: r["outer_count"] for r in QUERIES["fn_atom_init"](spark, SF).collect()}
+    assert [counts[z] for z in (1, 3, 8, 26, 29, 56, 57, 60, 72, 83)] == [1, 1, 3, 5, 8, 2, 0, 0, 1, 2]
     assert len(blocks) == 118 and [blocks[z] for z in (3, 8, 20, 26, 30, 31, 60, 83)] == ["s", "p", "s", "d", "d", "p", "f", "p"]
 
 
