@@ -168,8 +168,10 @@ def agg_angle_rbf_mean(spark, sf):
 
 @query("SELECT round(quantile_cont(value, 0.05), 4) AS p5, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, event_type FROM events GROUP BY event_type")
 def agg_quantiles(spark, sf):
-    q = table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    return q.select(*[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p5", "p50", "p95"))], "event_type")
+    from lodestone.operators.windows import quantiles
+
+    shares = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+    return quantiles(table(spark, sf, "events"), "event_type", "value", shares).select(*[F.round(c, 4).alias(c) for c in shares], "event_type")
 
 
 @query("SELECT o_orderkey, round((a + b + coalesce(c, 0)) / (CASE WHEN c IS NULL THEN 2 ELSE 3 END), 4) AS mean, least(a, b, c) AS lo, greatest(a, b, c) AS hi FROM (SELECT o_orderkey, o_totalprice AS a, o_totalprice * 1.1 AS b, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 0.9 END AS c FROM orders)")

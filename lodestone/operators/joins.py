@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.registry import query, table
+from lodestone.registry import query, table, written
 
 
 def in_all(frames: list[DataFrame], key: str) -> DataFrame:
@@ -99,21 +99,29 @@ def join_elementwise_tolerance(spark, sf):
     return a.join(b, on, "left_semi").select("p_partkey")
 
 
-def band_neighbours(df: DataFrame, block: str, key: str, value: str, reach: float) -> DataFrame:
-    """(a, b) rows within ``reach`` of each other in a block: an equi-join on the block and the band of the value."""
+def band_neighbours(df: DataFrame, block: str, key: str, value: str, reach: float, itself: bool = False) -> DataFrame:
+    """(block, a, b) rows within ``reach`` of each other in a block: an equi-join on the block and the band of the value."""
     band = F.floor(F.col(value) / reach)
     left = df.select(F.col(block).alias("block"), F.col(key).alias("a"), F.col(value).alias("va"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     right = df.select(F.col(block).alias("block"), F.col(key).alias("b"), F.col(value).alias("vb"), band.alias("band"))
-    return left.join(right, ["block", "band"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= reach))
+    near = left.join(right, ["block", "band"]).filter(F.abs(F.col("va") - F.col("vb")) <= reach)
+    return near if itself else near.filter(F.col("a") != F.col("b"))
 
 
 @query("""SELECT a.p_partkey AS id, count(*) AS n, round(median(b.p_size), 4) AS around FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 25 GROUP BY 1 HAVING count(*) >= 3""")
 def join_band_self(spark, sf):
-    p = table(spark, sf, "part")
-    near = band_neighbours(p, "p_brand", "p_partkey", "p_retailprice", 25.0)
-    sizes = p.select(F.col("p_partkey").alias("b"), "p_size")
-    out = near.select("a", "b").join(sizes, "b").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.round(F.median("p_size"), 4).alias("around"))
-    return out.filter("n >= 3")
+    """Equal prices and sizes of a brand are counted before they meet, so pairs are of distinct prices and not of rows; a part's own
+    size is taken out of the counts around it."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
+    counts = written(p.groupBy("p_brand", "p_retailprice", "p_size").agg(F.count("*").alias("k")))
+    prices = counts.select("p_brand", "p_retailprice").distinct().withColumn("key", F.col("p_retailprice"))
+    near = band_neighbours(prices, "p_brand", "key", "p_retailprice", 25.0, itself=True).select("block", "a", "b")
+    sizes = counts.select(F.col("p_brand").alias("block"), F.col("p_retailprice").alias("b"), F.col("p_size").alias("size"), "k")
+    around = near.join(sizes, ["block", "b"]).groupBy("block", "a", "size").agg(F.sum("k").alias("k"))
+    own = counts.select(F.col("p_brand").alias("block"), F.col("p_retailprice").alias("a"), F.col("p_size").alias("own"))
+    left = around.join(own, ["block", "a"]).withColumn("k", F.col("k") - F.when(F.col("size") == F.col("own"), 1).otherwise(0)).filter("k > 0")
+    told = left.groupBy("block", "a", "own").agg(F.sum("k").alias("n"), F.round(F.percentile("size", F.lit(0.5), F.col("k")), 4).alias("around")).filter("n >= 3")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"), F.col("p_retailprice").alias("a"), F.col("p_size").alias("own")).join(told, ["block", "a", "own"]).select("id", "n", "around")
 
 
 @query("""SELECT DISTINCT id FROM (SELECT unnest([a.p_partkey, b.p_partkey]) AS id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) > 10)""")

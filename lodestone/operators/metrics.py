@@ -57,11 +57,10 @@ def agg_classification(spark, sf):
 
 def auc_by(df: DataFrame, group: str, truth: str, score: str) -> DataFrame:
     """Exact area under the ROC curve by group: average ranks from counts of equal scores; null with one class only."""
-    from pyspark.sql import Window
+    from lodestone.operators.windows import rank_counts
 
-    each = df.groupBy(group, score).agg(F.count("*").alias("n"), F.count_if(truth).alias("pos"))
-    below = F.sum("n").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = each.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+    pos = df.groupBy(group, score).agg(F.count_if(truth).alias("pos"))
+    ranked = rank_counts(df, group, score).join(pos, [group, score]).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     s = ranked.groupBy(group).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("m"))
     return s.select(group, F.round(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("m")), 6).alias("auc"))
 
@@ -106,10 +105,10 @@ def agg_pearson(spark, sf):
 
 @query(f"""SELECT family, round(corr(a, b), 5) AS rho FROM (SELECT family, rank() OVER (PARTITION BY family ORDER BY y) + (count(*) OVER (PARTITION BY family, y) - 1) / 2 AS a, rank() OVER (PARTITION BY family ORDER BY z) + (count(*) OVER (PARTITION BY family, z) - 1) / 2 AS b FROM (SELECT *, floor(p / 1000) AS z FROM {_TRUTH})) GROUP BY 1""")
 def agg_spearman(spark, sf):
-    from lodestone.operators.windows import average_rank
+    from lodestone.operators.windows import with_average_rank
 
-    e = estimates(spark, sf).withColumn("z", F.floor(F.col("p") / 1000))
-    r = e.select("family", average_rank("family", "y").alias("a"), average_rank("family", "z").alias("b"))
+    e = estimates(spark, sf).select("family", "y", F.floor(F.col("p") / 1000).alias("z"))
+    r = with_average_rank(with_average_rank(e, "family", "y", "a"), "family", "z", "b")
     return r.groupBy("family").agg(F.round(F.corr("a", "b"), 5).alias("rho"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.metrics import _TRUTH, estimates
 from lodestone.operators.projections import cascade
-from lodestone.operators.windows import global_position
+from lodestone.operators.windows import global_position, quantiles
 from lodestone.registry import query, table, written
 
 
@@ -31,13 +33,6 @@ def stacked(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def wanted_count(n: int, ratio: float | None, available: int) -> int:
-    """Rows to add for ``n`` others at n : ratio; none for a missing, infinite or not positive ratio."""
-    if not ratio or ratio <= 0 or ratio == float("inf"):
-        return 0
-    return min(round(n / ratio), available)
-
-
 @query("SELECT p_partkey, CASE WHEN p_retailprice < 905 AND m > 920 THEN 'low in high cloud' WHEN p_retailprice > 920 AND m < 905 THEN 'high in low cloud' WHEN abs(p_retailprice - m) > 10 THEN 'mid' ELSE 'in' END AS class FROM (SELECT *, median(p_retailprice) OVER (PARTITION BY p_brand) AS m FROM part)")
 def outlier_classes(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
@@ -93,8 +88,8 @@ def coverage_report(spark, sf):
 @query(f"SELECT family, count(*) AS n, round(median(y / q), 5) AS ratio, round(quantile_cont(y / q, 0.25), 5) AS p25, round(quantile_cont(y / q, 0.75), 5) AS p75 FROM {_TRUTH} WHERE q > 0 AND grp = 'F' GROUP BY 1")
 def screen_calibration(spark, sf):
     e = estimates(spark, sf).filter("q > 0 AND grp = 'F'").withColumn("r", F.col("y") / F.col("q"))
-    at = lambda p: F.round(F.percentile("r", F.lit(p)), 5)
-    return e.groupBy("family").agg(F.count("*").alias("n"), at(0.5).alias("ratio"), at(0.25).alias("p25"), at(0.75).alias("p75"))
+    shares = {"ratio": 0.5, "p25": 0.25, "p75": 0.75}
+    return quantiles(e, "family", "r", shares).select("family", "n", *[F.round(c, 5).alias(c) for c in shares])
 
 
 @query("SELECT o_orderkey, c_mktsegment AS carried FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -254,23 +249,23 @@ def sample_balanced_subset(spark, sf):
     return r.join(starts, "toxic").crossJoin(F.broadcast(sizes)).filter("r - start < k").select("doc_id", "toxic")
 
 
-@query()
+_POISSON = [0.36787944117144233]  # exp(-1) and the further levels of a Poisson variable of mean one
+for _k in range(1, 8):
+    _POISSON.append(_POISSON[-1] + _POISSON[0] / math.factorial(_k))
+
+
+@query(f"""WITH d AS (SELECT id, abs(p - y) - abs(q - y) AS d FROM {_TRUTH}), w AS (SELECT b, d, u, {' + '.join(f'(u >= {x!r}::DOUBLE)::INT' for x in _POISSON)} AS w FROM (SELECT b, d, ('0x' || substr(md5(id || ':' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, range(1, 201) r(b))),
+    m AS (SELECT b, sum(d * w) / sum(w) AS m FROM w GROUP BY 1) SELECT (SELECT round(avg(d), 3) FROM d) AS mean, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM m""")
 def agg_bootstrap_paired(spark, sf, replicates: int = 200):
     """Mean paired difference and its 95 % interval. Each row gets a Poisson weight a replicate from a hash of both, so all
     replicates come from one pass with partial sums: 200 rows leave each task, however large the table is."""
-    p0 = 0.36787944117144233  # exp(-1): Poisson of mean one, by inversion
-    levels, c, t = [], p0, p0
-    for k in range(1, 8):
-        levels.append(c)
-        t /= k
-        c += t
     d = estimates(spark, sf).select("id", (F.abs(F.col("p") - F.col("y")) - F.abs(F.col("q") - F.col("y"))).alias("d"))
-    u = F.pmod(F.xxhash64("id", "b"), F.lit(1 << 30)) / (1 << 30)
-    w = sum(((u >= x).cast("int") for x in levels), F.lit(0))
-    r = d.select("id", "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).withColumn("w", w)
-    means = r.groupBy("b").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("m"))
-    ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return ci.crossJoin(d.agg(F.avg("d").alias("mean"))).select("mean", "low", "high")
+    r = d.select("id", "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("b").cast("string")).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
+    means = r.withColumn("u", u).withColumn("w", sum(((F.col("u") >= x).cast("int") for x in _POISSON), F.lit(0))).groupBy("b").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("m"))
+    ci = means.agg(F.round(F.percentile("m", F.lit(0.025)), 3).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 3).alias("high"))  # a row for each replicate
+    return ci.crossJoin(d.agg(F.round(F.avg("d"), 3).alias("mean"))).select("mean", "low", "high")
 
 
 @query(f"""SELECT round(a, 6) AS l1_tc, round(b, 6) AS mse_gap, round(c, 6) AS huber_e, round(a + 0.5 * b + 2 * c, 6) AS total FROM (SELECT avg(abs(p - y) / s) AS a, avg(pow((q - y) / s, 2)) FILTER (grp = 'F') AS b, avg(CASE WHEN abs(p - q) / s <= 1 THEN 0.5 * pow((p - q) / s, 2) ELSE abs(p - q) / s - 0.5 END) FILTER (grp <> 'P') AS c
@@ -311,7 +306,10 @@ def cut_batches(sizes: DataFrame, key: str, size: str, pool: int = 64, rows: int
     return at.groupBy("pool").applyInPandas(cut, "key long, size long, pool long, batch long")
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT l_orderkey, count(*) AS size FROM lineitem GROUP BY 1), h AS (SELECT *, (row_number() OVER (ORDER BY md5(l_orderkey::VARCHAR), l_orderkey) - 1) // 64 AS pool FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY size, l_orderkey) AS i FROM h),
+    s AS (SELECT l_orderkey, size, pool, i, 0::BIGINT AS batch, 1::BIGINT AS k, size::BIGINT AS total FROM r WHERE i = 1
+    UNION ALL SELECT r.l_orderkey, r.size, r.pool, r.i, CASE WHEN k = 8 OR total + r.size > 40 THEN batch + 1 ELSE batch END, CASE WHEN k = 8 OR total + r.size > 40 THEN 1 ELSE k + 1 END, CASE WHEN k = 8 OR total + r.size > 40 THEN r.size ELSE total + r.size END FROM s JOIN r ON r.pool = s.pool AND r.i = s.i + 1)
+    SELECT l_orderkey, size, pool, batch FROM s""")
 def win_size_grouped_batches(spark, sf):
     n = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return cut_batches(n, "l_orderkey", "n").withColumnRenamed("key", "l_orderkey")

@@ -12,11 +12,6 @@ def top_k(df: DataFrame, key: list[str], order: list, k: int, rank: str = "rank"
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def average_rank(group: str, value: str) -> Column:
-    """The rank of ``value`` in its group, ties sharing the mean of their ranks."""
-    return F.rank().over(Window.partitionBy(group).orderBy(value)) + (F.count("*").over(Window.partitionBy(group, value)) - 1) / 2
-
-
 def global_position(df: DataFrame, order: list[str], name: str = "position", amount: Column | None = None) -> DataFrame:
     """``df`` with the exclusive running sum of ``amount`` (1: the position) in the order of ``order``, in any number of tasks.
 
@@ -30,6 +25,35 @@ def global_position(df: DataFrame, order: list[str], name: str = "position", amo
     return dealt.withColumn("__own", own).join(before.drop("__sum"), "__part").withColumn(name, F.col("__own") + F.col("__before")).select(*df.columns, name)
 
 
+def rank_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, below, total): how many rows have the value, a smaller one, and any, in each group. Nulls are left out.
+
+    Equal values are counted before they meet, and places go by ranges: a group may be of any size.
+    """
+    each = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    at = global_position(each, [group, value], "__before", F.col("n"))
+    starts = at.groupBy(group).agg(F.min("__before").alias("__start"), F.sum("n").alias("total"))
+    j = at.alias("a").join(starts.alias("s"), F.col(f"a.{group}").eqNullSafe(F.col(f"s.{group}")))
+    return j.select(f"a.{group}", f"a.{value}", "n", (F.col("__before") - F.col("__start")).alias("below"), "total")
+
+
+def with_average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``df`` with the rank of ``value`` in its group, ties sharing the mean of their ranks."""
+    ranks = rank_counts(df, group, value).select(F.col(group).alias("__g"), F.col(value).alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias(name))
+    return df.join(ranks, df[group].eqNullSafe(F.col("__g")) & (df[value] == F.col("__v")), "left").drop("__g", "__v")
+
+
+def quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, n, a column for each of ``shares``): exact percentiles between neighbours, from counts of equal values."""
+    c = rank_counts(df, group, value)
+    at = lambda share: share * (F.col("total") - 1)
+    holds = lambda place: (F.col("below") <= place) & (place < F.col("below") + F.col("n"))
+    picked = [F.max(F.when(holds(f(at(share))), F.col(value))).alias(f"__{name}_{side}") for name, share in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    q = c.groupBy(group).agg(F.max("total").alias("n"), *picked)
+    part = lambda share: share * (F.col("n") - 1) - F.floor(share * (F.col("n") - 1))
+    return q.select(group, "n", *[(F.col(f"__{k}_low") + (F.col(f"__{k}_high") - F.col(f"__{k}_low")) * part(share)).alias(k) for k, share in shares.items()])
+
+
 @query("SELECT l_partkey, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount, l_extendedprice, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 8")
 def win_topk_per_key(spark, sf):
     return top_k(table(spark, sf, "lineitem"), ["l_partkey"], ["l_discount", "l_extendedprice", "l_orderkey", "l_linenumber"], 8).select("l_partkey", "l_orderkey", "l_linenumber", "rank")
@@ -110,7 +134,7 @@ def win_leak_guard(spark, sf):
 
 @query("SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS r FROM part")
 def win_rank_avg(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", average_rank("p_brand", "p_size").alias("r"))
+    return with_average_rank(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), "p_brand", "p_size", "r").select("p_partkey", "r")
 
 
 @query("SELECT event_id, ((row_number() OVER (ORDER BY md5(event_id || ':1'), event_id) - 1) % 4)::BIGINT AS shard FROM events")
@@ -157,29 +181,66 @@ def topk_cumulative_share(spark, sf):
     return top.crossJoin(n.agg(F.sum("n").alias("every"))).select(F.round(F.col("top") / F.col("every"), 6).alias("share"))
 
 
+#: The splits, in the order in which ties go.
+SPLITS = ("test", "val", "train")
+
+
+def deal(sizes: list[tuple[int, int]], ratios: dict[str, float]) -> list[tuple[int, int, int, list[str]]]:
+    """(size, first rank, end of ranks, splits in turn): who takes the groups of each size, largest size first.
+
+    Each group goes to the split that lacks most rows. While one split lacks more than the others by whole groups it takes
+    all; then it takes turns with the next one, and at last all three do: three runs a size at most, whatever the count.
+    """
+    total = sum(n * count for n, count in sizes)
+    lack = {s: ratios[s] * total for s in SPLITS}
+    out = []
+    for n, count in sorted(sizes, reverse=True):
+        at = 0
+        while at < count:
+            first, second, third = sorted(SPLITS, key=lambda s: (-lack[s], SPLITS.index(s)))
+            ahead = lambda a, b, k=0: (lack[a] - k * n, -SPLITS.index(a)) > (lack[b], -SPLITS.index(b))
+            if not ahead(first, third, 1):
+                turns, rounds = [first, second, third], -(-(count - at) // 3)
+            else:
+                turns = [first] if ahead(first, second, 1) else [first, second]
+                rounds, rival = 1, second if len(turns) == 1 else third
+                rounds = max(int((lack[turns[-1]] - lack[rival]) // n) - 1, 1)
+                while ahead(turns[-1], rival, rounds):
+                    rounds += 1
+            taken = min(rounds * len(turns), count - at)
+            out.append((n, at, at + taken, turns))
+            for k, s in enumerate(turns):
+                lack[s] -= n * ((taken - k + len(turns) - 1) // len(turns))
+            at += taken
+    return out
+
+
 def grouped_split(groups: DataFrame, ratios: dict[str, float]) -> DataFrame:
-    """(family, grp, n, split): each group goes to the split that lacks most rows, largest group first, within a family.
+    """(family, grp, n, split) of (family, grp, n, h): each group goes to the split that lacks most rows, largest first, then by h and grp, in a family.
 
-    The state is the rows given so far, so a family's groups meet in one task; they are counts, not rows.
+    The choice is made over the histogram of sizes, whose length is at most the root of twice a family's rows; each group
+    finds its split by its rank among those of its size.
     """
     import pandas as pd
 
-    names = ("test", "val", "train")
+    at = global_position(groups, ["family", F.desc("n"), "h", "grp"], "__at")
+    sizes = written(at.groupBy("family", "n").agg(F.count("*").alias("count"), F.min("__at").alias("start")))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "grp"]).sort_values("n", ascending=False, kind="stable")
-        lack = {s: ratios[s] * pdf["n"].sum() for s in names}
-        out = []
-        for n in pdf["n"]:
-            s = max(names, key=lambda x: lack[x])
-            lack[s] -= n
-            out.append(s)
-        return pdf.assign(split=out)[["family", "grp", "n", "split"]]
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = deal(list(zip(pdf["n"].tolist(), pdf["count"].tolist())), ratios)
+        return pd.DataFrame([(pdf["family"].iloc[0], *x) for x in found], columns=["family", "n", "low", "high", "turns"])
 
-    return groups.groupBy("family").applyInPandas(place, "family string, grp long, n long, split string")
+    table_of = sizes.groupBy("family").applyInPandas(runs, "family string, n long, low long, high long, turns array<string>").join(sizes, ["family", "n"])
+    j = at.join(F.broadcast(table_of), ["family", "n"]).withColumn("rank", F.col("__at") - F.col("start")).filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    turn = ((F.col("rank") - F.col("low")) % F.size("turns")).cast("int")
+    return j.select("family", "grp", "n", F.get("turns", turn).alias("split"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT o_orderpriority AS family, o_custkey AS grp, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, md5(grp::VARCHAR), grp) AS i, sum(n) OVER (PARTITION BY family) AS total FROM g),
+    s AS (SELECT family, 0::BIGINT AS i, 0::BIGINT AS grp, 0::BIGINT AS n, ''::VARCHAR AS split, 0.1::DOUBLE * total AS test, 0.1::DOUBLE * total AS val, 0.8::DOUBLE * total AS train FROM (SELECT DISTINCT family, total FROM r)
+    UNION ALL SELECT family, i, grp, n, split, test - CASE WHEN split = 'test' THEN n ELSE 0 END, val - CASE WHEN split = 'val' THEN n ELSE 0 END, train - CASE WHEN split = 'train' THEN n ELSE 0 END
+    FROM (SELECT s.family, r.i, r.grp, r.n, test, val, train, CASE WHEN test >= val AND test >= train THEN 'test' WHEN val >= train THEN 'val' ELSE 'train' END AS split FROM s JOIN r ON r.family = s.family AND r.i = s.i + 1))
+    SELECT family, grp, n, split FROM s WHERE i > 0""")
 def win_greedy_grouped_split(spark, sf):
     o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("grp")).agg(F.count("*").alias("n"))
     return grouped_split(o.withColumn("h", F.md5(F.col("grp").cast("string").cast("binary"))), {"test": 0.1, "val": 0.1, "train": 0.8})

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators.windows import global_position
 from lodestone.registry import query, scratch, table, written
 
-#: Columns that a property table may have beside its id.
+# Columns that a property table may have beside its id.
 TARGETS = ("tc", "e_above_hull", "formation_energy_per_atom", "energy_per_atom", "bandgap", "eph_lambda", "eph_wlog")
 
 
@@ -72,29 +73,52 @@ def scan_jsonl_gz(spark, sf):
     return spark.read.schema("page_id long, url string, location string").json(path).select("page_id", F.coalesce("url", "location").alias("url"))
 
 
-@query("SELECT 'mb-' || lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 6, '0') AS id, p_partkey FROM part WHERE p_partkey <= 100")
-def scan_json_gz_split_orient(spark, sf):
+@query("SELECT 'mb-' || lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, greatest(6, len((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR))::INT, '0') AS id, p_partkey FROM part")
+def scan_json_gz_split_orient(spark, sf, rows: int = 1000):
+    """``{first, columns, data}`` documents of ``rows`` rows each; a row's id is its place among all of them."""
     path = scratch(spark)
-    rows = F.array_sort(F.collect_list("p_partkey"))
-    table(spark, sf, "part").filter("p_partkey <= 100").agg(rows.alias("data")).write.option("compression", "gzip").json(path)
-    return spark.read.schema("data array<long>").json(path).select(F.posexplode("data").alias("pos", "p_partkey")).select(F.format_string("mb-%06d", "pos").alias("id"), "p_partkey")
+    at = global_position(table(spark, sf, "part").select("p_partkey"), ["p_partkey"]).withColumn("document", F.floor(F.col("position") / rows))
+    data = F.transform(F.array_sort(F.collect_list(F.struct("position", "p_partkey"))), lambda r: F.array(r["p_partkey"]))  # ``rows`` at most
+    at.groupBy("document").agg(F.min("position").alias("first"), data.alias("data")).select("first", F.array(F.lit("p_partkey")).alias("columns"), "data").write.option("compression", "gzip").json(path)
+    back = spark.read.schema("first long, columns array<string>, data array<array<long>>").json(path).select("first", F.posexplode("data").alias("pos", "row"))
+    return back.select(F.format_string("mb-%06d", F.col("first") + F.col("pos")).alias("id"), F.get("row", F.lit(0)).alias("p_partkey"))
 
 
-@query("SELECT o_orderkey AS x, round(o_totalprice, 2) AS y FROM orders WHERE o_orderkey < 200")
+@query("SELECT o_orderkey AS x, round(o_totalprice, 2) AS y FROM orders")
 def scan_text_regex(spark, sf):
     path = scratch(spark)
     line = F.concat(F.lit("  "), F.col("o_orderkey").cast("string"), F.lit("   "), F.format_string("%.2f", "o_totalprice"))
-    table(spark, sf, "orders").filter("o_orderkey < 200").select(F.explode(F.array(F.lit("# a comment"), line)).alias("value")).write.text(path)
+    table(spark, sf, "orders").select(F.explode(F.array(F.lit("# a comment"), line)).alias("value")).write.text(path)
     number = r"^\s*(-?[0-9.]+)\s+(-?[0-9.]+)\s*$"
     t = spark.read.text(path).filter(~F.col("value").startswith("#"))
     return t.select(F.regexp_extract("value", number, 1).cast("long").alias("x"), F.regexp_extract("value", number, 2).cast("double").alias("y"))
 
 
-@query("SELECT count(*) AS pages, count(DISTINCT url) AS urls FROM pages")
+def listed_ids(spark: SparkSession, folders: list[str], pattern: str) -> DataFrame:
+    """(id, path): an id for each file of ``folders`` whose name fits ``pattern`` (its first group), from the first folder that has it.
+
+    Only the listing is used; contents aren't read.
+    """
+    out = None
+    for k, folder in enumerate(folders):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.regexp_extract(F.element_at(F.split("path", "/"), -1), pattern, 1).alias("id"), F.lit(k).alias("folder"))
+        out = found if out is None else out.unionByName(found)
+    return out.filter("id <> ''").groupBy("id").agg(F.min_by("path", F.struct("folder", "path")).alias("path"), F.min("folder").alias("folder"))
+
+
+@query("SELECT 'mp-' || n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1 END AS folder FROM nation WHERE n_nationkey % 4 <> 1 OR n_nationkey % 3 = 0")
 def scan_dir_listing(spark, sf):
-    path = scratch(spark)
-    table(spark, sf, "pages").write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType())])).parquet(path).agg(F.count("*").alias("pages"), F.count_distinct("url").alias("urls"))
+    """Two folders of files named after ids: the first folder wins, files with other names don't count."""
+    path, hadoop = scratch(spark), spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in table(spark, sf, "nation").select("n_nationkey").collect():  # 25 nations: the files that are listed afterwards
+        k = r["n_nationkey"]
+        names = [f"a/mp-{k}.json"] * (k % 3 == 0) + [f"b/other-{k}.json" if k % 4 == 1 else f"b/mp-{k}.cif.json"]
+        for name in names:
+            out = fs.create(hadoop(f"{path}/{name}"))
+            out.writeByte(1)  # readers pass over empty files
+            out.close()
+    return listed_ids(spark, [f"{path}/a", f"{path}/b"], r"^(mp-.*?)(?:\.cif)?\.json$").select("id", "folder")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderstatus = 'F'")
@@ -107,7 +131,11 @@ def source_chunked_resumable(spark, sf):
 
 @query("SELECT c_custkey, c_name FROM customer")
 def sink_atomic(spark, sf):
-    return written(table(spark, sf, "customer").select("c_custkey", "c_name"))
+    """A table that replaces an older one in one move."""
+    c, target = table(spark, sf, "customer").select("c_custkey", "c_name"), scratch(spark)
+    swap_in(c.withColumn("c_name", F.lit("old")), target)
+    swap_in(c, target)
+    return spark.read.schema(c.schema).parquet(target)
 
 
 @query("SELECT doc_id % 5 AS material, CASE WHEN doc_id % 2 = 0 THEN 'dfpt' ELSE 'togo' END AS method, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -180,16 +208,20 @@ def sink_pickle_csv_twin(spark, sf):
 
 
 def swap_in(df: DataFrame, target: str) -> None:
-    """Write beside ``target`` and rename when whole; what a broken run leaves is ``target.partial``, never a changed target."""
+    """Write beside ``target`` and rename when whole; what a broken run leaves is ``target.partial`` or ``target.old``, never a half-written target."""
     spark = df.sparkSession
     part = f"{target}.partial"
     df.write.mode("overwrite").parquet(part)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(target)):
-        fs.delete(path(target), True)
+    fs, old = path(target).getFileSystem(spark._jsc.hadoopConfiguration()), f"{target}.old"
+    fs.delete(path(old), True)
+    # the old table steps aside first, so at each moment one whole table is there
+    if fs.exists(path(target)) and not fs.rename(path(target), path(old)):
+        raise OSError(f"could not move {target} aside")
     if not fs.rename(path(part), path(target)):
+        fs.rename(path(old), path(target))
         raise OSError(f"could not move {part} to {target}")
+    fs.delete(path(old), True)
 
 
 @query("SELECT n_nationkey, n_name FROM nation")

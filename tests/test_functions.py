@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lodestone.functions import chemistry, composition, spectra
-from lodestone.operators import reports
+from lodestone.operators import reports, windows
 from lodestone.queries import QUERIES
 from lodestone.registry import table
 from lodestone.sources import files
@@ -64,18 +64,23 @@ def test_nested_formulas(spark):
 
 
 def test_density_on_grid():
-    assert spectra.density_on_grid(np.array([1.0]), np.array([1.0]), 0.0, -10, 5, 128, 0.1) is None
-    assert spectra.density_on_grid(np.arange(9.0), np.ones(9), None, -10, 5, 128, 0.1) is None
-    assert spectra.density_on_grid(np.arange(9.0) + 100, np.ones(9), 0.0, -10, 5, 128, 0.1) is None
-    flat = spectra.density_on_grid(np.array([20.0, -20.0]), np.ones(2), 0.0, -10, 5, 128, 0.3)
-    assert flat == pytest.approx(np.ones(128))  # smoothing loses nothing at the edges
+    one = lambda x, level: spectra.densities(np.array([x]), np.array([level]), -10, 5, 128, 0.3)[0]
+    assert one([1.0], 0.0) is None and one(np.ones(9), np.nan) is None and one(np.ones(9), 100.0) is None
+    assert one(np.ones(200), 50.0) == pytest.approx(np.ones(128))  # smoothing loses nothing at the edges
+    r = np.random.default_rng(4)
+    x, level, grid = r.standard_normal((7, 30)), r.uniform(-3, 12, 7), np.linspace(-10, 5, 128)
+    for row, at, got in zip(x, level, spectra.densities(x, level, -10, 5, 128, 0.3), strict=True):
+        plain = np.interp(grid + at, np.arange(30) * 0.5, row, left=0.0, right=0.0)
+        near = np.array([[np.exp(-((a - b) ** 2) / 0.18) if abs(a - b) <= 0.9 + 1e-9 else 0.0 for b in grid] for a in grid])
+        assert got == pytest.approx(np.maximum(near @ plain / near.sum(axis=1), 0))
 
 
 def test_bin_means_keep_the_integral():
-    x = np.linspace(0, 8, 4001)
+    x = np.arange(4001) * 0.002
     y = np.exp(-((x - 3) ** 2))
-    assert spectra.bin_means(x, y, 16, 8.0).sum() * 0.5 == pytest.approx(np.trapezoid(y, x), rel=1e-3)
-    assert not spectra.bin_means(x[:5] + 100, y[:5], 4, 8.0).any()
+    assert (spectra.bin_weights(4001, 0.002, 16, 8.0) @ y).sum() * 0.5 == pytest.approx(np.trapezoid(y, x), rel=1e-3)
+    w = spectra.bin_weights(5, 0.5, 4, 8.0)  # data end at 2
+    assert not w[1:].any() and w[0].sum() == pytest.approx(1)
 
 
 def test_gram_rank_whitening_and_ridge(spark):
@@ -129,7 +134,6 @@ def test_guards(spark):
     with pytest.raises(PySparkException, match="no value"):
         reports.require(df, F.col("a").isNotNull(), "no value").collect()
     assert reports.require(df, F.col("id") > 0, "x").count() == 2
-    assert [reports.wanted_count(5, r, 9) for r in (None, 0, float("inf"), 2, 0.1)] == [0, 0, 0, 2, 9]
     assert reports.stacked([df, df.select("id", F.lit("x").alias("c"))]).columns == ["id", "a", "b", "c"]
 
 
@@ -145,4 +149,21 @@ def test_archive_headers(spark, tmp_path):
 
 def test_smooth_guide_is_a_line(spark):
     rows = sorted(QUERIES["win_smooth_guide"](spark, SF).collect())
-    assert len(rows) == 300 and all(r["y"] >= 0 for r in rows) and len({round(b["x"] - a["x"], 6) for a, b in itertools.pairwise(rows)}) == 1
+    assert len(rows) == 300 and all(r["y"] >= 0 for r in rows) and len({round(b["x"] - a["x"], 4) for a, b in itertools.pairwise(rows)}) == 1
+
+
+def test_deal_by_single_steps():
+    """The runs of the greedy split against giving the groups one at a time."""
+    r = random.Random(11)
+    for _ in range(200):
+        sizes = [(n, r.randrange(1, 30)) for n in r.sample(range(1, 40), r.randrange(1, 8))]
+        ratios = dict(zip(windows.SPLITS, r.choice([(0.1, 0.1, 0.8), (0.25, 0.25, 0.5), (0.3, 0.5, 0.2)])))
+        lack = {s: ratios[s] * sum(n * c for n, c in sizes) for s in windows.SPLITS}
+        given = []
+        for n, count in sorted(sizes, reverse=True):
+            for k in range(count):
+                s = max(windows.SPLITS, key=lambda x: lack[x])
+                lack[s] -= n
+                given.append((n, k, s))
+        runs = windows.deal(sizes, ratios)
+        assert [(n, k, turns[(k - lo) % len(turns)]) for n, lo, hi, turns in runs for k in range(lo, hi)] == given
