@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.composition import _PARTS, VALENCE, formulas
 from lodestone.registry import query, table, written
 
 
@@ -174,23 +175,56 @@ def join_fixed_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(s, "doc_id", "left").groupBy(F.coalesce("split", F.lit("unmapped")).alias("split")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT a.doc_id, a.source FROM documents a WHERE a.doc_id IN (SELECT doc_id FROM labels) AND a.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+@query("""WITH l AS (SELECT doc_id + CASE WHEN toxic = 1 THEN 1000000000 ELSE 0 END AS doc_id FROM labels) SELECT doc_id, source, (SELECT count(*) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)) AS missing FROM documents WHERE doc_id IN (SELECT doc_id FROM l)""")
 def eval_ids_import(spark, sf):
+    """Exactly the rows of a shared list of ids, and how many of its ids aren't there (some of this list are of another table)."""
     d, l = table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels")
-    return d.join(l, "doc_id", "left_semi").join(l.filter("toxic = 1"), "doc_id", "left_anti")
+    listed = l.select((F.col("doc_id") + F.when(F.col("toxic") == 1, 1_000_000_000).otherwise(0)).alias("doc_id"))
+    missing = listed.join(d, "doc_id", "left_anti").agg(F.count("*").alias("missing"))  # one row
+    return d.join(listed, "doc_id", "left_semi").crossJoin(F.broadcast(missing))
 
 
-@query("SELECT o_orderkey, CASE WHEN l.n IS NULL THEN 'missing' WHEN l.n <> o_orderkey % 7 + 1 THEN 'mismatch' ELSE 'ok' END AS outcome FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
-def update_backfill(spark, sf):
-    n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    outcome = F.when(F.col("n").isNull(), "missing").when(F.col("n") != F.col("o_orderkey") % 7 + 1, "mismatch").otherwise("ok")
-    return table(spark, sf, "orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", outcome.alias("outcome"))
+def backfill(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(id, outcome, positions, forces) for each incoming (id, z, coords, force), given existing (id, z, positions, forces).
+
+    ``missing``: no such record; ``skip``: it has forces already; ``fail``: the incoming structure can't be read; ``mismatch``:
+    another number or order of atoms, or a force for another number of them; else ``ok``, and only then is anything attached.
+    A record that stays keeps what it had; a force that wasn't given leaves none.
+    """
+    i, e = incoming.alias("i"), existing.alias("e")
+    j = i.join(e, "id", "left")
+    n = F.size("e.z")
+    bad = (n != F.size("i.z")) | (F.col("e.z") != F.col("i.z")) | (F.col("i.force").isNotNull() & (F.size("i.force") != n))
+    outcome = F.when(F.col("e.z").isNull(), "missing").when(F.col("e.forces").isNotNull(), "skip").when(F.col("i.coords").isNull(), "fail").when(bad, "mismatch").otherwise("ok")
+    ok = F.col("outcome") == "ok"
+    j = j.withColumn("outcome", outcome)
+    return j.select("id", "outcome", F.when(ok, F.col("i.coords")).otherwise(F.col("e.positions")).alias("positions"), F.when(ok, F.col("i.force")).otherwise(F.col("e.forces")).alias("forces"))
+
 
+_ATOMS = "(SELECT l_orderkey AS id, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS z, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q FROM lineitem GROUP BY 1)"
 
-@query("SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w NOT IN ('gizmo', 'anvil')")
+
+@query(f"""WITH e AS (SELECT id, z, CASE WHEN id % 6 < 2 THEN q END AS positions, CASE WHEN id % 6 = 0 THEN q END AS forces FROM {_ATOMS} WHERE id % 5 <> 0), i AS (SELECT id, CASE WHEN id % 7 = 0 THEN z[1:len(z) - 1] WHEN id % 11 = 0 THEN list_reverse(z) ELSE z END AS z, CASE WHEN id % 13 > 0 THEN list_transform(q, lambda x: x + 1) END AS coords, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 17 = 0 THEN q[1:1] ELSE q END AS force FROM {_ATOMS}),
+    o AS (SELECT i.id, e.positions AS ep, e.forces AS ef, coords, force, CASE WHEN e.z IS NULL THEN 'missing' WHEN e.forces IS NOT NULL THEN 'skip' WHEN coords IS NULL THEN 'fail' WHEN len(e.z) <> len(i.z) OR e.z <> i.z OR (force IS NOT NULL AND len(force) <> len(e.z)) THEN 'mismatch' ELSE 'ok' END AS outcome FROM i LEFT JOIN e USING (id))
+    SELECT id, outcome, round(list_sum(CASE WHEN outcome = 'ok' THEN coords ELSE ep END), 3) AS positions, round(list_sum(CASE WHEN outcome = 'ok' THEN force ELSE ef END), 3) AS forces FROM o""")
+def update_backfill(spark, sf):
+    """Positions and forces attached to the records that were built, from the frames they came from."""
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
+    atoms = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(rows.alias("r")).select("id", F.col("r.l_partkey").alias("z"), F.col("r.l_quantity").alias("q"))
+    k, q = F.col("id"), F.col("q")
+    existing = atoms.filter("id % 5 <> 0").select("id", "z", F.when(k % 6 < 2, q).alias("positions"), F.when(k % 6 == 0, q).alias("forces"))
+    z = F.when(k % 7 == 0, F.slice("z", F.lit(1), F.size("z") - 1)).when(k % 11 == 0, F.reverse("z")).otherwise(F.col("z"))
+    force = F.when(k % 3 == 0, F.lit(None)).when(k % 17 == 0, F.slice("q", 1, 1)).otherwise(q)
+    incoming = atoms.select("id", z.alias("z"), F.when(k % 13 > 0, F.transform("q", lambda x: x + 1)).alias("coords"), force.alias("force"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 3).alias(c)
+    return backfill(existing, incoming).select("id", "outcome", total("positions"), total("forces"))
+
+
+@query(f"SELECT e AS element, count(*) AS formulas FROM {_PARTS} WHERE e NOT IN ({', '.join(repr(x) for x in VALENCE)}) GROUP BY 1")
 def validate_elements(spark, sf):
-    known = spark.createDataFrame([("gizmo",), ("anvil",)], "word string")
-    return table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct().join(known, "word", "left_anti")
+    """Elements of the formulas that a table of values doesn't cover, with how many formulas need them."""
+    known = F.broadcast(spark.createDataFrame([(x,) for x in VALENCE], "element string"))  # a row for each element
+    return formulas(spark, sf).select(F.explode(F.map_keys("comp")).alias("element")).join(known, "element", "left_anti").groupBy("element").agg(F.count("*").alias("formulas"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')")

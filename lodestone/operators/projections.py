@@ -82,9 +82,16 @@ def null_to_zero_features(spark, sf):
     return table(spark, sf, "events").select("event_id", finite_or_zero(F.col("value")).alias("feature"))
 
 
-@query("SELECT event_id, coalesce(json_extract_string(props, '$.mode'), json_extract_string(props, '$.k')) AS field FROM events")
+def renamed(props: Column, names: list[str], prefix: str) -> Column:
+    """The first of ``names`` that a JSON object has; the job fails where it has none of them but another key of that prefix."""
+    value = F.coalesce(*[F.get_json_object(props, f"$.{n}") for n in names])
+    strange = F.exists(F.coalesce(F.json_object_keys(props), F.array().cast("array<string>")), lambda k: F.startswith(k, F.lit(prefix)))
+    return F.when(value.isNull() & strange, F.raise_error(F.concat(F.lit("the schema has changed: "), props))).otherwise(value)
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.k_all')) AS field FROM events")
 def renamed_field_coalesce(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.mode"), F.get_json_object("props", "$.k")).alias("field"))
+    return table(spark, sf, "events").select("event_id", renamed(F.col("props"), ["k", "k_all"], "k").alias("field"))
 
 
 @query("SELECT vec_id, round(sum(CASE WHEN i BETWEEN 6 AND 12 OR i = 2 THEN 0 ELSE x END), 4) AS kept_sum FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY vec_id")
@@ -149,12 +156,55 @@ def weights_expr(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.round(F.least(F.lit(1.0), 0.3 + 0.1 * F.count("*")), 6).alias("weight"))
 
 
-@query("SELECT l_orderkey, list_sum(a)::BIGINT AS total FROM (SELECT l_orderkey, list(l_linenumber) AS a FROM lineitem GROUP BY l_orderkey)")
+_LINE = "struct_pack(n := l_linenumber, p := l_partkey, s := l_suppkey, q := l_quantity, d := l_discount, t := l_tax, r := l_returnflag)"
+_FULL = f"(SELECT l_orderkey, list({_LINE} ORDER BY {_LINE}) AS l FROM lineitem GROUP BY 1)"
+
+
+def full_records(spark, sf) -> DataFrame:
+    """(id, nodes, edges): a nested record for each order, with absent and renamed fields as builders leave them."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_returnflag").alias("r"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    node = lambda x: F.struct(
+        (x["p"] % 90 + 1).alias("Z"), F.when(x["q"] > 10, x["q"]).alias("oxidation_state"), F.when(x["r"] == "R", "cation").when(x["r"] == "A", "anion").otherwise("neutral").alias("ion_role"),
+        F.when(x["d"] > 0.02, x["d"]).alias("chi_pauling"), F.when(x["n"] % 2 == 0, F.struct((x["s"] % 4).alias("corner"), (x["s"] % 3).alias("edge"))).alias("hist"),
+        F.when(x["n"] % 3 == 0, F.struct((x["s"] % 5).alias("corner"), (x["s"] % 2).alias("edge"))).alias("hist_all"),
+    )
+    edge = lambda x, i: F.struct(i.alias("id"), i.alias("source"), ((i + 1) % F.size("l")).alias("target"), x["q"].alias("bond_length"), F.when(x["d"] > 0.05, "core").otherwise("outer").alias("coordination_sphere"), F.when(x["t"] > 0.03, F.array(F.lit(0), F.lit(1), i)).alias("to_jimage"))
+    return lines.select("id", F.transform("l", node).alias("nodes"), F.transform("l", edge).alias("edges"))
+
+
+def compact(records: DataFrame) -> DataFrame:
+    """(id, nodes, edges, adjacency): what a model reads of each record: roles and spheres as numbers, absent values as zero, either
+    name of a renamed histogram, and for each node the edges that touch it with the node at their other end."""
+    role = lambda r: F.when(r == "cation", 1).when(r == "anion", -1).otherwise(0)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    hist = lambda x: F.coalesce(x["hist"], x["hist_all"])
+    nodes = F.transform("nodes", lambda x: F.struct(x["Z"].alias("Z"), zero(x["oxidation_state"]).alias("oxidation_state"), role(x["ion_role"]).alias("ion_role"), zero(x["chi_pauling"]).alias("chi_pauling"), F.coalesce(hist(x)["corner"], F.lit(0)).alias("hist_corner"), F.coalesce(hist(x)["edge"], F.lit(0)).alias("hist_edge")))
+    edges = F.transform("edges", lambda x: F.struct(x["id"].alias("id"), x["source"].alias("source"), x["target"].alias("target"), x["bond_length"].alias("bond_length"), (x["coordination_sphere"] == "core").cast("int").alias("coord_sphere"), x["to_jimage"].alias("to_jimage")))
+    touching = lambda i: F.flatten(F.transform("edges", lambda x: F.concat(F.when(x["source"] == i, F.array(F.struct(x["id"].alias("edge"), x["target"].alias("node")))).otherwise(F.array().cast("array<struct<edge:int,node:int>>")), F.when(x["target"] == i, F.array(F.struct(x["id"].alias("edge"), x["source"].alias("node")))).otherwise(F.array().cast("array<struct<edge:int,node:int>>")))))
+    return records.select("id", nodes.alias("nodes"), edges.alias("edges"), F.transform(F.sequence(F.lit(0), F.size("nodes") - 1), touching).alias("adjacency"))
+
+
+@query(f"""WITH x AS (SELECT l_orderkey AS id, len(l) AS k, i, l[i + 1] AS x FROM {_FULL}, range(64) r(i) WHERE i < len(l)), e AS (SELECT id, i AS edge, i AS source, ((i + 1) % k) AS target, x FROM x),
+    a AS (SELECT id, node, string_agg(edge || '>' || other, ' ' ORDER BY edge, w) AS touching, count(*) AS degree FROM (SELECT id, source AS node, edge, target AS other, 0 AS w FROM e UNION ALL SELECT id, target, edge, source, 1 FROM e) GROUP BY 1, 2)
+    SELECT x.id, i AS node, (x.p % 90 + 1)::BIGINT AS z, CASE WHEN x.q > 10 THEN x.q ELSE 0 END AS oxidation, CASE x.r WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END AS role, CASE WHEN x.d > 0.02 THEN x.d ELSE 0 END AS chi, CASE WHEN x.n % 2 = 0 THEN x.s % 4 WHEN x.n % 3 = 0 THEN x.s % 5 ELSE 0 END AS corner,
+    touching, degree, (x.d > 0.05)::INT AS core, CASE WHEN x.t > 0.03 THEN i END AS image FROM x JOIN a ON a.id = x.id AND a.node = x.i""")
 def compact_projection(spark, sf):
-    nested = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("edges"))
-    return nested.select("l_orderkey", F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s + e["l_linenumber"]).alias("total"))
+    c = compact(full_records(spark, sf)).select("id", F.posexplode(F.arrays_zip("nodes", "adjacency", "edges")).alias("node", "x"))
+    n, touching = F.col("x.nodes"), F.transform("x.adjacency", lambda t: F.concat(t["edge"].cast("string"), F.lit(">"), t["node"].cast("string")))
+    return c.select(
+        "id", F.col("node").cast("long").alias("node"), n["Z"].alias("z"), n["oxidation_state"].alias("oxidation"), n["ion_role"].alias("role"), n["chi_pauling"].alias("chi"), n["hist_corner"].alias("corner"),
+        F.array_join(touching, " ").alias("touching"), F.size("x.adjacency").cast("long").alias("degree"), F.col("x.edges.coord_sphere").alias("core"), F.get("x.edges.to_jimage", F.lit(2)).cast("long").alias("image"),
+    )
+
+
+def with_material(df: DataFrame, id_col: str = "id", name: str = "mp_id") -> DataFrame:
+    """``df`` with the material's id, the record's without a trailing ``.cif``; a column of that name that is there stays as it is."""
+    return df if name in df.columns else df.withColumn(name, F.regexp_replace(id_col, r"\.cif$", ""))
 
 
-@query("SELECT doc_id, regexp_replace(source || '.cif', '\\.cif$', '') AS mp_id FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'own-' || doc_id END AS mp_id FROM documents")
 def derive_mp_id(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.concat("source", F.lit(".cif")), r"\.cif$", "").alias("mp_id"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit(".cif")).alias("id"))
+    own = d.filter("doc_id % 2 = 1").withColumn("mp_id", F.concat(F.lit("own-"), F.col("doc_id").cast("string")))
+    return with_material(d.filter("doc_id % 2 = 0")).unionByName(with_material(own)).select("doc_id", "mp_id")
