@@ -82,7 +82,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_licenses, op3_language, op4_sharding, op5_packing, op6_bpe, op7_pii, op8_neighbours, op9_caps, op10_substrings)
 }
 
+def _crc_table() -> list[int]:
+    """What the remainder becomes for each byte: eight shifts, each with the reversed polynomial where a one falls out."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in out]
+    return out
+
+
+def _draw(shard: str) -> str:
+    return f"1.0::DOUBLE / -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || {shard}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        sums AS (SELECT doc_id, octet_length(encode(text)) + 8 AS size, CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, ({_crc_table()})[xor(c & 255, b) + 1])), 4294967295::BIGINT) END AS text_crc32 FROM d),
+        draws AS (SELECT doc_id, size, text_crc32, list_transform(range(24), lambda s: {_draw("s")}) AS scores, {_draw("24")} AS more FROM sums),
+        placed AS (SELECT doc_id, size, text_crc32, list_position(scores, list_max(scores)) - 1 AS shard, more > list_max(scores) AS grows FROM draws)
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CASE WHEN grows THEN 24 ELSE shard END::INT AS grown_shard FROM placed""",
     "op10_substrings": r"""
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
         starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
