@@ -49,14 +49,38 @@ def scan_limit_per_source(spark, sf):
     return c.unionByName(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("s").alias("src")).orderBy("id").limit(10))
 
 
-@query("SELECT r_regionkey, r_name FROM region")
+def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(id, value, label, graph_path) of an index table whose columns may be fewer: no label is 0, no path is the id's file, and rows
+    without an id or a value go."""
+    df = spark.read.schema(schema).parquet(path)
+    have = lambda c, otherwise: F.coalesce(F.col(c), otherwise) if c in df.columns else otherwise
+    rows = df.select(F.col("id").cast("string").alias("id"), F.col("value").cast("double").alias("value"), have("label", F.lit(0)).cast("int").alias("label"), have("graph_path", F.concat(F.lit("graphs/"), F.col("id").cast("string"), F.lit(".json"))).alias("graph_path"))
+    return rows.filter(F.col("id").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_totalprice AS value, (o_orderstatus = 'F')::INT AS label, 'graphs/' || o_orderkey || '.json' AS graph_path FROM orders WHERE o_orderkey % 9 > 0 UNION ALL SELECT 'c' || c_custkey, c_acctbal, 0, 'own/' || c_custkey FROM customer WHERE c_acctbal IS NOT NULL")
 def scan_pickle_index(spark, sf):
-    return written(table(spark, sf, "region").select("r_regionkey", "r_name"))
+    """Two indexes with different columns, each read by the part that it needs."""
+    a, b = scratch(spark), scratch(spark)
+    table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_totalprice")).alias("value"), F.when(F.col("o_orderstatus") == "F", 1).alias("label"), "o_custkey").write.parquet(a)
+    table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_acctbal").alias("value"), F.concat(F.lit("own/"), F.col("c_custkey").cast("string")).alias("graph_path")).write.parquet(b)
+    return read_index(spark, a, "id long, value double, label int").unionByName(read_index(spark, b, "id string, value double, graph_path string"))
+
+
+GRAPH = "id long, nodes array<struct<Z: long, chi: double>>, edges array<struct<source: int, target: int, bond_length: double>>"
 
 
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("""SELECT l_orderkey AS id, count(*) AS n_nodes, count(*) - 1 AS n_edges, round(coalesce(sum(l_quantity) FILTER (i < n), 0), 2) AS bonds, sum(l_partkey) AS z FROM (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)) GROUP BY 1""")
 def scan_graph_json(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+    """Nested graph records, written as JSON and read back with their whole schema; a key that isn't in it is passed over."""
+    path = scratch(spark)
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_discount")))
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(rows.alias("r"))
+    edge = lambda x, i: F.struct(i.alias("source"), (i + 1).alias("target"), x["l_quantity"].alias("bond_length"))
+    nodes = F.transform("r", lambda x: F.struct(x["l_partkey"].alias("Z"), x["l_discount"].alias("chi"), F.lit("unread").alias("note")))
+    g.select("id", nodes.alias("nodes"), F.transform(F.slice("r", F.lit(1), F.size("r") - 1), edge).alias("edges")).write.json(path)
+    sums = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return spark.read.schema(GRAPH).json(path).select("id", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), F.round(sums(F.col("edges.bond_length")), 2).alias("bonds"), F.aggregate("nodes.Z", F.lit(0).cast("long"), lambda s, x: s + x).alias("z"))
 
 
 @query("SELECT 'm' || (event_id % 9) AS \"outer\", 'f' || event_id AS \"inner\", round(value, 4) AS energy FROM events WHERE event_id % 4 <> 0 AND value IS NOT NULL")
@@ -180,6 +204,28 @@ def read_header_fields(archives: DataFrame, member: str, fields: list[str]) -> D
     return archives.select("path", "content").mapInPandas(read, ", ".join(["path string", *[f"{f} string" for f in fields]]))
 
 
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey::VARCHAR END AS natom, CASE WHEN n_nationkey % 4 > 0 THEN 'P' || n_nationkey END AS space_group FROM nation")
+def scan_zip_yaml_xz(spark, sf):
+    """Headers of compressed members of archives, one archive a nation; some lack a field, some the member."""
+    import io
+    import lzma
+    import zipfile
+
+    path, hadoop = scratch(spark), spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in table(spark, sf, "nation").select("n_nationkey", "n_name").collect():  # 25 nations: the archives that are read afterwards
+        k, raw = r["n_nationkey"], io.BytesIO()
+        body = "".join([f"natom: {k}\n"] * (k % 5 > 0) + [f"space_group: P{k}\n"] * (k % 4 > 0) + ["forces:\n"] + ["- [0, 0, 0]\n"] * 50)
+        with zipfile.ZipFile(raw, "w") as z:
+            z.writestr("run/phonopy_params.yaml.xz" if k % 20 > 0 else "other.txt", lzma.compress(body.encode()))
+        out = fs.create(hadoop(f"{path}/{r['n_name']}.zip"))
+        out.write(bytearray(raw.getvalue()))
+        out.close()
+    found = read_header_fields(spark.read.format("binaryFile").load(path), "phonopy_params.yaml.xz", ["natom", "space_group"])
+    name = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(.*)\.zip$", 1)
+    return found.select(F.url_decode(F.regexp_replace(name, r"\+", "%2B")).alias("name"), "natom", "space_group")
+
+
 def read_cif_header(files: DataFrame) -> DataFrame:
     """(path, formula, cell volume) from the tags of CIF text, one file a row as ``wholetext`` reads them; stray lines before the
     data block don't matter. Structures themselves aren't built."""
