@@ -44,14 +44,23 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there; later stages never recompute what came before.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or by ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def id_type(df: DataFrame, column: str) -> T.DataType:
@@ -162,10 +171,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_low(both.filter("v > u"), low, 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_low(large, low, 2 * seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, now = _counted(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        low = cut(low)
+        large = cut(_with_low(both.filter("v > u"), low, 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        own = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = _with_low(large, own, 2 * seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = e
+        e, now = _counted(small.unionByName(own.select("u", F.col("m").alias("v"))).distinct())
+        drop(before, low, large, own)
         if now == seen:
             break
         seen = now
@@ -173,10 +185,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def _with_low(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """``rows`` (u, v) with the ``m`` of u. A node with many of the ``total`` rows is dealt into lots; there are 10,000 such nodes at most."""
+    """``rows`` (u, v) with the ``m`` of u, from a written table. A node with many of the ``total`` rows is dealt into lots; there are 10,000 such nodes at most."""
     most = max(OFTEN, total // 10_000)
     lots = F.ceil(F.col("n") / most).cast("int")
-    low = cut(low)
     dealt = rows.join(F.broadcast(low.filter(F.col("n") > most).select("u", lots.alias("lots"))), "u", "left")
     dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("v"), F.coalesce("lots", F.lit(1))).cast("int"))
     return dealt.join(low.select("u", "m", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot")), ["u", "lot"]).select("u", "v", "m")

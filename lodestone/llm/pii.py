@@ -22,8 +22,9 @@ from lodestone.llm.common import cut
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 REACH, DISCLOSURE, SUPPORT = 60, 0.8, 3
-#: Terms up to which the candidates are sent to every executor before the corpus is counted; more are joined by a shuffle.
-BROADCAST_TERMS = 100_000
+#: Terms up to which the candidates are sent to every executor before the corpus is counted, and documents up to which those
+#: that hold telling terms are sent to where the texts are; more are joined by a shuffle.
+BROADCAST_TERMS, BROADCAST_ROWS = 100_000, 200_000
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 # The patterns' matches, written so that long runs take time in proportion: a match can begin only where its first run
@@ -198,30 +199,39 @@ def _with_terms(text: Column, base: Column, terms: Column) -> Column:
     return _let(F.array_sort(F.concat(base, places)), clear)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(``id_col``, k0, k1, ... the ``keep`` columns, base, spans) for each row of ``docs``.
-
-    ``base`` and ``spans`` are array<start, kind, end, value>, sorted by start and kind (numbers in ``KINDS``); ``spans``
-    has the base ones and the terms. A null or empty text has none. Null ids and repeated rows stay as they are and count
-    as documents; columns outside ``keep`` aren't read, whatever their names; an empty table gives an empty result. Very
-    long texts take time in proportion to their length.
-    """
-    keep = keep or []
+def _found(docs: DataFrame, id_col: str, text_col: str, keep: list[str], disclosure: float, support: int) -> DataFrame:
+    """(id, k0, k1, ... the ``keep`` columns, none, text, base, spans) for each row; ``none``: the text is null."""
     text = F.col("text")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)])
     rows = rows.withColumns({kind: _base(text, kind) for kind in KINDS[:4]})
     rows = rows.withColumn("base", F.array_sort(F.concat(*KINDS[:4])))
     empty = F.array().cast("array<struct<entity:string,term:string>>")
     beside = _let(hull(F.col("base")), lambda merged: _let(in_blocks(text), lambda blocks: _beside(F.col("base"), merged, blocks)))
     rows = rows.withColumn("beside", F.when(F.size("base") > 0, beside).otherwise(empty))
-    names = ["id", *(f"k{k}" for k in range(len(keep)))]
-    found = cut(rows.select(*names, "text", "base", "beside").withColumn("row", F.monotonically_increasing_id()))
+    names = ["id", *(f"k{k}" for k in range(len(keep))), "none", "text", "base"]
+    found = cut(rows.select(*names, "beside").withColumn("row", F.monotonically_increasing_id()))
     telling = cut(disclosing(found, disclosure, support).select("term").distinct())
     words = found.select("row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("word")).select("row", F.lower("word").alias("term"))
     small = telling.count() <= BROADCAST_TERMS
     own = words.join(F.broadcast(telling) if small else telling, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))  # at most a document's words
+    own = cut(own)
+    if own.count() <= BROADCAST_ROWS:
+        own = F.broadcast(own)
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(_with_terms(text, F.col("base"), F.col("terms")))
-    return found.drop("beside").join(own, "row", "left").select(F.col("id").alias(id_col), *names[1:], "base", spans.alias("spans"))
+    return found.drop("beside").join(own, "row", "left").select(*names, spans.alias("spans"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(``id_col``, k0, k1, ... the ``keep`` columns, base, spans) for each row of ``docs``.
+
+    ``base`` and ``spans`` are array<start, kind, end, value>, sorted by start and kind (numbers in ``KINDS``); ``spans``
+    has the base ones and the terms. A null or empty text has none. Null ids and repeated rows stay as they are and count
+    as documents; columns outside ``keep`` aren't read, whatever their names; an empty table gives an empty result. Very
+    long texts take time in proportion to their length.
+    """
+    keep = keep or []
+    found = _found(docs, id_col, text_col, keep, disclosure, support)
+    return found.select(F.col("id").alias(id_col), *[f"k{k}" for k in range(len(keep))], "base", "spans")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -230,16 +240,16 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     Spans that overlap become one, named after the first. Text outside spans stays as it is.
     """
     keep = keep or []
-    found = find(docs, id_col, text_col, [text_col, *keep], disclosure, support)
-    text = F.col("k0")
+    found = _found(docs, id_col, text_col, keep, disclosure, support)
+    text = F.col("text")
     label = lambda s: F.get(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"])
 
     def joined(m: Column, blocks: Column) -> Column:
         pieces = F.transform(m, lambda s, i: F.concat(between(blocks, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)), s["start"]), label(s)))
         return F.concat(F.array_join(pieces, ""), between(blocks, F.element_at(m, -1)["end"], F.char_length(text)))
 
-    clean = F.when(F.size("spans") > 0, _let(hull(F.col("spans")), lambda m: _let(in_blocks(text), lambda blocks: joined(m, blocks)))).otherwise(text)
-    return found.select(id_col, *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep, 1)], clean.alias(text_col))
+    clean = F.when(F.size("spans") > 0, _let(hull(F.col("spans")), lambda m: _let(in_blocks(text), lambda blocks: joined(m, blocks)))).otherwise(F.when(~F.col("none"), text))
+    return found.select(F.col("id").alias(id_col), *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)], clean.alias(text_col))
 
 
 def described(spans: str, kinds: list[str] | None = None) -> Column:

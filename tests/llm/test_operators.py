@@ -112,6 +112,14 @@ def test_licence_that_goes_on_as_another():
                 assert any(s[0] == label and s[1] == 0 and s[3] == s[4] == len(own) for s in scanner.spans(own + other[k + 1 : k + 6]))
 
 
+def test_licence_chain_from_any_place_of_a_repeated_passage():
+    """A passage that a template has twice, once before what the text goes on with and once elsewhere."""
+    template = "one two three four five alpha beta gamma delta epsilon one two three four five six seven eight nine ten eleven twelve"
+    scanner = licenses.Scanner({}, [("twice", template)], 5, 6, 0.4)
+    text = "so one two three four five now six seven eight nine ten eleven"
+    assert scanner.spans(licenses.words_of(text.encode())) == [("twice", 1, 13, 11, 22)]
+
+
 def test_automaton_against_all_runs():
     r = random.Random(1)
     for _ in range(60):
@@ -124,8 +132,8 @@ def test_automaton_against_all_runs():
         got = a.matches(text, 2)
         assert {(s, n) for s, n, _ in got} == want
         for s, n, ends in got:
-            for t, end in ends.items():
-                assert seqs[t][end - n + 1 : end + 1] == text[s : s + n]
+            for t, every in ends.items():
+                assert every == [e for e in range(n - 1, len(seqs[t])) if seqs[t][e - n + 1 : e + 1] == text[s : s + n]]
 
 
 def test_language(spark):
@@ -434,3 +442,60 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substrings.dedup(df).collect())
     assert got == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 80)]
     assert simhash.near_duplicates(df).count() == 5 and packing.pack(df, TOKENIZER).count() == 5 and bpe.encode(df, TOKENIZER).count() == 5 and pii.find(df).count() == 5 and licenses.scan(df).count() == 5
+
+
+def test_packing_encoder_on_any_text(spark):
+    """The encoder by ranks gives the library's ids on texts of odd letters, so its plain path and the other one agree."""
+    r, lib = random.Random(14), Tokenizer.from_file(TOKENIZER)
+    encode = packing._encoding(bpe.specification(spark.createDataFrame([], "doc_id long"), TOKENIZER))
+    letters = "aAbetnoi  \n\t\x1c\x85 'sétdll19٣½ª@.<|endoftext|>　é́漢字🙂\x00İßſ"
+    for _ in range(1500):
+        s = "".join(r.choice(letters) if r.random() < 0.9 else r.choice(["<|endoftext|>", "  ", " 's", "'ll", " the", "ing", " " * 5]) for _ in range(r.randrange(80)))
+        assert list(encode([s])[0]) == lib.encode(s, add_special_tokens=False).ids
+    long = "word " * 120_000  # beyond the library's limit
+    assert len(long) > packing._LIBRARY_CHARS and list(encode([long])[0]) == lib.encode(long, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_places_and_terms_by_shuffle(spark, monkeypatch, limit):
+    """The ways beyond the bounds of a broadcast give what the broadcast gives."""
+    monkeypatch.setattr(packing, "BROADCAST_PLACES", limit)
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+    rows = [f"word{'abcdefgh'[k]} Zorblax writes to zor@blax.org about lunch" for k in range(6)] + ["lunch about writes to a friend"] * 30 + [None]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in pii.find(df).collect()}
+    assert all(spans[k] == ["zorblax", "zor@blax.org"] for k in range(6)) and not any(spans[k] for k in range(6, 37))
+    packed = packing.pack(df, TOKENIZER).collect()
+    assert len(packed) == 37 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 37
+
+
+@pytest.mark.parametrize("vectors_of", [10_000, 100_000, 1_000_000])
+def test_caps_miss_rate(vectors_of):
+    """Other random pairs than those that the number of codes was chosen on, at the threshold and closer."""
+    rng, d = np.random.default_rng(99), 64
+    codes = [caps.ProductCode(d, vectors_of, 0.9, caps.LISTS, caps.CAP_ROWS, 7, k) for k in range(caps.code_count(d, vectors_of, 0.9, caps.LISTS, caps.CAP_ROWS, 7))]
+    for cosine in (0.9, 0.92, 0.95):
+        x, y = rng.standard_normal((2, 600, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        met = set()
+        for code in codes:
+            (i, a), (j, b) = code.decode(x), code.decode(y)
+            met |= set((np.intersect1d(i * code.directions + a, j * code.directions + b) // code.directions).tolist())
+        assert len(met) >= 0.985 * 600
+
+
+def test_null_ids_and_clashing_columns(spark):
+    """Null ids beside links, repeated ids, and columns with the names that operators use inside."""
+    rows = [(None, "cc by x", [1.0, 0.0]), (None, "cc by x", [1.0, 0.01]), (1, "cc by x", [1.0, 0.0]), (1, None, [0.0, 1.0]), (2, "", None)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, embedding array<double>, cls string").withColumns({c: F.lit("x") for c in ("id", "fp", "key", "row", "vector", "first", "n", "word", "spans", "places")})
+    near = simhash.near_duplicates(df).collect()
+    assert len(near) == 5 and all(r["component_id"] in (1, 2) for r in near if r["doc_id"] is not None)
+    assert sorted((r["doc_id"] or 0, len(r["places"])) for r in licenses.scan(df).collect()) == [(0, 1), (0, 1), (1, 0), (1, 1), (2, 0)]
+    assert licenses.scan(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
+    linked = caps.near_duplicates(df, "doc_id").collect()
+    assert sorted((r["doc_id"] or 0, r["n_links"], r["kept"]) for r in linked) == [(0, 0, False), (0, 0, False), (1, 0, True), (1, 0, True), (2, 0, True)]
+    found = neighbours.search(df, 2, 1, "doc_id").collect()
+    assert {r["query_id"] for r in found} <= {1} and sharding.assign(df.limit(0), [1.0, 2.0]).count() == 0
