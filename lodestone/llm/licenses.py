@@ -50,19 +50,20 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers; each state knows one end of its runs in each template that has them."""
+    """Generalised suffix automaton over word numbers; each state knows all ends of its runs in each template that has them."""
 
     def __init__(self, sequences: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [{}]
+        self.link, self.length, self.ends = [-1], [0], [{}]  # ends: sorted places by template
         for template, words in enumerate(sequences):
             last = 0
             for at, w in enumerate(words):
                 last = self._extend(last, w)
-                self.ends[last].setdefault(template, at)
+                self.ends[last].setdefault(template, []).append(at)
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            for template, at in self.ends[s].items():
-                self.ends[self.link[s]].setdefault(template, at)
+            for template, places in self.ends[s].items():
+                places.sort()
+                self.ends[self.link[s]].setdefault(template, []).extend(places)
 
     def _state(self, length: int, link: int, after: dict[int, int]) -> int:
         self.next.append(after), self.length.append(length), self.link.append(link), self.ends.append({})
@@ -90,7 +91,7 @@ class Automaton:
             self.link[new] = self._split(p, w, self.next[p][w])
         return new
 
-    def matches(self, words: list[int], least: int) -> list[tuple[int, int, dict[int, int]]]:
+    def matches(self, words: list[int], least: int) -> list[tuple[int, int, dict[int, list[int]]]]:
         """(start, length, ends by template) of the maximal runs of ``least`` words or more."""
         out, state, n = [], 0, 0
         for at, w in enumerate([*words, -1]):
@@ -133,12 +134,13 @@ class Scanner:
         numbers = np.fromiter(map(self.number.get, words, [-1] * len(words)), np.int64, len(words))
         known = np.concatenate(([False], numbers >= 0, [False]))
         edges = np.flatnonzero(known[1:] != known[:-1])
-        open_chains: dict[int, list[int]] = {}  # by template: start, end, covered, end in the template
+        open_chains: dict[int, tuple[int, int, dict[int, int]]] = {}  # by template: start, end, words covered by each place in the template where it may stand
         out = []
 
-        def close(t: int, chain: list[int]) -> None:
-            if chain[2] >= self.share * self.sizes[t]:
-                out.append((self.labels[t], chain[0], chain[1], min(chain[2], self.sizes[t]), self.sizes[t]))
+        def close(t: int, chain: tuple[int, int, dict[int, int]]) -> None:
+            covered = max(chain[2].values())
+            if covered >= self.share * self.sizes[t]:
+                out.append((self.labels[t], chain[0], chain[1], min(covered, self.sizes[t]), self.sizes[t]))
 
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a < self.least:
@@ -149,15 +151,20 @@ class Scanner:
             # a run may grow into another template; each template's own maximal runs count
             for t, own in enumerate(self.each):
                 for start, n, ends in own.matches(part, self.least):
-                    start, end = start + a, ends[0]
-                    chain = open_chains.get(t)
-                    fresh = 0 if chain is None else min(n, start + n - max(start, chain[1]))
-                    if chain and start - chain[1] <= self.gap and 0 < end - chain[3] <= self.gap + n and fresh > 0:
-                        chain[1], chain[2], chain[3] = start + n, chain[2] + min(fresh, end - chain[3]), end
-                        continue
+                    start, chain = start + a, open_chains.get(t)
                     if chain:
+                        fresh = min(n, start + n - max(start, chain[1]))
+                        reach = {}
+                        if start - chain[1] <= self.gap and fresh > 0:
+                            for end in ends[0]:
+                                ways = [covered + min(fresh, end - before) for before, covered in chain[2].items() if 0 < end - before <= self.gap + n]
+                                if ways:
+                                    reach[end] = max(ways)
+                        if reach:
+                            open_chains[t] = chain[0], start + n, reach
+                            continue
                         close(t, chain)
-                    open_chains[t] = [start, start + n, n, end]
+                    open_chains[t] = start, start + n, dict.fromkeys(ends[0], n)
         for t, chain in open_chains.items():
             close(t, chain)
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
