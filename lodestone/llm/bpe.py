@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import id_type, text_batches
 
-#: Bytes of a word up to which ranks are scanned, and bytes of kept chunks (with what their entries take) before all are
-#: forgotten.
-LONG, KEPT, ENTRY = 64, 120_000_000, 160
+#: Bytes of a word up to which ranks are scanned, and bytes of kept chunks before all are forgotten, with the bytes that an
+#: entry takes beside its text, as measured.
+LONG, KEPT, ENTRY = 64, 60_000_000, 300
 _NONE = np.int32(2**31 - 1)
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The words of byte-level BPE. Contractions stand where an apostrophe could begin another alternative.
