@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, caps, language, licenses, neighbours, packing, pii, sharding, simhash, substrings
+from lodestone.llm import bestfit, bpe, caps, centroids, language, licenses, neighbours, packing, phrases, pii, sharding, simhash, substrings
 from lodestone.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +79,21 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(read_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_licenses, op3_language, op4_sharding, op5_packing, op6_bpe, op7_pii, op8_neighbours, op9_caps, op10_substrings)
+    f.__name__: f
+    for f in (op1_simhash, op2_licenses, op3_language, op4_sharding, op5_packing, op6_bpe, op7_pii, op8_neighbours, op9_caps, op10_substrings, op11_phrases, op12_centroids, op13_bestfit)
 }
 
 def _crc_table() -> list[int]:
@@ -94,7 +108,48 @@ def _draw(shard: str) -> str:
     return f"1.0::DOUBLE / -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || {shard}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
 
 
+def _phrase_sql() -> str:
+    longest, grams = 4, []
+    for k in range(1, longest + 1):
+        words = ", ".join(f"w[i + {j}]" for j in range(k))
+        grams.append(f"SELECT lang, [{words}] AS p FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces WHERE len(w) >= {k})")
+    return rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+        f AS MATERIALIZED (SELECT lang, p, count(*) AS a FROM ({" UNION ALL ".join(grams)}) GROUP BY lang, p HAVING count(*) >= 30),
+        cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+        scored AS (SELECT c.lang, c.p, c.a, c.k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a::HUGEINT + r.a))::BIGINT AS score
+            FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.k + 1:]),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        inside AS (SELECT lang, p[i:i + k - 1] AS p, max(a) AS m FROM (SELECT lang, p, a, k, unnest(range(1, len(p) - k + 2)) AS i FROM (SELECT lang, p, a, unnest(range(2, len(p))) AS k FROM f WHERE len(p) > 2)) GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN inside i USING (lang, p) WHERE m IS NULL OR 100 * m::HUGEINT < 80 * b.a::HUGEINT),
+        ranked AS (SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+def _centroid_sql() -> str:
+    steps = [
+        "kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT v, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM kept ORDER BY h, v LIMIT 16))",
+    ]
+    for k in range(4):
+        # whole numbers far below 2^53, so the products are exact
+        distance = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, y.v) + list_inner_product(y.v, y.v)"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(d) AS d, arg_min(c, d * 16 + c) AS c FROM (SELECT x.n, vec_id, x.v, c, {distance} AS d FROM (SELECT *, row_number() OVER () AS n FROM kept) x CROSS JOIN c{k} y) GROUP BY n, vec_id)")
+        if k < 3:
+            sums = f"SELECT c, p, floor(sum(x) / count(*)) AS x FROM (SELECT c, unnest(range(1, 65)) AS p, unnest(v) AS x FROM a{k}) GROUP BY c, p"
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(m.v, c{k}.v) AS v FROM c{k} LEFT JOIN (SELECT c, list(x ORDER BY p) AS v FROM ({sums}) GROUP BY c) m USING (c))")
+    digest = "sha256(array_to_string(list_transform(c3.v, lambda x: x::BIGINT), ','))"
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, a3.c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY a3.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, {digest} AS centroid_sha256
+        FROM a3 JOIN c3 USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_phrases": _phrase_sql(),
+    "op12_centroids": _centroid_sql(),
     "op4_sharding": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         sums AS (SELECT doc_id, octet_length(encode(text)) + 8 AS size, CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, ({_crc_table()})[xor(c & 255, b) + 1])), 4294967295::BIGINT) END AS text_crc32 FROM d),
