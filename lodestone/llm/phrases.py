@@ -26,6 +26,8 @@ SENT_WORDS, SENT_BYTES, SENT_GRAMS = 1_000_000, 16_000_000, 2_000_000
 OFTEN = 1024
 #: Bytes of a text that are cut into words at once, and different grams that a worker counts before it passes them on.
 _SLICE, _HELD = 1_000_000, 300_000
+#: Numbers in a row of encoded texts, from which it ends at the next break.
+_ROW = 1024
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
 
 
@@ -42,6 +44,13 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
 
+def _rows(ids: np.ndarray) -> pa.RecordBatch:
+    """``ids``, which end with a break, as rows that end with one."""
+    breaks = np.flatnonzero(ids < 0) + 1
+    ends = np.unique(breaks[np.searchsorted(breaks, [*range(_ROW, len(ids), _ROW), len(ids)])]) if len(breaks) else breaks
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids))], ["ids"])
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n), not yet summed; a null word has the number of all words."""
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
@@ -115,12 +124,12 @@ def _encoded_words(docs: DataFrame, words: DataFrame, count: int) -> DataFrame:
                     out.extend(map(of.get, slice_))
                 out.append(None)
                 if len(out) > _SLICE:
-                    yield _row(out)
+                    yield encoded(out)
                     out = []
-            yield _row(out)
+            yield encoded(out)
 
-    def _row(out: list[int | None]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_lists(_closed(pa.array(out, pa.int64()).fill_null(-1).to_numpy()))], ["ids"])
+    def encoded(out: list[int | None]) -> pa.RecordBatch:
+        return _rows(_closed(pa.array(out, pa.int64()).fill_null(-1).to_numpy()))
 
     return docs.mapInArrow(run, "ids array<long>")
 
@@ -160,7 +169,7 @@ def _encoded_grams(ids: DataFrame, grams: DataFrame, count: int, below: int) ->
                 pair = flat[at] << 32 | flat[at + 1]
                 place = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
                 out[at] = np.where(codes[place] == pair, gids[place], -1)
-            yield pa.RecordBatch.from_arrays([_lists(_closed(out))], ["ids"])
+            yield _rows(_closed(out))
 
     return ids.mapInArrow(run, "ids array<long>")
 
@@ -199,7 +208,7 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
                 at, d = np.array(at.values), np.array(d.values if d.is_valid else [], np.int64)
                 number = np.full(max([-1, *at[at >= 0], *d]) + 2 if len(at) else 1, -1, np.int64)
                 number[d] = np.array(gid.values if gid.is_valid else [], np.int64)
-                yield pa.RecordBatch.from_arrays([_lists(_closed(number[at]))], ["ids"])  # number[-1] is a break
+                yield _rows(_closed(number[at]))  # number[-1] is a break
 
     return rows.join(found, "row", "left").select("at", "d", "gid").mapInArrow(run, "ids array<long>")
 
