@@ -191,7 +191,8 @@ def cluster(rows: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, scale:
     ints = F.transform(vector, lambda x: F.floor(x * F.lit(float(scale))).cast("int"))
     own = cut(own.select("id", F.when(~large, ints).alias("ints"), F.when(large, vector).alias("raw")))
     draw = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
-    first = own.select(draw.alias("draw"), "ints", "raw").orderBy("draw", "ints", "raw").limit(k).collect()
+    scaled = F.transform("raw", lambda x: F.when(F.abs(x) < 2.0**52 / scale, F.floor(x * F.lit(float(scale))).cast("double")).otherwise(x * F.lit(float(scale))))
+    first = own.select("ints", "raw").orderBy(draw, F.coalesce(F.col("ints").cast("array<double>"), scaled)).limit(k).collect()
     centroids = [r["ints"] or integers(r["raw"] or [], scale) for r in first]
     if not centroids:
         fields = "cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
