@@ -110,7 +110,7 @@ def band_neighbours(df: DataFrame, block: str, key: str, value: str, reach: floa
 
 
 @query("""SELECT a.p_partkey AS id, count(*) AS n, round(median(b.p_size), 4) AS around FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 25 GROUP BY 1 HAVING count(*) >= 3""")
-def join_band_self(spark, sf):
+def join_band_prices(spark, sf):
     """Equal prices and sizes of a brand are counted before they meet, so pairs are of distinct prices and not of rows; a part's own
     size is taken out of the counts around it."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")

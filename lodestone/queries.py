@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.functions import arrays, chemistry, composition, spectra
-from lodestone.operators import aggregates, audits, joins, metrics, projections, reports, runs, sets, windows
+from lodestone.functions import arrays, chemistry, composition, oxidation, spectra
+from lodestone.operators import aggregates, audits, joins, metrics, neighbourhoods, projections, reports, runs, sets, windows
 from lodestone.registry import ORACLE_SQL, QUERIES
 from lodestone.sources import files
 from lodestone.streaming import telemetry
 
 FLAGSHIP = "agg_consensus_label"
-MODULES = (arrays, chemistry, composition, spectra, aggregates, audits, joins, metrics, projections, reports, runs, sets, windows, files, telemetry)
+MODULES = (arrays, chemistry, composition, oxidation, spectra, aggregates, audits, joins, metrics, neighbourhoods, projections, reports, runs, sets, windows, files, telemetry)
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
