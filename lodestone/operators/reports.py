@@ -324,33 +324,3 @@ def mp_aggregate(spark, sf):
         F.round(F.sum(q * F.col("l_extendedprice")) / F.sum("l_extendedprice"), 6).alias("weighted"),
         F.round(F.sum(F.when(r, q).otherwise(0.5 * q)), 4).alias("two"),
     )
-
-
-@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'no_dos' WHEN o_orderkey % 4 = 1 THEN 'no_object' WHEN l IS NULL THEN 'fail' ELSE 'ok' END AS outcome, count(*) AS n FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS l FROM lineitem WHERE l_quantity > 25) ON l = o_orderkey GROUP BY 1")
-def source_api_dos(spark, sf):
-    """The outcomes of a fetch, with a stand-in table for the service: known absences before objects, failures last."""
-    got = table(spark, sf, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("l")).distinct()
-    j = table(spark, sf, "orders").select("o_orderkey").join(got, "o_orderkey", "left")
-    k = F.col("o_orderkey") % 4
-    return j.groupBy(cascade([(k == 0, "no_dos"), (k == 1, "no_object"), (F.col("l").isNull(), "fail")], "ok").alias("outcome")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_partkey || '.cif' AS cif, 0.0::DOUBLE AS tc FROM part WHERE p_retailprice >= 905")
-def source_api_bandgap(spark, sf):
-    return table(spark, sf, "part").filter("p_retailprice >= 905").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".cif")).alias("cif"), F.lit(0.0).alias("tc"))
-
-
-@query("SELECT count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice IS NOT NULL) AS kept, count(*) FILTER (o_orderstatus = 'P') AS theoretical, count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice IS NULL) AS no_energy FROM orders")
-def source_api_energy(spark, sf):
-    p, none = F.col("o_orderstatus") == "P", F.col("o_totalprice").isNull()
-    return table(spark, sf, "orders").agg(F.count_if(~p & ~none).alias("kept"), F.count_if(p).alias("theoretical"), F.count_if(~p & none).alias("no_energy"))
-
-
-@query("SELECT o_orderkey FROM orders")
-def source_api_chunked_resumable(spark, sf):
-    """Chunks in order of a hash of the id; each is banked before the next, and banked ids are not asked for again."""
-    o = table(spark, sf, "orders").select("o_orderkey").withColumn("chunk", F.pmod(F.xxhash64("o_orderkey"), F.lit(2)))
-    banked = written(o.filter("chunk = 0").select("o_orderkey"))
-    rest = written(o.select("o_orderkey").join(banked, "o_orderkey", "left_anti"))
-    return banked.unionByName(rest)
-

@@ -5,9 +5,9 @@ from __future__ import annotations
 from lodestone.functions import arrays, chemistry, composition, doping, oxidation, spectra
 from lodestone.operators import aggregates, audits, frameworks, joins, metrics, neighbourhoods, projections, reports, runs, sets, windows
 from lodestone.registry import ORACLE_SQL, QUERIES
-from lodestone.sources import files
+from lodestone.sources import files, harvest, paged
 from lodestone.streaming import telemetry
 
 FLAGSHIP = "agg_consensus_label"
-MODULES = (arrays, chemistry, composition, doping, oxidation, spectra, aggregates, audits, frameworks, joins, metrics, neighbourhoods, projections, reports, runs, sets, windows, files, telemetry)
+MODULES = (arrays, chemistry, composition, doping, oxidation, spectra, aggregates, audits, frameworks, joins, metrics, neighbourhoods, projections, reports, runs, sets, windows, files, harvest, paged, telemetry)
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
