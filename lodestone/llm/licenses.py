@@ -1,9 +1,10 @@
 """Licence scans: matching statistics against a generalised suffix automaton of licence tokens, chained into spans.
 
 The automaton holds every run of words of every template. A text streams through it once: after each word the state
-tells the longest run that ends there and occurs in a template. Maximal runs of some length are matches; matches of one
-template that follow each other in both the text and the template, with small gaps, make a span. A span counts where it
-covers enough of the template.
+tells the longest run that ends there and occurs in a template, and the states behind it on suffix links tell the
+longest run of every other template. Maximal runs of some length are matches; matches of one template that follow each
+other in both the text and the template, with small gaps, make a chain. The best chains are found by a dynamic programme
+over the matches of a template, and one that covers enough of it is a span.
 """
 
 from __future__ import annotations
@@ -37,6 +38,28 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("isc", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
 ]
@@ -91,19 +114,32 @@ class Automaton:
             self.link[new] = self._split(p, w, self.next[p][w])
         return new
 
-    def matches(self, words: list[int], least: int) -> list[tuple[int, int, dict[int, list[int]]]]:
-        """(start, length, ends by template) of the maximal runs of ``least`` words or more."""
+    def prepare(self, least: int) -> None:
+        """For each state the longest run of at least ``least`` words of every template in the states behind it: (length, ends)."""
+        self.behind: list[dict[int, tuple[int, list[int]]]] = [{} for _ in self.link]
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            p = self.link[s]
+            if p > 0 and self.length[p] >= least:
+                self.behind[s] = self.behind[p] | {t: (self.length[p], ends) for t, ends in self.ends[p].items()}
+
+    def matches(self, words: list[int], least: int) -> list[tuple[int, int, int, list[int]]]:
+        """(template, start, length, ends in the template) of each template's own maximal runs of ``least`` words or more.
+
+        One pass: a template's longest run is the state's where the state has it, else that of the nearest state behind it
+        that does. A run is maximal where it doesn't go on with the next word. ``prepare`` comes first.
+        """
         out, state, n = [], 0, 0
+        before: dict[int, tuple[int, list[int]]] = {}
         for at, w in enumerate([*words, -1]):
-            grown = self.next[state].get(w)
-            if grown is None:
-                if n >= least:
-                    out.append((at - n, n, self.ends[state]))
-                while state and w not in self.next[state]:
-                    state = self.link[state]
+            while state and w not in self.next[state]:
+                state = self.link[state]
                 n = self.length[state]
-                grown = self.next[state].get(w)
-            state, n = (grown, n + 1) if grown is not None else (0, 0)
+            state, n = (self.next[state][w], n + 1) if w in self.next[state] else (0, 0)
+            now = self.behind[state] | {t: (n, ends) for t, ends in self.ends[state].items()} if n >= least else {}
+            for t, (length, ends) in before.items():
+                if t not in now or now[t][0] != length + 1:
+                    out.append((t, at - length, length, ends))
+            before = now
         return out
 
 
@@ -114,7 +150,8 @@ class Scanner:
         self.labels, self.sizes = [label for label, _ in templates], [len(x) for x in texts]
         self.number: dict[bytes, int] = {}
         sequences = [[self.number.setdefault(w, len(self.number)) for w in x] for x in texts]
-        self.automaton, self.each = Automaton(sequences), [Automaton([x]) for x in sequences]
+        self.automaton = Automaton(sequences)
+        self.automaton.prepare(least)
         self.least, self.gap, self.share = least, gap, share
 
     def places(self, words: list[bytes]) -> list[tuple[str, int]]:
@@ -134,40 +171,46 @@ class Scanner:
         numbers = np.fromiter(map(self.number.get, words, [-1] * len(words)), np.int64, len(words))
         known = np.concatenate(([False], numbers >= 0, [False]))
         edges = np.flatnonzero(known[1:] != known[:-1])
-        open_chains: dict[int, tuple[int, int, dict[int, int]]] = {}  # by template: start, end, words covered by each place in the template where it may stand
+        own: dict[int, list[tuple[int, int, list[int]]]] = {}
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= self.least:
+                for t, start, n, ends in self.automaton.matches(numbers[a:b].tolist(), self.least):
+                    own.setdefault(t, []).append((start + a, n, ends))
         out = []
+        for t, runs in own.items():
+            size = self.sizes[t]
+            out += [(self.labels[t], start, end, min(covered, size), size) for start, end, covered in best_chains(runs, self.gap) if covered >= self.share * size]
+        return sorted(out, key=lambda x: (x[1], x[2], x[0], x[4]))
 
-        def close(t: int, chain: tuple[int, int, dict[int, int]]) -> None:
-            covered = max(chain[2].values())
-            if covered >= self.share * self.sizes[t]:
-                out.append((self.labels[t], chain[0], chain[1], min(covered, self.sizes[t]), self.sizes[t]))
 
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a < self.least:
-                continue
-            part = numbers[a:b].tolist()
-            if not self.automaton.matches(part, self.least):
-                continue
-            # a run may grow into another template; each template's own maximal runs count
-            for t, own in enumerate(self.each):
-                for start, n, ends in own.matches(part, self.least):
-                    start, chain = start + a, open_chains.get(t)
-                    if chain:
-                        fresh = min(n, start + n - max(start, chain[1]))
-                        reach = {}
-                        if start - chain[1] <= self.gap and fresh > 0:
-                            for end in ends[0]:
-                                ways = [covered + min(fresh, end - before) for before, covered in chain[2].items() if 0 < end - before <= self.gap + n]
-                                if ways:
-                                    reach[end] = max(ways)
-                        if reach:
-                            open_chains[t] = chain[0], start + n, reach
-                            continue
-                        close(t, chain)
-                    open_chains[t] = start, start + n, dict.fromkeys(ends[0], n)
-        for t, chain in open_chains.items():
-            close(t, chain)
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+def best_chains(runs: list[tuple[int, int, list[int]]], gap: int) -> list[tuple[int, int, int]]:
+    """(first word, end, words covered) of the best chains of one template's runs (start, length, ends in the template), in order.
+
+    A run may follow another where at most ``gap`` words stand between them in the text and in the template, and where it
+    ends later in both; what it covers anew counts. For each run and each of its places in the template the best chain
+    that ends there is kept, the later start of equal ones, until ``gap`` has passed. Of all chains the one that covers most is taken (the
+    shorter, then the earlier of equal ones), then the next that doesn't overlap one that was taken, and so on.
+    """
+    alive: list[tuple[int, int, int, int]] = []  # end in the text, place, covered, start
+    chains: list[tuple[int, int, int]] = []
+    for start, n, ends in sorted(runs, key=lambda r: (r[0] + r[1], r[0])):
+        end = start + n
+        alive = [x for x in alive if start - x[0] <= gap]  # starts and ends of maximal runs grow together
+        new = []
+        for place in ends:
+            best = (n, start)
+            for stop, before, covered, first in alive:
+                fresh = min(n, end - max(start, stop), place - before)
+                if fresh > 0 and place - before <= gap + n:
+                    best = max(best, (covered + fresh, first))
+            new.append((end, place, *best))
+        alive += new
+        chains.append((max((c, s) for _, _, c, s in new)[1], end, max(c for _, _, c, _ in new)))
+    taken: list[tuple[int, int, int]] = []
+    for start, end, covered in sorted(chains, key=lambda c: (-c[2], c[1] - c[0], c[0])):
+        if all(end <= s or e <= start for s, e, _ in taken):
+            taken.append((start, end, covered))
+    return sorted(taken)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, least: int = 5, gap: int = 6, share: float = 0.6) -> DataFrame:
@@ -176,7 +219,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     ``least``: words of a match; ``gap``: words that may stand between two matches of a span; ``share``: of a template
     that a span covers. One row for each row of ``docs``; a null or empty text has no words, places or spans. Null ids
     and repeated rows stay as they are, further columns aren't read, an empty table gives an empty result. Overlapping
-    spans of several templates are all returned, in the order of start, end and label.
+    spans of several templates are all returned, in the order of start, end, label and size.
     """
     text_batches(docs.sparkSession)
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates

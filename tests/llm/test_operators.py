@@ -121,19 +121,63 @@ def test_licence_chain_from_any_place_of_a_repeated_passage():
 
 
 def test_automaton_against_all_runs():
+    """Each template's own maximal runs, by comparing every run of the text with every template."""
     r = random.Random(1)
-    for _ in range(60):
+    for _ in range(150):
         seqs = [[r.randrange(3) for _ in range(r.randrange(1, 12))] for _ in range(3)]
         a = licenses.Automaton(seqs)
+        a.prepare(2)
         text = [r.randrange(4) for _ in range(25)]
-        runs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
-        longest = [max([n for n in range(e + 1) if tuple(text[e - n : e]) in runs or n == 0]) for e in range(len(text) + 1)]
-        want = {(e - longest[e], longest[e]) for e in range(1, len(text) + 1) if longest[e] >= 2 and (e == len(text) or longest[e + 1] <= longest[e])}
+        want = set()
+        for t, seq in enumerate(seqs):
+            runs = {tuple(seq[i:j]) for i in range(len(seq)) for j in range(i, len(seq) + 1)}
+            longest = [max(n for n in range(e + 1) if tuple(text[e - n : e]) in runs) for e in range(len(text) + 1)]
+            want |= {(t, e - longest[e], longest[e]) for e in range(1, len(text) + 1) if longest[e] >= 2 and (e == len(text) or longest[e + 1] != longest[e] + 1)}
         got = a.matches(text, 2)
-        assert {(s, n) for s, n, _ in got} == want
-        for s, n, ends in got:
-            for t, every in ends.items():
-                assert every == [e for e in range(n - 1, len(seqs[t])) if seqs[t][e - n + 1 : e + 1] == text[s : s + n]]
+        assert {(t, s, n) for t, s, n, _ in got} == want and len(got) == len(want)
+        for t, s, n, ends in got:
+            assert sorted(ends) == [e for e in range(n - 1, len(seqs[t])) if seqs[t][e - n + 1 : e + 1] == text[s : s + n]]
+
+
+def test_chains_against_all_chains():
+    """The best chain that ends with each run, by going through all chains; the first one taken covers most of all."""
+    r = random.Random(5)
+    for _ in range(300):
+        seq, gap = [r.randrange(4) for _ in range(r.randrange(4, 14))], r.randrange(4)
+        a = licenses.Automaton([seq])
+        a.prepare(2)
+        runs = [(s, n, ends) for _, s, n, ends in a.matches([r.randrange(5) for _ in range(22)], 2)]
+
+        def chains(at, place):
+            s, n, _ = runs[at]
+            yield n, s
+            for k, (s2, n2, ends2) in enumerate(runs):
+                fresh = s + n - max(s, s2 + n2)
+                for before in ends2:
+                    new = min(n, fresh, place - before)
+                    if s2 + n2 < s + n and s - s2 - n2 <= gap and new > 0 and place - before <= gap + n:
+                        yield from ((c + new, first) for c, first in chains(k, before))
+
+        every = [(*max(x for place in ends for x in chains(k, place)), s + n) for k, (s, n, ends) in enumerate(runs)]
+        got = licenses.best_chains(runs, gap)
+        assert bool(got) == bool(runs)
+        want = []
+        for covered, start, end in sorted(every, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if all(end <= s or e <= start for s, e, _ in want):
+                want.append((start, end, covered))
+        assert got == sorted(want)
+
+
+def test_licence_with_a_repeated_line():
+    """A whole licence with five or six of its own words once more somewhere inside is found whole."""
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES, 5, 6, 0.6)
+    r = random.Random(7)
+    for label, text in licenses.TEMPLATES:
+        words = licenses.words_of(text.encode())
+        for _ in range(10 if len(words) >= 20 else 0):
+            k, at, n = r.randrange(len(words) - 6), r.randrange(5, len(words) - 5), r.choice([5, 6])
+            found = scanner.spans(words[:at] + words[k : k + n] + words[at:])
+            assert any(s[0] == label and s[3] == s[4] == len(words) for s in found), (label, at, k)
 
 
 def test_language(spark):
