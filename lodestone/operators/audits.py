@@ -60,12 +60,18 @@ def flagged(rows: DataFrame, rules: dict[str, Column], name: str = "flag") -> Da
     return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(rule, label) for label, rule in rules.items()]))).alias(name))
 
 
-def _judged(spark, sf) -> DataFrame:
-    """The formulas with what the nine rules and their routes look at."""
-    f = formulas(spark, sf).withColumns({"pc": parse(F.col("parent_formula")), "bc": parse(F.col("built")), "class": kind(F.col("comp")), "key": norm_key(F.col("comp"))})
+def _judged(spark, sf, broken: bool = False) -> DataFrame:
+    """The formulas with what the nine rules and their routes look at; those that aren't formulas stay, without anything of it.
+
+    ``broken``: a bracket stands before some texts, so that they aren't formulas.
+    """
+    f = formulas(spark, sf)
+    if broken:
+        f = f.withColumn("formula", F.when(F.col("id") % 23 == 0, F.concat(F.lit("("), "formula")).otherwise(F.col("formula"))).withColumn("comp", parse(F.col("formula")))
+    f = f.withColumns({"pc": parse(F.col("parent_formula")), "bc": parse(F.col("built")), "class": kind(F.col("comp")), "key": norm_key(F.col("comp"))})
     f = f.withColumn("limit", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv]), F.col("class")), F.lit(165.0)))
     reports = f.groupBy("key").agg(F.count("*").alias("same"), F.min("tc").alias("lo"), F.max("tc").alias("hi"))  # partial sums; copies of a key never meet
-    return f.join(reports, "key")
+    return f.join(reports.filter("key IS NOT NULL"), "key", "left")
 
 
 def _nine(j: DataFrame) -> dict[str, Column]:
@@ -111,12 +117,13 @@ _JUDGED = f"""r AS (SELECT t.*, c.* EXCLUDE (id), p.cu AS pcu, p.fe AS pfe, p.ra
         WHEN 'E' THEN reports >= 2 AND iqr > greatest(5.0, 0.5 * tc) WHEN 'F' THEN tc = 0 AND hi > 0 WHEN 'D' THEN same >= 2 AND hi - lo > greatest(5.0, 0.3 * hi) + 1e-9 ELSE id % 2 = 0 AND built_err > 0.02 + 1e-9 END)"""
 
 
-@query(f"WITH {_JUDGED} SELECT id, flag FROM f")
+@query(f"WITH {_JUDGED.replace(f'FROM {_ROWS} t JOIN', f'FROM (SELECT * FROM {_ROWS} WHERE id % 23 > 0) t JOIN', 1)} SELECT id, flag FROM f UNION ALL SELECT p_partkey, 'A:unparseable' FROM part WHERE p_partkey % 23 = 0")
 def audit_nine(spark, sf):
-    """Coefficients (A), class limits (B), oxidation (C), reports that disagree (D, E), negatives with positive reports (F), the
+    """Texts that aren't formulas (A:unparseable, and nothing else of such a row), coefficients (A), class limits (B), oxidation (C), reports that disagree (D, E), negatives with positive reports (F), the
     parent's centre and anions (G), what was built (H) and impossible temperatures (I)."""
-    j = _judged(spark, sf)
-    return flagged(j, _nine(j))
+    j = _judged(spark, sf, broken=True)
+    parsed = F.col("comp").isNotNull()
+    return flagged(j, {"A:unparseable": ~parsed} | {name: parsed & rule for name, rule in _nine(j).items()})
 
 
 _TYPO = f"""(SELECT id, sum(n) FILTER (e = 'Cu') AS cu, sum(n) FILTER (NOT {_in(ANIONS)}) AS cations, coalesce(sum(n) FILTER ({_in(MIXED)}), 0) AS mixed, count(*) FILTER (e <> 'Cu' AND val IS NULL) AS open, -coalesce(sum(n * val) FILTER (e <> 'Cu'), 0) AS charge
@@ -182,7 +189,7 @@ def _near(apart: float, where: str = "true") -> str:
 def audit_doping(spark, sf):
     """Oxidation against temperature (A, B, C, G), equal and nearly equal compositions that disagree (D, F), sources that do (E)."""
     f = formulas(spark, sf).withColumns({"key": norm_key(F.col("comp")), "ox": F.round(oxidation_of(F.col("comp"), "Cu"), 5)})
-    j = f.join(f.groupBy("key").agg(F.count("*").alias("same"), (F.max("tc") - F.min("tc")).alias("spread")), "key")
+    j = f.join(f.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("same"), (F.max("tc") - F.min("tc")).alias("spread")), "key", "left")
     ox, tc = F.col("ox"), F.col("tc")
     oxide = ox.isNotNull() & F.col("formula").contains("O")
     rules = {

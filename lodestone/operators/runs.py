@@ -124,18 +124,36 @@ def argmin_epoch(spark, sf):
     return _epochs(spark, sf).groupBy("run").agg(F.min("val").alias("best_val"), best.alias("best_epoch"), F.count("*").alias("n_epochs"), F.round(gap, 4).alias("gap"))
 
 
-@query(f"""WITH r AS (SELECT run, epoch, val, row_number() OVER w AS i, min(val) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_LOG} WHERE val IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY epoch)),
-    b AS (SELECT *, max(CASE WHEN before IS NULL OR val < before THEN i END) OVER (PARTITION BY run ORDER BY i ROWS UNBOUNDED PRECEDING) AS best FROM r), s AS (SELECT run, min(i) FILTER (i - best >= 8) AS stop, count(*) AS n FROM b GROUP BY 1)
-    SELECT s.run, (stop IS NOT NULL) AS stopped, coalesce(stop, n)::BIGINT AS epochs, min(val) AS best_val FROM s JOIN b ON b.run = s.run AND b.i <= coalesce(stop, n) GROUP BY 1, 2, 3""")
+def stopped(epochs: Column, patience: int, least: float = 1e-6) -> Column:
+    """(stopped, epochs, best, best_epoch) of a run, an array of (epoch, val) in order: an epoch counts as better only where it is below the
+    last one that counted by more than ``least``, so many small gains add up to one; after ``patience`` epochs that don't
+    count, the run ends."""
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("at"), F.lit(0).alias("bad"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+    def step(s: Column, e: Column) -> Column:
+        better = s["best"].isNull() | (e["val"] < s["best"] - least)
+        bad = F.when(better, 0).otherwise(s["bad"] + 1)
+        new = F.struct(F.when(better, e["val"]).otherwise(s["best"]).alias("best"), F.when(better, e["epoch"]).otherwise(s["at"]).alias("at"), bad.alias("bad"), (s["n"] + 1).alias("n"), (bad >= patience).alias("over"))
+        return F.when(s["over"], s).otherwise(new)
+
+    done = lambda s: F.struct(s["over"].alias("stopped"), s["n"].cast("long").alias("epochs"), s["best"].alias("best"), s["at"].alias("best_epoch"))
+    return F.aggregate(epochs, start, step, done)
+
+
+#: Every fifth run gains less than counts in an epoch, but more over many.
+_SLOW = "(SELECT user_id AS run, event_id AS epoch, CASE WHEN event_id % 17 > 0 THEN CASE WHEN user_id % 5 = 0 THEN 50 - event_id * 1e-9::DOUBLE ELSE value END END AS val FROM events)"
+
+
+@query(f"""WITH l AS (SELECT run, list({{'v': val, 'e': epoch::BIGINT, 'bad': 0, 'n': 0, 'over': false}} ORDER BY epoch) AS l FROM {_SLOW} WHERE val IS NOT NULL GROUP BY 1),
+    r AS (SELECT run, list_reduce(list_concat([{{'v': 1e308::DOUBLE, 'e': NULL::BIGINT, 'bad': 0, 'n': 0, 'over': false}}], l), lambda s, x: CASE WHEN s.over THEN s WHEN x.v < s.v - 1e-6 THEN {{'v': x.v, 'e': x.e, 'bad': 0, 'n': s.n + 1, 'over': false}} ELSE {{'v': s.v, 'e': s.e, 'bad': s.bad + 1, 'n': s.n + 1, 'over': s.bad + 1 >= 8}} END) AS s FROM l)
+    SELECT run, s.over AS stopped, s.n::BIGINT AS epochs, s.v AS best_val, s.e AS best_epoch FROM r""")
 def early_stopping(spark, sf, patience: int = 8):
-    """The epoch after which nothing was better for ``patience`` epochs, and the best value until then, as running minima of a run."""
-    w = Window.partitionBy("run").orderBy("epoch")
-    e = _epochs(spark, sf).filter("val IS NOT NULL").withColumns({"i": F.row_number().over(w), "before": F.min("val").over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    better = F.when(F.col("before").isNull() | (F.col("val") < F.col("before")), F.col("i"))
-    e = e.withColumn("best", F.max(better).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("late", F.col("i") - F.col("best") >= patience)
-    e = e.withColumn("over", F.max("late").over(w.rowsBetween(Window.unboundedPreceding, -1)))  # whether an epoch before was the last
-    kept = e.filter(~F.coalesce("over", F.lit(False)))
-    return kept.groupBy("run").agg(F.max("late").alias("stopped"), F.count("*").alias("epochs"), F.min("val").alias("best_val"))
+    """Where each run ends, and the best value and epoch that counted until then. A run's epochs are one row, as many as were trained."""
+    val = F.when(F.col("epoch") % 17 > 0, F.when(F.col("run") % 5 == 0, 50 - F.col("epoch") * F.lit(1e-9)).otherwise(F.col("value")))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").cast("long").alias("epoch"), "value").select("run", "epoch", val.alias("val")).filter("val IS NOT NULL")
+    runs = e.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "val"))).alias("epochs"))
+    s = stopped(F.col("epochs"), patience)
+    return runs.select("run", s.alias("s")).select("run", "s.stopped", "s.epochs", F.col("s.best").alias("best_val"), "s.best_epoch")
 
 
 @query("""WITH e AS (SELECT user_id AS worker, event_id, event_type IN ('error', 'signup') AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), s AS (SELECT *, i - max(CASE WHEN NOT bad THEN i ELSE 0 END) OVER (PARTITION BY worker ORDER BY i ROWS UNBOUNDED PRECEDING) AS strikes FROM e)

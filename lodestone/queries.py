@@ -6,8 +6,8 @@ from lodestone.functions import arrays, chemistry, composition, doping, oxidatio
 from lodestone.operators import aggregates, audits, frameworks, joins, metrics, neighbourhoods, projections, reports, runs, sets, windows
 from lodestone.registry import ORACLE_SQL, QUERIES
 from lodestone.sources import files, harvest, paged
-from lodestone.streaming import telemetry
+from lodestone.streaming import stateful, telemetry
 
 FLAGSHIP = "agg_consensus_label"
-MODULES = (arrays, chemistry, composition, doping, oxidation, spectra, aggregates, audits, frameworks, joins, metrics, neighbourhoods, projections, reports, runs, sets, windows, files, harvest, paged, telemetry)
+MODULES = (arrays, chemistry, composition, doping, oxidation, spectra, aggregates, audits, frameworks, joins, metrics, neighbourhoods, projections, reports, runs, sets, windows, files, harvest, paged, stateful, telemetry)
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]

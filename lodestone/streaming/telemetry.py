@@ -1,68 +1,34 @@
-"""Streaming jobs over files: tumbling aggregates and first-wins deduplication, run until the input is used up."""
+"""Streaming jobs over files: tumbling aggregates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.registry import query, scratch, table
-
-
-def drain(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """Run ``stream`` over all there is; each batch replaces its own folder, so a retried batch isn't counted twice."""
-    out, state = scratch(spark), scratch(spark)
-
-    def save(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/*")
-
+from lodestone.registry import query, table
+from lodestone.streaming.stateful import arrivals
 
 #: The type of an event that only moves the watermark on.
 _END = "__end__"
 
 
-def _events(spark: SparkSession, sf: str, closed: bool = False) -> DataFrame:
-    """The events as a stream over two files in order of time: the table is written to a folder of its own, since the source's
-    folder holds other tables. ``closed``: with an end mark in a third file."""
+def _events(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The events in two parts in order of time, and an end mark two days after the last."""
     own = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path, last = scratch(spark), own.agg(F.max("ts").alias("ts"), F.expr("percentile_approx(unix_micros(ts), 0.5)").alias("half")).first()
-    if last["ts"] is not None:
-        parts = [own.filter(F.unix_micros("ts") <= last["half"]), own.filter(F.coalesce(F.unix_micros("ts") > last["half"], F.lit(True)))]
-        if closed:
-            mark = own.limit(1).select(*[(F.lit(_END) if c == "event_type" else F.lit(last["ts"]) + F.expr("INTERVAL 2 DAYS") if c == "ts" else F.lit(None)).cast(own.schema[c].dataType).alias(c) for c in own.columns])
-            parts.append(mark)
-        for p in parts:
-            p.coalesce(1).write.mode("append").parquet(path)
-    else:
-        own.write.parquet(path)
-    return spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    last = own.agg(F.max("ts").alias("ts"), F.expr("percentile_approx(unix_micros(ts), 0.5)").alias("half")).first()
+    if last["ts"] is None:
+        return [own]
+    mark = own.limit(1).select(*[(F.lit(_END) if c == "event_type" else F.lit(last["ts"]) + F.expr("INTERVAL 2 DAYS") if c == "ts" else F.lit(None)).cast(own.schema[c].dataType).alias(c) for c in own.columns])
+    return [own.filter(F.unix_micros("ts") <= last["half"]), own.filter(F.coalesce(F.unix_micros("ts") > last["half"], F.lit(True))), mark]
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS top FROM events GROUP BY 1, 2")
 def stream_telemetry_tumbling(spark, sf):
     """Hourly windows in append mode: a window is written when the watermark has passed it, and its state goes. An end mark two
     days after the last event closes the windows of a finite input."""
-    e = _events(spark, sf, closed=True).withWatermark("ts", "1 hour")
-    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("top"))
-    return drain(w, spark).filter(F.col("event_type") != _END).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean", "top")
-
-
-@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
-def stream_dedup_first(spark, sf):
-    """The first event of each user and type. Within a batch the smallest event id is taken; across batches the earlier one stays,
-    as what was written is left out of later ones by an anti-join with the table of keys, so no state grows in memory."""
-    out, state = scratch(spark), scratch(spark)
-    stream = _events(spark, sf).select("user_id", "event_type", "event_id")
-
-    def save(df: DataFrame, batch: int) -> None:
-        first = df.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-        if batch:
-            earlier = [f"{out}/batch={k}" for k in range(batch)]
-            first = first.join(spark.read.schema(first.schema).parquet(*earlier), ["user_id", "event_type"], "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    def hourly(events: DataFrame) -> DataFrame:
+        w = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+        return w.agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("top"))
 
-    stream.writeStream.foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/*").select("user_id", "event_type", "event_id")
+    found = arrivals(spark, _events(spark, sf), hourly).filter(F.col("event_type") != _END)
+    return found.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean", "top")
