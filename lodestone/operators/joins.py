@@ -185,39 +185,50 @@ def eval_ids_import(spark, sf):
 
 
 def backfill(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(id, outcome, positions, forces) for each incoming (id, z, coords, force), given existing (id, z, positions, forces).
-
-    ``missing``: no such record; ``skip``: it has forces already; ``fail``: the incoming structure can't be read; ``mismatch``:
-    another number or order of atoms, or a force for another number of them; else ``ok``, and only then is anything attached.
-    A record that stays keeps what it had; a force that wasn't given leaves none.
+    """(id, outcome, positions, lattice, forces, magmom, stress) for each incoming (id, z, coords, lattice, force, magmom, stress),
+    given existing (id, z, positions, lattice, forces, magmom, stress).
+
+    ``missing``: no such record; ``skip``: it has forces already; ``fail``: the incoming structure can't be read or its
+    stress isn't nine numbers; ``mismatch``: another number or order of atoms, or a force for another number of them; else
+    ``ok``, and only then is anything attached: positions and lattice always, forces, moments and stress where they are
+    given, moments only where there is one for each atom. A record keeps what isn't replaced. Images of bonds aren't made
+    again: they are the builder's.
     """
     i, e = incoming.alias("i"), existing.alias("e")
-    j = i.join(e, "id", "left")
     n = F.size("e.z")
     bad = (n != F.size("i.z")) | (F.col("e.z") != F.col("i.z")) | (F.col("i.force").isNotNull() & (F.size("i.force") != n))
-    outcome = F.when(F.col("e.z").isNull(), "missing").when(F.col("e.forces").isNotNull(), "skip").when(F.col("i.coords").isNull(), "fail").when(bad, "mismatch").otherwise("ok")
+    odd = F.col("i.stress").isNotNull() & (F.size("i.stress") != 9)
+    outcome = F.when(F.col("e.z").isNull(), "missing").when(F.col("e.forces").isNotNull(), "skip").when(F.col("i.coords").isNull(), "fail").when(bad, "mismatch").when(odd, "fail").otherwise("ok")
+    j = i.join(e, "id", "left").withColumn("outcome", outcome)
     ok = F.col("outcome") == "ok"
-    j = j.withColumn("outcome", outcome)
-    return j.select("id", "outcome", F.when(ok, F.col("i.coords")).otherwise(F.col("e.positions")).alias("positions"), F.when(ok, F.col("i.force")).otherwise(F.col("e.forces")).alias("forces"))
+    taken = lambda new, old, also=F.lit(True): F.when(ok & F.col(f"i.{new}").isNotNull() & also, F.col(f"i.{new}")).otherwise(F.col(f"e.{old}")).alias(old)
+    each = F.size("i.magmom") == n
+    return j.select("id", "outcome", taken("coords", "positions"), taken("lattice", "lattice"), taken("force", "forces"), taken("magmom", "magmom", each), taken("stress", "stress"))
 
 
 _ATOMS = "(SELECT l_orderkey AS id, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS z, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q FROM lineitem GROUP BY 1)"
 
 
-@query(f"""WITH e AS (SELECT id, z, CASE WHEN id % 6 < 2 THEN q END AS positions, CASE WHEN id % 6 = 0 THEN q END AS forces FROM {_ATOMS} WHERE id % 5 <> 0), i AS (SELECT id, CASE WHEN id % 7 = 0 THEN z[1:len(z) - 1] WHEN id % 11 = 0 THEN list_reverse(z) ELSE z END AS z, CASE WHEN id % 13 > 0 THEN list_transform(q, lambda x: x + 1) END AS coords, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 17 = 0 THEN q[1:1] ELSE q END AS force FROM {_ATOMS}),
-    o AS (SELECT i.id, e.positions AS ep, e.forces AS ef, coords, force, CASE WHEN e.z IS NULL THEN 'missing' WHEN e.forces IS NOT NULL THEN 'skip' WHEN coords IS NULL THEN 'fail' WHEN len(e.z) <> len(i.z) OR e.z <> i.z OR (force IS NOT NULL AND len(force) <> len(e.z)) THEN 'mismatch' ELSE 'ok' END AS outcome FROM i LEFT JOIN e USING (id))
-    SELECT id, outcome, round(list_sum(CASE WHEN outcome = 'ok' THEN coords ELSE ep END), 3) AS positions, round(list_sum(CASE WHEN outcome = 'ok' THEN force ELSE ef END), 3) AS forces FROM o""")
+@query(f"""WITH e AS (SELECT id, z, q, CASE WHEN id % 6 < 2 THEN q END AS positions, CASE WHEN id % 6 = 0 THEN q END AS forces, CASE WHEN id % 4 = 0 THEN q END AS magmom FROM {_ATOMS} WHERE id % 5 <> 0),
+    i AS (SELECT id, q, CASE WHEN id % 7 = 0 THEN z[1:len(z) - 1] WHEN id % 11 = 0 THEN list_reverse(z) ELSE z END AS z, CASE WHEN id % 13 > 0 THEN list_transform(q, lambda x: x + 1) END AS coords, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 17 = 0 THEN q[1:1] ELSE q END AS force,
+        CASE WHEN id % 8 < 3 THEN list_transform(q, lambda x: x / 10) WHEN id % 8 = 3 THEN q[1:1] END AS magmom, CASE WHEN id % 10 < 4 THEN list_transform(range(9), lambda x: x + id % 7) WHEN id % 10 = 4 THEN [1.0, 2.0] END AS stress FROM {_ATOMS}),
+    o AS (SELECT i.id, e.positions AS ep, e.forces AS ef, e.magmom AS em, len(e.z) AS n, coords, force, i.magmom AS im, stress, i.q[1] AS edge,
+        CASE WHEN e.z IS NULL THEN 'missing' WHEN e.forces IS NOT NULL THEN 'skip' WHEN coords IS NULL THEN 'fail' WHEN len(e.z) <> len(i.z) OR e.z <> i.z OR (force IS NOT NULL AND len(force) <> len(e.z)) THEN 'mismatch' WHEN stress IS NOT NULL AND len(stress) <> 9 THEN 'fail' ELSE 'ok' END AS outcome FROM i LEFT JOIN e USING (id))
+    SELECT id, outcome, round(list_sum(CASE WHEN outcome = 'ok' THEN coords ELSE ep END), 3) AS positions, round(list_sum(CASE WHEN outcome = 'ok' THEN coalesce(force, ef) ELSE ef END), 3) AS forces, CASE WHEN outcome = 'ok' THEN round(edge, 3) END AS lattice,
+        round(list_sum(CASE WHEN outcome = 'ok' AND im IS NOT NULL AND len(im) = n THEN im ELSE em END), 3) AS magmom, round(CASE WHEN outcome = 'ok' THEN list_sum(stress)::DOUBLE END, 3) AS stress FROM o""")
 def update_backfill(spark, sf):
-    """Positions and forces attached to the records that were built, from the frames they came from."""
+    """Positions, lattices, forces, moments and stress attached to the records that were built, from the frames they came from."""
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
     atoms = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(rows.alias("r")).select("id", F.col("r.l_partkey").alias("z"), F.col("r.l_quantity").alias("q"))
-    k, q = F.col("id"), F.col("q")
-    existing = atoms.filter("id % 5 <> 0").select("id", "z", F.when(k % 6 < 2, q).alias("positions"), F.when(k % 6 == 0, q).alias("forces"))
+    k, q, none = F.col("id"), F.col("q"), F.lit(None).cast("array<double>")
+    existing = atoms.filter("id % 5 <> 0").select("id", "z", F.when(k % 6 < 2, q).alias("positions"), none.alias("lattice"), F.when(k % 6 == 0, q).alias("forces"), F.when(k % 4 == 0, q).alias("magmom"), none.alias("stress"))
     z = F.when(k % 7 == 0, F.slice("z", F.lit(1), F.size("z") - 1)).when(k % 11 == 0, F.reverse("z")).otherwise(F.col("z"))
     force = F.when(k % 3 == 0, F.lit(None)).when(k % 17 == 0, F.slice("q", 1, 1)).otherwise(q)
-    incoming = atoms.select("id", z.alias("z"), F.when(k % 13 > 0, F.transform("q", lambda x: x + 1)).alias("coords"), force.alias("force"))
+    magmom = F.when(k % 8 < 3, F.transform("q", lambda x: x / 10)).when(k % 8 == 3, F.slice("q", 1, 1))
+    stress = F.when(k % 10 < 4, F.transform(F.sequence(F.lit(0), F.lit(8)), lambda x: (x + k % 7).cast("double"))).when(k % 10 == 4, F.array(F.lit(1.0), F.lit(2.0)))
+    incoming = atoms.select("id", z.alias("z"), F.when(k % 13 > 0, F.transform("q", lambda x: x + 1)).alias("coords"), F.slice("q", 1, 1).alias("lattice"), force.alias("force"), magmom.alias("magmom"), stress.alias("stress"))
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 3).alias(c)
-    return backfill(existing, incoming).select("id", "outcome", total("positions"), total("forces"))
+    return backfill(existing, incoming).select("id", "outcome", *map(total, ("positions", "forces", "lattice", "magmom", "stress")))
 
 
 @query(f"SELECT e AS element, count(*) AS formulas FROM {_PARTS} WHERE e NOT IN ({', '.join(repr(x) for x in VALENCE)}) GROUP BY 1")

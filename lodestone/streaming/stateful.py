@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -96,7 +97,8 @@ def aborts(spark: SparkSession, parts: list[DataFrame], most: int = 25) -> str |
     try:
         arrivals(spark, parts, lambda s: breaker(s, most), own_state=True)
     except StreamingQueryException as e:
-        return next((line.strip() for line in str(e).splitlines() if "times in a row" in line), str(e))
+        found = re.search(r"worker \S+ failed \d+ times in a row at \d+", str(e))
+        return found[0] if found else str(e)
     return None
 
 
