@@ -25,12 +25,21 @@ def global_position(df: DataFrame, order: list[str], name: str = "position", amo
     return dealt.withColumn("__own", own).join(before.drop("__sum"), "__part").withColumn(name, F.col("__own") + F.col("__before")).select(*df.columns, name)
 
 
+#: Different values of all groups up to which a group's may meet in one task.
+FEW = 200_000
+
+
 def rank_counts(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n, below, total): how many rows have the value, a smaller one, and any, in each group. Nulls are left out.
 
-    Equal values are counted before they meet, and places go by ranges: a group may be of any size.
+    Equal values are counted before they meet. Up to ``FEW`` different ones a group is summed up in order; beyond that
+    places go by ranges, with the same result: a group may be of any size.
     """
-    each = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    each = written(df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n")))
+    if each.count() <= FEW:
+        own = Window.partitionBy(group)
+        below = F.coalesce(F.sum("n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return each.select(group, value, "n", below.alias("below"), F.sum("n").over(own).alias("total"))
     at = global_position(each, [group, value], "__before", F.col("n"))
     starts = at.groupBy(group).agg(F.min("__before").alias("__start"), F.sum("n").alias("total"))
     j = at.alias("a").join(starts.alias("s"), F.col(f"a.{group}").eqNullSafe(F.col(f"s.{group}")))
@@ -231,7 +240,7 @@ def grouped_split(groups: DataFrame, ratios: dict[str, float]) -> DataFrame:
         return pd.DataFrame([(pdf["family"].iloc[0], *x) for x in found], columns=["family", "n", "low", "high", "turns"])
 
     table_of = sizes.groupBy("family").applyInPandas(runs, "family string, n long, low long, high long, turns array<string>").join(sizes, ["family", "n"])
-    j = at.join(F.broadcast(table_of), ["family", "n"]).withColumn("rank", F.col("__at") - F.col("start")).filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    j = at.join(table_of, ["family", "n"]).withColumn("rank", F.col("__at") - F.col("start")).filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     turn = ((F.col("rank") - F.col("low")) % F.size("turns")).cast("int")
     return j.select("family", "grp", "n", F.get("turns", turn).alias("split"))
 
