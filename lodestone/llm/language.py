@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import id_type, text_batches
+from lodestone.llm.common import cut, id_type, text_batches
 
 LENGTHS = (2, 3, 4)
-#: Bounds of the sample that the model is fitted on: languages (the most frequent ones), texts of each, texts of all, and
-#: the characters of such a text; a longer one takes part in the fit with its beginning. Predictions read whole texts.
-LANGUAGES, SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 1024, 300, 8192, 8_000
+#: Bounds of the sample that the model is fitted on: texts of each language, texts of all, and distinct n-grams of them all.
+#: Texts take part whole; beyond the last bound one share of all n-grams, chosen by their hash, stands for them everywhere.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_GRAMS = 300, 8192, 24_000_000
+#: Bounds of the model: n-grams of the landmarks, and weights (one for each of them and language). Beyond them the share gets smaller.
+VOCABULARY, WEIGHTS = 400_000, 8_000_000
 LANDMARKS, RIDGE = 256, 1e-3
 _LETTER = regex.compile(r"\p{L}")
 _BLOCK, _TEXTS, _BYTES = 1 << 20, 32, 1 << 18
@@ -48,6 +50,13 @@ def grams(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(out)) if len(out) > len(LENGTHS) else np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def thinned(codes: np.ndarray, share: float) -> np.ndarray:
+    """Which n-grams are of the ``share`` that stands for all; a smaller share is a part of a larger one."""
+    if share >= 1:
+        return np.ones(len(codes), bool)
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) < np.uint64(int(share * 2**32))
+
+
 def batch_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, n-gram) of the distinct n-grams of each text, sorted; all texts of a lot are sorted at once."""
     rows, found, at = [], [], 0
@@ -74,6 +83,7 @@ class Model:
     vocabulary: np.ndarray  # the landmarks' n-grams, sorted
     weights: np.ndarray  # n-grams x languages: L^T times the coefficients
     bias: np.ndarray
+    share: float = 1.0  # of all n-grams that are looked at
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """texts x languages: for a lot of texts the product of their presence matrix with ``weights``."""
@@ -81,6 +91,9 @@ class Model:
         for lo in range(0, len(texts), _TEXTS):
             lot = texts[lo : lo + _TEXTS]
             row, gram = batch_grams(lot)
+            if self.share < 1:
+                of = thinned(gram, self.share)
+                row, gram = row[of], gram[of]
             at = np.minimum(np.searchsorted(self.vocabulary, gram), len(self.vocabulary) - 1)
             known = self.vocabulary[at] == gram
             presence = np.zeros((len(lot), len(self.vocabulary)))
@@ -101,61 +114,109 @@ def presence_kernel(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.nda
     """Kernel values of n-gram sets, as a product of presence matrices over the columns' n-grams, block by block."""
     vocabulary = np.unique(np.concatenate(columns))
     norm = lambda sets: np.sqrt(np.array([max(len(x), 1) for x in sets]))
+    x_at, y_at = ([np.searchsorted(vocabulary, s)[np.isin(s, vocabulary, assume_unique=True)] for s in sets] for sets in (rows, columns))
     out = np.zeros((len(rows), len(columns)))
-    for at in range(0, len(vocabulary), 1 << 14):
-        part = vocabulary[at : at + (1 << 14)]
-        x, y = (np.array([np.isin(part, s, assume_unique=True) for s in sets], dtype=np.float32) for sets in (rows, columns))
-        out += x @ y.T
+
+    def presence(places: list[np.ndarray], lo: int, n: int) -> np.ndarray:
+        part = np.zeros((len(places), n), np.float32)
+        for k, at in enumerate(places):
+            a, b = np.searchsorted(at, [lo, lo + n])
+            part[k, at[a:b] - lo] = 1
+        return part
+
+    for lo in range(0, len(vocabulary), 1 << 13):
+        n = min(1 << 13, len(vocabulary) - lo)
+        out += presence(x_at, lo, n) @ presence(y_at, lo, n).T
     return out / norm(rows)[:, None] / norm(columns)[None, :]
 
 
-def train(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """``labelled``: (language, text) in any order; sorted here, so the same sample gives the same model."""
-    rows = sorted(set(labelled))
+@dataclass
+class Sample:
+    """(language, n-grams as bytes) of whole texts, of which the n-grams of ``share`` are there."""
+
+    rows: list[tuple[str, bytes]]
+    share: float = 1.0
+
+
+def train(labelled: Sample | list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """``labelled``: a sample, or (language, text) in any order; sorted here, so the same sample gives the same model."""
+    if not isinstance(labelled, Sample):
+        labelled = Sample([(lang, grams(x.encode()).tobytes()) for lang, x in labelled])
+    rows, share = sorted(set(labelled.rows)), labelled.share
     languages = sorted({x for x, _ in rows})
-    sets = [grams(x.encode()) for _, x in rows]
-    by_language = [[k for k, (x, _) in enumerate(rows) if x == lang] for lang in languages]
+    sets = [np.frombuffer(x, np.uint64) for _, x in rows]
+    by_language: dict[str, list[int]] = {}
+    for k, (lang, _) in enumerate(rows):
+        by_language.setdefault(lang, []).append(k)
     each = max(1, landmarks // max(len(languages), 1))
-    chosen = [k for own in by_language for k in own[:: max(1, len(own) // each)][:each] if len(sets[k])]
+    chosen = [k for lang in languages for own in [by_language[lang]] for k in own[:: max(1, len(own) // each)][:each] if len(sets[k])]
     if not chosen:
         return Model(languages, np.zeros(1, np.uint64), np.zeros((1, max(len(languages), 1))), np.zeros(max(len(languages), 1)))
+    chosen = chosen[:: -(-len(chosen) // max(landmarks, 1))]  # more languages than landmarks: those in between have none of their own
+    while (size := len(np.unique(np.concatenate([sets[k] for k in chosen])))) > (most := min(VOCABULARY, max(WEIGHTS // len(languages), 1))):
+        share *= most / size * 0.98
+        sets = [s[thinned(s, share)] for s in sets]
     marks = [sets[k] for k in chosen]
     among, vectors = np.linalg.eigh(presence_kernel(marks, marks))
     keep = among > 1e-8 * among.max()
     root = vectors[:, keep] / np.sqrt(among[keep])  # K^-1/2 on the landmarks' span
     x = presence_kernel(sets, marks) @ root
-    y = np.array([[1.0 if own == lang else -1.0 for lang in languages] for own, _ in rows])
-    balance = np.array([1.0 / len(by_language[languages.index(own)]) for own, _ in rows])[:, None]
-    mean_x, mean_y = (x * balance).sum(0) / balance.sum(), (y * balance).sum(0) / balance.sum()
-    xc, yc = x - mean_x, y - mean_y
-    w = np.linalg.solve((xc * balance).T @ xc + ridge * np.eye(x.shape[1]), (xc * balance).T @ yc)
-    coefficients = root @ w / np.sqrt([[len(s)] for s in marks])
+    of = np.array([languages.index(lang) for lang in by_language for _ in by_language[lang]])
+    order = np.array([k for lang in by_language for k in by_language[lang]])
+    balance = np.array([1.0 / len(by_language[lang]) for lang, _ in rows])[:, None]
+    xc = x - (x * balance).sum(0) / balance.sum()
+    # a target is 1 for its own language and -1 for the others; as the weighted rows sum to zero, sums by language say all
+    sums = np.zeros((len(languages), x.shape[1]))
+    np.add.at(sums, of, (xc * balance)[order])
+    mean_y = np.full(len(languages), 2.0 / len(languages) - 1)
+    w = np.linalg.solve((xc * balance).T @ xc + ridge * np.eye(x.shape[1]), 2 * sums.T)
+    coefficients = root @ w / np.sqrt([[max(len(s), 1)] for s in marks])
     vocabulary = np.unique(np.concatenate(marks))
     weights = np.zeros((len(vocabulary), len(languages)))
     for s, c in zip(marks, coefficients, strict=True):
         weights[np.searchsorted(vocabulary, s)] += c
-    return Model(languages, vocabulary, weights, mean_y - mean_x @ w)
+    return Model(languages, vocabulary, weights, mean_y - (x * balance).sum(0) / balance.sum() @ w, share)
 
 
-def sample(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, languages: int = LANGUAGES, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(language, beginning of a text) of at most ``rows`` different texts of each language, those with the smallest hashes.
+def sample(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, most: int = SAMPLE_GRAMS) -> Sample:
+    """The n-grams of at most ``rows`` different whole texts of each language, those with the smallest hashes.
 
     Copies of a text are one text before any is chosen, so every language with a text takes part, however often or seldom
-    and however long its texts are. Of more than ``languages`` labels the ones with most texts take part. Many languages
-    share ``total`` texts. Only what is chosen reaches the driver, a text with its first ``chars`` characters.
+    and however long its texts are. Many languages share ``total`` texts, one at least for each; of more labels than
+    ``total`` those with most texts take part. The n-grams are taken on the executors; of more than ``most`` a share of about that many,
+    chosen by hash, reaches the driver, and no text does.
     """
+    spark = docs.sparkSession
     own = docs.filter(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     own = own.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    counts = own.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = own.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(total)
     known = [r["lang"] for r in counts.select("lang").collect()]
     if not known:
-        return []
+        return Sample([])
     each = max(1, min(rows, total // len(known)))
     first = Window.partitionBy("lang").orderBy("h")  # every task keeps the smallest ones of its own before rows travel
-    ranked = own.select("lang", "h").filter(F.col("lang").isin(known)).distinct().withColumn("r", F.row_number().over(first))
-    chosen = F.broadcast(ranked.filter(F.col("r") <= each).select("lang", "h"))  # ``total`` rows or one for each language
-    texts = own.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
-    return [(r["lang"], r["text"]) for r in texts.select("lang", "text").collect()]
+    ranked = own.select("lang", "h").join(F.broadcast(counts.select("lang")), "lang", "left_semi").distinct().withColumn("r", F.row_number().over(first))
+    chosen = F.broadcast(ranked.filter(F.col("r") <= each).select("lang", "h"))  # ``total`` rows at most
+    texts = own.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", F.col("text").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [grams(x.as_py()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["lang", "grams"])
+
+    text_batches(spark)
+    lang = T.StructField("lang", docs.schema[lang_col].dataType)
+    sets = cut(texts.mapInArrow(run, T.StructType([lang, T.StructField("grams", T.BinaryType())])))
+    size = sets.agg(F.sum(F.octet_length("grams"))).first()[0] // 8
+    share = min(1.0, most / max(size, 1))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [s[thinned(s, share)].tobytes() for x in b.column(1) for s in [np.frombuffer(x.as_py(), np.uint64)]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], ["lang", "grams"])
+
+    sent = sets if share >= 1 else sets.mapInArrow(part, sets.schema)
+    return Sample([(r["lang"], bytes(r["grams"])) for r in sent.collect()], share)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -167,7 +228,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     text_batches(spark)
     keep = keep or []
-    shared = spark.sparkContext.broadcast(model)  # bounded by the landmarks and the length of the sample's texts
+    shared = spark.sparkContext.broadcast(model)  # bounded by VOCABULARY and WEIGHTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -29,6 +29,8 @@ from lodestone.llm.common import cut, slim_batches
 from lodestone.llm.vectors import classes, matrix
 
 TREES, LEAF_ROWS, SAMPLE_ROWS = 8, 256, 65_536
+#: Components of the sampled vectors, so that long vectors don't fill the driver.
+SAMPLE_NUMBERS = 8_388_608
 #: The recall that the number of leaves is chosen for, and the queries on which it is measured.
 RECALL, TRIALS = 0.93, 256
 #: Vectors of a cell, and queries that visit one copy of it.
@@ -285,7 +287,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
     recall against brute force that this number gave for ``trials`` queries (``recall`` at least). Vectors that are null,
     empty, zero or hold null or non-finite components and rows with a null id take no part; vectors of different lengths
     don't meet. Equal vectors are indexed once and their smallest ids are listed, so nothing is listed twice. The forest
-    is fitted on ``sample_rows`` vectors at most; every vector is indexed. Repeated ids are candidates each; an empty
+    is fitted on ``sample_rows`` vectors and ``SAMPLE_NUMBERS`` components at most; every vector is indexed. Repeated ids are candidates each; an empty
     table gives an empty result; further columns aren't read.
     """
     spark = rows.sparkSession
@@ -295,6 +297,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
     stats = each.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("largest")).collect()  # a row for each dimension
     largest = {r["d"]: r["largest"] for r in stats}
     total = sum(r["n"] for r in stats)
+    sample_rows = min(sample_rows, max(1, SAMPLE_NUMBERS // max(largest, default=1)))
     hashed = F.xxhash64("vector").bitwiseAND((1 << 62) - 1)
     some = each.filter(hashed < int((1 << 62) * min(1.0, sample_rows / max(total, 1)))) if total > sample_rows else each
     sample = [r["vector"] for r in some.select("vector").collect()]

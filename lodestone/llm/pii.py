@@ -23,8 +23,8 @@ from lodestone.llm.common import cut
 KINDS = ["email", "ip", "card", "phone", "term"]
 REACH, DISCLOSURE, SUPPORT = 60, 0.8, 3
 #: Terms up to which the candidates are sent to every executor before the corpus is counted, and documents up to which those
-#: that hold telling terms are sent to where the texts are; more are joined by a shuffle.
-BROADCAST_TERMS, BROADCAST_ROWS = 100_000, 200_000
+#: that hold telling terms, and bytes of these terms, are sent to where the texts are; more are joined by a shuffle.
+BROADCAST_TERMS, BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 200_000, 32_000_000
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 # The patterns' matches, written so that long runs take time in proportion: a match can begin only where its first run
@@ -215,7 +215,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str, keep: list[str], disclos
     small = telling.count() <= BROADCAST_TERMS
     own = words.join(F.broadcast(telling) if small else telling, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))  # at most a document's words
     own = cut(own)
-    if own.count() <= BROADCAST_ROWS:
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("terms", " "))), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
         own = F.broadcast(own)
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(_with_terms(text, F.col("base"), F.col("terms")))
     return found.drop("beside").join(own, "row", "left").select(*names, spans.alias("spans"))

@@ -227,12 +227,26 @@ def test_language_sample(spark):
     rows = [(k, "copied text", "aa") for k in range(6000)] + [(k, f"text number {k}", "bb") for k in range(900)] + [(1, "long " * 9000, "cc"), (2, "long " * 9000 + "x", "cc")]
     rows += [(k, f"t{k}", f"l{k:04d}") for k in range(30)] + [(5, None, "dd"), (6, "", "ee"), (7, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = language.sample(df, F.lit(True))
+    got = language.sample(df, F.lit(True)).rows
     count = lambda x: sum(lang == x for lang, _ in got)
     assert (count("aa"), count("cc"), len(got)) == (1, 2, 1 + 2 + 30 + count("bb")) and count("bb") == 8192 // 33
-    assert max(len(t) for _, t in got) == language.SAMPLE_CHARS
-    assert {lang for lang, _ in language.sample(df, F.lit(True), languages=3)} == {"aa", "bb", "cc"}
-    assert len(language.sample(df, F.lit(True), total=40)) == 33
+    assert {x for lang, x in got if lang == "cc"} == {language.grams(("long " * 9000 + end).encode()).tobytes() for end in ("", "x")}  # whole texts
+    assert {lang for lang, _ in language.sample(df, F.lit(True), total=3).rows} == {"aa", "bb", "cc"}
+    assert len(language.sample(df, F.lit(True), total=40).rows) == 33
+    thin = language.sample(df, F.lit(True), most=2000)
+    assert 0 < thin.share < 1 and sum(len(x) // 8 for _, x in thin.rows) < 3000
+
+
+def test_language_of_many_labels(monkeypatch):
+    """A thousand labels with alphabets of their own stay within the bounds of the model, and so does a small bound."""
+    r = random.Random(9)
+    rows = [(f"l{k:04d}", "".join(chr(0x4E00 + 12 * k + r.randrange(12)) for _ in range(300))) for k in range(1000) for _ in range(2)]
+    model = language.train(rows)
+    assert len(model.languages) == 1000 and model.weights.size <= language.WEIGHTS and model.share < 1
+    monkeypatch.setattr(language, "VOCABULARY", 300)
+    two = [(lang, " ".join(r.choice(words) for _ in range(80))) for lang, words in (("aa", ["tha", "ing", "ou"]), ("bb", ["que", "los", "era"])) for _ in range(40)]
+    small = language.train(two)
+    assert len(small.vocabulary) <= 300 and [small.predict([x.encode()])[0][0] for _, x in two] == [lang for lang, _ in two]
 
 
 def test_language_letters(spark):
