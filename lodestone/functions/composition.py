@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.registry import query, table
+from lodestone.registry import query, table, written
 
 # Formulas with flat subscripts, of which the rows of ``part`` are made here, and what they are doped with.
 BASES = [
@@ -32,6 +33,9 @@ VALENCE = {
     "Co": 9, "Rh": 9, "Ir": 9, "Ni": 10, "Pd": 10, "Pt": 10,
 }
 
+#: Rows, and characters of their keys, up to which a table is sent to every task; larger ones meet their rows by a shuffle.
+SENT, SENT_CHARS = 20_000, 2_000_000
+
 _PAIR = r"([A-Z][a-z]?)([0-9.]*)"
 
 
@@ -97,8 +101,28 @@ def subsets(elements: Column, drop: int = 3, least: int = 2) -> Column:
     return F.array_distinct(F.transform(F.flatten(F.array(*levels)), lambda s: F.array_join(s, "-")))
 
 
-def formulas(spark, sf) -> DataFrame:
-    """(id, formula, comp, plain, parent_formula, tc, built, reports, iqr): a row for each of ``part``, all from its key and size.
+def meet(rows: DataFrame, each: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``each`` (a written table) that has the same keys; nulls are equal.
+
+    Which side is sent isn't left to estimates: ``rows`` never is, and ``each`` is where it was counted to be small.
+    """
+    texts = reduce(lambda a, b: a + b, [F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) for k in keys])
+    n, chars = each.agg(F.count("*"), F.coalesce(F.sum(texts), F.lit(0))).first()
+    right = each.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in each.columns if c not in keys])
+    right = F.broadcast(right) if n <= SENT and chars <= SENT_CHARS else right.hint("merge")
+    return rows.join(right, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), how).drop(*[f"__{k}" for k in keys])
+
+
+def once(rows: DataFrame, keys: list[str], tell: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with what ``tell`` finds for their keys: it gets the different ones and gives any number of rows for each.
+
+    These are written first, or a filter of ``tell`` would be pushed below the distinct and run for every row.
+    """
+    return meet(rows, written(tell(written(rows.select(*keys).distinct()))), keys)
+
+
+def entries(spark, sf) -> DataFrame:
+    """(id, formula, plain, parent_formula, tc, reports, iqr, built): a row for each of ``part``, all from its key and size.
 
     Plain formulas are bases; the others hold a dopant besides. One in seven names another base as its parent.
     """
@@ -109,19 +133,36 @@ def formulas(spark, sf) -> DataFrame:
     parent = of(BASES, k + F.when(k % 7 == 0, 1).otherwise(0))
     tc = F.when(k % 5 == 0, 0.0).otherwise(k * 37 % 1800 / 10.0)
     rows = table(spark, sf, "part").select(k.alias("id"), formula.alias("formula"), (share == 0).alias("plain"), parent.alias("parent_formula"), tc.alias("tc"), (1 + k % 3).alias("reports"), (k % 13).cast("double").alias("iqr"))
-    return rows.withColumn("built", F.when(F.col("id") % 11 == 0, F.col("parent_formula")).otherwise(F.col("formula"))).withColumn("comp", parse(F.col("formula")))
+    return rows.withColumn("built", F.when(F.col("id") % 11 == 0, F.col("parent_formula")).otherwise(F.col("formula")))
+
+
+def formulas(spark, sf) -> DataFrame:
+    """``entries`` with ``comp``, their parsed formula."""
+    return entries(spark, sf).withColumn("comp", parse(F.col("formula")))
+
+
+def told(spark, sf, tell: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, ...): what ``tell`` finds for each formula. It gets (formula, comp), a row for each different one, and keeps ``formula``."""
+    return once(entries(spark, sf).select("id", "formula"), ["formula"], lambda f: tell(f.withColumn("comp", parse(F.col("formula"))))).drop("formula")
 
 
 def parents(spark, sf) -> DataFrame:
     """(parent, pcomp, elements): each plain formula once, under its smallest id, with its sorted elements joined."""
-    each = formulas(spark, sf).filter("plain").groupBy("formula").agg(F.min("id").alias("parent")).withColumn("pcomp", parse(F.col("formula")))
+    each = entries(spark, sf).filter("plain").groupBy("formula").agg(F.min("id").alias("parent")).withColumn("pcomp", parse(F.col("formula")))
     return each.select("parent", "pcomp", chemsys(F.col("pcomp")).alias("elements"))
 
 
-def pairs(spark, sf) -> DataFrame:
-    """(id, comp, parent, pcomp): each formula with the plain ones whose elements are its own without three at most."""
-    keys = formulas(spark, sf).select("id", "comp", F.explode(subsets(F.map_keys("comp"))).alias("elements"))
-    return keys.join(parents(spark, sf), "elements").select("id", "comp", "parent", "pcomp")
+def pairs(spark, sf, tell: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, ...): what ``tell`` finds for each formula and the plain ones whose elements are its own without three at most.
+
+    It gets (formula, comp, parent, pcomp), a row for each pair of different formulas, and keeps ``formula``.
+    """
+
+    def each(f: DataFrame) -> DataFrame:
+        keys = f.select("formula", "comp", F.explode(subsets(F.map_keys("comp"))).alias("elements"))
+        return tell(keys.hint("merge").join(written(parents(spark, sf)), "elements").select("formula", "comp", "parent", "pcomp"))
+
+    return told(spark, sf, each)
 
 
 def _pick(values: list[str], at: str) -> str:
@@ -148,23 +189,24 @@ def _values(t: dict[str, float]) -> str:
 
 @query(f"SELECT id, e AS element, round(n, 6) AS amount FROM {_PARTS}")
 def fn_parse_composition(spark, sf):
-    return formulas(spark, sf).select("id", F.explode("comp").alias("element", "amount")).withColumn("amount", F.round("amount", 6))
+    each = lambda f: f.select("formula", F.explode("comp").alias("element", "amount")).withColumn("amount", F.round("amount", 6))
+    return told(spark, sf, each)
 
 
 @query(f"SELECT id, string_agg(e || printf('%.3f', round(f + 1e-9, 3)), '|' ORDER BY e) AS key FROM {_SHARES} GROUP BY id")
 def fn_norm_key(spark, sf):
-    return formulas(spark, sf).select("id", norm_key(F.col("comp")).alias("key"))
+    return told(spark, sf, lambda f: f.select("formula", norm_key(F.col("comp")).alias("key")))
 
 
 @query(f"SELECT id, string_agg(e, '-' ORDER BY e) AS chemsys FROM {_PARTS} GROUP BY id")
 def fn_chemsys(spark, sf):
-    return formulas(spark, sf).select("id", chemsys(F.col("comp")).alias("chemsys"))
+    return told(spark, sf, lambda f: f.select("formula", chemsys(F.col("comp")).alias("chemsys")))
 
 
 @query(f"SELECT id, CASE WHEN count(val) = count(*) THEN round(sum(n * val) / sum(n), 5) END AS ea FROM {_PARTS} LEFT JOIN {_values(VALENCE)} ON el = e GROUP BY id")
 def fn_valence_per_atom(spark, sf):
     c = F.col("comp")
-    return formulas(spark, sf).select("id", F.round(weighted(c, VALENCE) / whole(c), 5).alias("ea"))
+    return told(spark, sf, lambda f: f.select("formula", F.round(weighted(c, VALENCE) / whole(c), 5).alias("ea")))
 
 
 def _balance(numbers: dict[str, float], strict: bool) -> str:
@@ -176,31 +218,31 @@ def _balance(numbers: dict[str, float], strict: bool) -> str:
 def fn_cu_oxidation(spark, sf):
     """The three balances: two where unknown elements count nothing, and one that is left open by them."""
     of = lambda numbers, missing: F.round(oxidation_of(F.col("comp"), "Cu", numbers, missing), 5)
-    return formulas(spark, sf).select("id", of(OXIDATION, 0.0).alias("short"), of(OXIDATION_LONG, 0.0).alias("long"), of(OXIDATION_STRICT, None).alias("strict"))
+    return told(spark, sf, lambda f: f.select("formula", of(OXIDATION, 0.0).alias("short"), of(OXIDATION_LONG, 0.0).alias("long"), of(OXIDATION_STRICT, None).alias("strict")))
 
 
 @query(f"SELECT id, round(sum(n) FILTER (e = 'O') / nullif(sum(n) FILTER (e <> 'O'), 0), 5) AS ratio FROM {_PARTS} GROUP BY id HAVING count(*) FILTER (e = 'O') > 0")
 def fn_anion_ratio(spark, sf):
     o = amount(F.col("comp"), "O")
-    return formulas(spark, sf).filter(o > 0).select("id", F.round(F.try_divide(o, whole(F.col("comp")) - o), 5).alias("ratio"))
+    return told(spark, sf, lambda f: f.filter(o > 0).select("formula", F.round(F.try_divide(o, whole(F.col("comp")) - o), 5).alias("ratio")))
 
 
 @query(f"SELECT id, round(coalesce((2 * coalesce(sum(n) FILTER (e = 'O'), 0) - 3 * coalesce(sum(n) FILTER (e IN ('La', 'Nd')), 0) - 2 * coalesce(sum(n) FILTER (e = 'Sr'), 0)) / sum(n) FILTER (e = 'Ni'), -1), 5) AS ni FROM {_PARTS} GROUP BY id")
 def fn_ni_valence(spark, sf):
     c = F.col("comp")
     ni = F.try_divide(2 * amount(c, "O") - 3 * (amount(c, "La") + amount(c, "Nd")) - 2 * amount(c, "Sr"), F.nullif(amount(c, "Ni"), F.lit(0.0)))
-    return formulas(spark, sf).select("id", F.round(F.coalesce(ni, F.lit(-1.0)), 5).alias("ni"))
+    return told(spark, sf, lambda f: f.select("formula", F.round(F.coalesce(ni, F.lit(-1.0)), 5).alias("ni")))
 
 
 @query(f"SELECT id, parent AS other, round(sum(abs(fa - fb)), 5) AS l1, round(max(abs(fa - fb)), 5) AS largest FROM {_BOTH} GROUP BY 1, 2")
 def fn_comp_error(spark, sf):
     d = lambda largest: F.round(distance(F.col("comp"), F.col("pcomp"), largest), 5)
-    return pairs(spark, sf).select("id", F.col("parent").alias("other"), d(False).alias("l1"), d(True).alias("largest"))
+    return pairs(spark, sf, lambda p: p.select("formula", F.col("parent").alias("other"), d(False).alias("l1"), d(True).alias("largest")))
 
 
 @query(f"SELECT id, count(*)::INT AS n_subsets FROM (SELECT DISTINCT p.id, m FROM (SELECT id, count(*)::INT AS k FROM {_PARTS} GROUP BY id) p, range(1, 512) r(m) WHERE m < pow(2, k) AND bit_count(m::INT) >= greatest(k - 3, least(k, 2)) AND (bit_count(m::INT) >= 2)) GROUP BY id")
 def fn_subsets(spark, sf):
-    return formulas(spark, sf).select("id", F.size(subsets(F.map_keys("comp"))).alias("n_subsets"))
+    return told(spark, sf, lambda f: f.select("formula", F.size(subsets(F.map_keys("comp"))).alias("n_subsets")))
 
 
 @query("SELECT doc_id, coalesce(nullif(regexp_extract(k, '-MP-(mp-[0-9]+)', 1), ''), k) AS parent, regexp_extract(k, '^(.*?)(?:-(?:MP|ICSD)-.*)?$', 1) AS formula FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE source || '-MP-mp-' || doc_id || '.cif' END AS k FROM documents)")

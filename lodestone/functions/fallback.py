@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.chemistry import _SIMILAR, RARE_EARTHS, SYMBOLS, canonical_set, cation_fit, similarity
-from lodestone.functions.composition import _LIST, _PAIRED, _PARTS, _POOL, chemsys, formulas, parents, subsets, whole
-from lodestone.registry import ORACLE_SQL, query
+from lodestone.functions.composition import _LIST, _PAIRED, _PARTS, _POOL, chemsys, parents, subsets, told, whole
+from lodestone.registry import ORACLE_SQL, query, written
 
 # Anions of the ratio; metals that form solid solutions; how far apart the ratios of a class may be; the share
 # of metal from which something else in it is dilute.
@@ -58,7 +58,7 @@ def candidates(f: DataFrame, pool: DataFrame) -> DataFrame:
     For metals, and metals with something dilute, also the element's own lattice, the majority's first (4, 5). Gated
     parents that match once rare earths are one token, and have one that the target lacks, are ``swapped`` (6 and more).
     """
-    f = f.select("formula", "comp", F.explode(subsets(F.map_keys("comp"))).alias("s"))
+    f = f.select("formula", "comp", F.explode(subsets(F.map_keys("comp"))).alias("s")).hint("merge")
     pool = pool.filter(F.size("pcomp") >= 1)
     key = lambda c: chemsys(F.col(c))
     own = f.join(pool.select("parent", "pcomp", key("pcomp").alias("s")), "s").filter(gate(F.col("comp"), F.col("pcomp")))
@@ -119,10 +119,10 @@ def join_fallback_ranked(spark, sf):
     in its best place. Equal formulas are matched once."""
     from lodestone.operators.windows import top_k
 
-    f = formulas(spark, sf)
-    each = f.groupBy("formula").agg(F.first("comp").alias("comp"))
-    found = candidates(each, parents(spark, sf).select("parent", "pcomp").unionByName(lattices(each)))
-    order = F.struct("step", "second", "third")
-    best = found.groupBy("formula", "parent").agg(F.min(F.struct(order.alias("o"), "swapped")).alias("b")).select("formula", "parent", "b.swapped", "b.o.*")
-    kept = top_k(best, ["formula", "swapped"], ["step", "second", "third", "parent"], 3)
-    return f.select("id", "formula").join(kept, "formula").select("id", "parent", "swapped", "step", F.round("second", 5).alias("second"), "third")
+    def kept(each: DataFrame) -> DataFrame:
+        found = candidates(each, written(parents(spark, sf).select("parent", "pcomp").unionByName(lattices(each))))
+        order = F.struct("step", "second", "third")
+        best = found.groupBy("formula", "parent").agg(F.min(F.struct(order.alias("o"), "swapped")).alias("b")).select("formula", "parent", "b.swapped", "b.o.*")
+        return top_k(best, ["formula", "swapped"], ["step", "second", "third", "parent"], 3)
+
+    return told(spark, sf, kept).select("id", "parent", "swapped", "step", F.round("second", 5).alias("second"), "third")

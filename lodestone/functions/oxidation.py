@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.chemistry import SYMBOLS, place_of
-from lodestone.functions.composition import _BOTH, _PARTS, _ROWS, formulas, pairs
+from lodestone.functions.composition import _BOTH, _PARTS, _ROWS, pairs, told
 from lodestone.registry import query, written
 
 # Common oxidation states of the elements, the usual order of each list kept.
@@ -176,7 +176,7 @@ def assigned(comp: Column, parent: Column, reference: Column) -> Column:
 def with_oxidation(rows: DataFrame) -> DataFrame:
     """``rows`` (id, comp, parent, pcomp) with ``ox``, their assigned oxidation. Equal parents are balanced once."""
     each = written(rows.select("parent", "pcomp").dropDuplicates(["parent"]).select("parent", balance(F.col("pcomp")).alias("reference")))
-    return rows.join(each, "parent").withColumn("ox", assigned(F.col("comp"), F.col("pcomp"), F.col("reference")))
+    return rows.hint("merge").join(each, "parent").withColumn("ox", assigned(F.col("comp"), F.col("pcomp"), F.col("reference")))
 
 def _states(table: dict[str, tuple[int, ...]]) -> str:
     return "(VALUES " + ", ".join(f"('{e}', {s}, {k})" for e, x in table.items() for k, s in enumerate(x)) + ") st(el, s, place)"
@@ -190,9 +190,7 @@ _GUESS = f"""g AS MATERIALIZED (WITH RECURSIVE p AS (SELECT id, e, k, max(k) OVE
 @query(f"WITH {_GUESS} SELECT f.id, g.e AS element, g.charge FROM {_ROWS} f JOIN (SELECT formula, min(id) AS first FROM {_ROWS} GROUP BY formula) u USING (formula) JOIN g ON g.id = u.first")
 def fn_oxidation_balance(spark, sf):
     """Whole charges that balance each formula; those that nothing balances give no row. Equal formulas are searched once."""
-    f = formulas(spark, sf)
-    each = written(f.select("formula", "comp").dropDuplicates(["formula"]).select("formula", balance(F.col("comp")).alias("charges")))
-    return f.select("id", "formula").join(each, "formula").select("id", F.explode("charges").alias("element", "charge"))
+    return told(spark, sf, lambda f: f.select("formula", F.explode(balance(F.col("comp"))).alias("element", "charge")))
 
 def _ladder(column: str, values: dict[str, float]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in values.items()) + " END"
@@ -215,7 +213,11 @@ _ASSIGNED = f"""{_GUESS}, b AS MATERIALIZED (SELECT * FROM {_BOTH}),
     round(CASE WHEN ionic THEN CASE WHEN good IS NOT NULL THEN 0 WHEN first IS NULL THEN charge ELSE charge + fn * (usual - fst) END END, 5) + 0.0 AS imbalance FROM o JOIN x USING (id, parent)""")
 def fn_assign_oxidation(spark, sf):
     """Each element's state in each formula against each of its parents, the metal that takes up the charge, and what stays open."""
-    found = with_oxidation(pairs(spark, sf)).select("id", "parent", F.col("ox.*"))
-    rows = found.select("id", "parent", F.explode("states").alias("element", "state"), "redox", "imbalance", "source", "flipped")
     centre = F.coalesce(F.col("redox") == F.col("element"), F.lit(False))
-    return rows.select("id", "parent", "element", (F.round("state", 5) + 0.0).alias("oxidation"), "source", centre.alias("centre"), F.coalesce("flipped", F.lit(False)).alias("flipped"), (F.round("imbalance", 5) + 0.0).alias("imbalance"))
+
+    def each(p: DataFrame) -> DataFrame:
+        found = with_oxidation(p).select("formula", "parent", F.col("ox.*"))
+        rows = found.select("formula", "parent", F.explode("states").alias("element", "state"), "redox", "imbalance", "source", "flipped")
+        return rows.select("formula", "parent", "element", (F.round("state", 5) + 0.0).alias("oxidation"), "source", centre.alias("centre"), F.coalesce("flipped", F.lit(False)).alias("flipped"), (F.round("imbalance", 5) + 0.0).alias("imbalance"))
+
+    return pairs(spark, sf, each)
