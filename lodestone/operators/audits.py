@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.composition import _PARTS, _PARTS_OF, _ROWS, _SHARES, _balance, OXIDATION, OXIDATION_STRICT, amount, distance, formulas, fractions, norm_key, oxidation_of, parse, whole
+from lodestone.functions.composition import _PARTS, _PARTS_OF, _ROWS, _SHARES, _balance, OXIDATION, OXIDATION_STRICT, amount, distance, entries, fractions, meet, norm_key, once, oxidation_of, parse, whole
 from lodestone.operators.projections import cascade
 from lodestone.registry import query, written
 
@@ -55,9 +55,33 @@ def anion_ratio(comp: Column) -> Column:
     return F.when(F.exists(F.map_keys(comp), lambda e: ~e.isin(ANIONS)), a / (whole(comp) - a))
 
 
-def flagged(rows: DataFrame, rules: dict[str, Column], name: str = "flag") -> DataFrame:
+def flagged(rows: DataFrame, rules: dict[str, Column], name: str = "flag", keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """(id, ``name``): a row for each rule that holds."""
-    return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(rule, label) for label, rule in rules.items()]))).alias(name))
+    return rows.select(*keep, F.explode(F.array_compact(F.array(*[F.when(rule, label) for label, rule in rules.items()]))).alias(name))
+
+
+def _composed(f: DataFrame) -> DataFrame:
+    """What the nine rules and their routes look at in (formula, parent_formula, built) alone, as columns."""
+    f = f.withColumns({"comp": parse(F.col("formula")), "pc": parse(F.col("parent_formula")), "bc": parse(F.col("built"))})
+    f = f.withColumns({"class": kind(F.col("comp")), "key": norm_key(F.col("comp"))})
+    c, p, kinds = F.col("comp"), F.col("pc"), F.col("class")
+    n, top, least = whole(c), F.array_max(F.map_values(c)), F.array_min(F.map_values(fractions(c)))
+    cu, cations = amount(c, "Cu"), F.map_filter("comp", lambda e, _: ~e.isin(ANIONS))
+    balance = oxidation_of(c, "Cu", CHARGES)
+    told = {
+        "parsed": c.isNotNull(),
+        "limit": F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv]), kinds), F.lit(165.0)),
+        "top": top,
+        "huge": (top > 60) | (n > 300),
+        "trace": (least > 0) & (least < 0.005),
+        "charged": (kinds == "cuprate") & ~oxidation_of(c, "Cu", OXIDATION, 0.0).between(1.4 - _EPS, 3.3 + _EPS),
+        "off_centre": F.when(kinds == "cuprate", ~_has(p, "Cu")).when(kinds == "fe-based", ~_has(p, "Fe")).otherwise(False),
+        "ratio_gap": F.abs(anion_ratio(c) - anion_ratio(p)),
+        "built_gap": distance(c, F.col("bc"), True),
+        "typo": (kinds == "cuprate") & (cu >= 0.2 * whole(cations)) & (_amount(c, MIXED) < 0.3 * cu) & ((balance < 0.8) | (balance > 4.0)),
+        "foreign": whole(F.map_filter(cations, lambda e, _: ~F.map_contains_key(F.col("pc"), e))) / F.nullif(whole(cations), F.lit(0.0)),
+    }
+    return f.select("formula", "parent_formula", "built", "class", "key", *[x.alias(k) for k, x in told.items()])
 
 
 def _judged(spark, sf, broken: bool = False) -> DataFrame:
@@ -65,33 +89,29 @@ def _judged(spark, sf, broken: bool = False) -> DataFrame:
 
     ``broken``: a bracket stands before some texts, so that they aren't formulas.
     """
-    f = formulas(spark, sf)
+    f = entries(spark, sf)
     if broken:
-        f = f.withColumn("formula", F.when(F.col("id") % 23 == 0, F.concat(F.lit("("), "formula")).otherwise(F.col("formula"))).withColumn("comp", parse(F.col("formula")))
-    f = f.withColumns({"pc": parse(F.col("parent_formula")), "bc": parse(F.col("built")), "class": kind(F.col("comp")), "key": norm_key(F.col("comp"))})
-    f = f.withColumn("limit", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv]), F.col("class")), F.lit(165.0)))
-    reports = f.groupBy("key").agg(F.count("*").alias("same"), F.min("tc").alias("lo"), F.max("tc").alias("hi"))  # partial sums; copies of a key never meet
-    return f.join(reports.filter("key IS NOT NULL"), "key", "left")
+        f = f.withColumn("formula", F.when(F.col("id") % 23 == 0, F.concat(F.lit("("), "formula")).otherwise(F.col("formula")))
+    f = once(f, ["formula", "parent_formula", "built"], _composed)
+    reports = f.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("same"), F.min("tc").alias("lo"), F.max("tc").alias("hi"))  # partial sums; copies of a key never meet
+    return meet(f, written(reports), ["key"], "left")
 
 
 def _nine(j: DataFrame) -> dict[str, Column]:
-    c, p, tc = F.col("comp"), F.col("pc"), F.col("tc")
-    n, least = whole(c), F.array_min(F.map_values(fractions(c)))
-    cu = oxidation_of(c, "Cu", OXIDATION, 0.0)
-    centre = F.when(F.col("class") == "cuprate", ~_has(p, "Cu")).when(F.col("class") == "fe-based", ~_has(p, "Fe")).otherwise(False)
+    tc = F.col("tc")
     return {
-        "A:huge": (F.array_max(F.map_values(c)) > 60) | (n > 300),
-        "A:trace": (least > 0) & (least < 0.005),
+        "A:huge": F.col("huge"),
+        "A:trace": F.col("trace"),
         "B": tc > F.col("limit"),
         "I:high": tc > 165,
         "I:low": (tc > 0) & (tc < 0.05),
-        "C": (F.col("class") == "cuprate") & ~cu.between(1.4 - _EPS, 3.3 + _EPS),
-        "G:parent": centre,
-        "G:ratio": (F.abs(anion_ratio(c) - anion_ratio(p)) > 0.25 + _EPS) & (F.col("class") != "alloy"),
+        "C": F.col("charged"),
+        "G:parent": F.col("off_centre"),
+        "G:ratio": (F.col("ratio_gap") > 0.25 + _EPS) & (F.col("class") != "alloy"),
         "E": (F.col("reports") >= 2) & (F.col("iqr") > F.greatest(F.lit(5.0), 0.5 * tc)),
         "F": (tc == 0) & (F.col("hi") > 0),
         "D": (F.col("same") >= 2) & (F.col("hi") - F.col("lo") > F.greatest(F.lit(5.0), 0.3 * F.col("hi")) + _EPS),
-        "H": (F.col("id") % 2 == 0) & (distance(c, F.col("bc"), True) > 0.02 + _EPS),
+        "H": (F.col("id") % 2 == 0) & (F.col("built_gap") > 0.02 + _EPS),
     }
 
 
@@ -122,7 +142,7 @@ def audit_nine(spark, sf):
     """Texts that aren't formulas (A:unparseable, and nothing else of such a row), coefficients (A), class limits (B), oxidation (C), reports that disagree (D, E), negatives with positive reports (F), the
     parent's centre and anions (G), what was built (H) and impossible temperatures (I)."""
     j = _judged(spark, sf, broken=True)
-    parsed = F.col("comp").isNotNull()
+    parsed = F.col("parsed")
     return flagged(j, {"A:unparseable": ~parsed} | {name: parsed & rule for name, rule in _nine(j).items()})
 
 
@@ -139,21 +159,17 @@ _NEW = f"(SELECT a.id, sum(a.n) FILTER (p.e IS NULL) / sum(a.n) AS foreign_share
 def audit_classify(spark, sf):
     """Findings that exclude a row and those that somebody must look at; a row with any hard one is hard."""
     j = _judged(spark, sf)
-    nine, c, p, kinds = _nine(j), F.col("comp"), F.col("pc"), F.col("class")
-    cu, cations = amount(c, "Cu"), F.map_filter("comp", lambda e, _: ~e.isin(ANIONS))
-    balance = oxidation_of(c, "Cu", CHARGES)
-    typo = (kinds == "cuprate") & (cu >= 0.2 * whole(cations)) & (_amount(c, MIXED) < 0.3 * cu) & ((balance < 0.8) | (balance > 4.0))
+    nine = _nine(j)
     hard = {
-        "typo: oxidation": typo,
+        "typo: oxidation": F.col("typo"),
         "structure: centre": nine["G:parent"],
-        "structure: class": nine["G:ratio"] & (F.abs(anion_ratio(c) - anion_ratio(p)) > 1 + _EPS),
+        "structure: class": nine["G:ratio"] & (F.col("ratio_gap") > 1 + _EPS),
         "structure: composition": nine["H"],
-        "typo: temperature": nine["B"] & kinds.isin("alloy", "elemental"),
-        "typo: coefficient": nine["A:huge"] & (F.array_max(F.map_values(c)) > 500),
+        "typo: temperature": nine["B"] & F.col("class").isin("alloy", "elemental"),
+        "typo: coefficient": nine["A:huge"] & (F.col("top") > 500),
     }
     found = lambda rules: F.array_compact(F.array(*[F.when(r, n) for n, r in rules.items()]))
-    foreign = whole(F.map_filter(cations, lambda e, _: ~F.map_contains_key(F.col("pc"), e))) / F.nullif(whole(cations), F.lit(0.0))
-    r = j.select("id", found(hard).alias("hard"), found({"label: zero": nine["D"] & (F.col("tc") == 0) & (F.col("hi") > 20)}).alias("review"), foreign.alias("foreign"))
+    r = j.select("id", found(hard).alias("hard"), found({"label: zero": nine["D"] & (F.col("tc") == 0) & (F.col("hi") > 20)}).alias("review"), "foreign")
     late = (F.col("id") % 4 == 0) & (F.size("hard") == 0) & (F.col("foreign") > 0.35 + _EPS)
     reasons = F.array_sort(F.concat("hard", "review", F.when(late, F.array(F.lit("structure: foreign"))).otherwise(F.array().cast("array<string>"))))
     route = F.when((F.size("hard") > 0) | (late & (F.col("foreign") > 0.5)), "hard").otherwise("review")
@@ -161,20 +177,25 @@ def audit_classify(spark, sf):
 
 
 def near_conflicts(rows: DataFrame, apart: float, reach: float = 0.01) -> DataFrame:
-    """(id): rows (id, parent, comp, tc) that have one of the same elements and parent within ``reach`` whose value differs by more than ``apart``.
+    """``rows`` (id, parent, elements, shares, tc and others; see ``placed``) that have one of the same elements and parent within ``reach`` whose value differs by more than ``apart``.
 
     Equal compositions become one row with their lowest and highest value before they meet; others meet in bands of
     their first element's share, so a group is never compared all with all.
     """
-    shares = F.transform(F.array_sort(F.map_entries(fractions(F.col("comp")))), lambda e: F.round(e["value"], 9))
-    own = rows.withColumns({"elements": F.array_join(F.array_sort(F.map_keys("comp")), "-"), "shares": shares})
-    each = written(own.groupBy("parent", "elements", "shares").agg(F.min("tc").alias("lo"), F.max("tc").alias("hi")))
+    each = written(rows.groupBy("parent", "elements", "shares").agg(F.min("tc").alias("lo"), F.max("tc").alias("hi")))
     band = F.floor(F.element_at("shares", 1) / reach)
     left = each.select("parent", "elements", "shares", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     right = each.select("parent", "elements", F.col("shares").alias("other"), band.alias("band"), "lo", "hi")
     gap = F.aggregate(F.zip_with("shares", "other", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
     around = left.join(right, ["parent", "elements", "band"]).filter(gap < reach - _EPS).groupBy("parent", "elements", "shares").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return own.join(around, ["parent", "elements", "shares"]).filter((F.col("tc") - F.col("lo") > apart + _EPS) | (F.col("hi") - F.col("tc") > apart + _EPS)).select("id")
+    near = meet(rows, written(around), ["parent", "elements", "shares"])
+    return near.filter((F.col("tc") - F.col("lo") > apart + _EPS) | (F.col("hi") - F.col("tc") > apart + _EPS)).select(*rows.columns)
+
+
+def placed(comp: Column) -> dict[str, Column]:
+    """The elements of a composition and their rounded shares, by which ``near_conflicts`` compares."""
+    shares = F.transform(F.array_sort(F.map_entries(fractions(comp))), lambda e: F.round(e["value"], 9))
+    return {"elements": F.array_join(F.array_sort(F.map_keys(comp)), "-"), "shares": shares}
 
 
 def _near(apart: float, where: str = "true") -> str:
@@ -188,19 +209,24 @@ def _near(apart: float, where: str = "true") -> str:
     WHEN 'D' THEN same > 1 AND spread > 15 + 1e-9 WHEN 'E' THEN iqr > 10 ELSE oxide AND ox BETWEEN 2.10 - 1e-9 AND 2.35 + 1e-9 AND tc = 0 AND NOT regexp_matches(formula, '{'|'.join(BREAKERS)}') END UNION ALL SELECT id, 'F' FROM {_near(30)}""")
 def audit_doping(spark, sf):
     """Oxidation against temperature (A, B, C, G), equal and nearly equal compositions that disagree (D, F), sources that do (E)."""
-    f = formulas(spark, sf).withColumns({"key": norm_key(F.col("comp")), "ox": F.round(oxidation_of(F.col("comp"), "Cu"), 5)})
-    j = f.join(f.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("same"), (F.max("tc") - F.min("tc")).alias("spread")), "key", "left")
+    def composed(f: DataFrame) -> DataFrame:
+        f = f.withColumn("comp", parse(F.col("formula")))
+        own = {"key": norm_key(F.col("comp")), "ox": F.round(oxidation_of(F.col("comp"), "Cu"), 5), "oxygen": F.col("formula").contains("O"), "breaker": F.col("formula").rlike("|".join(BREAKERS))}
+        return f.withColumns(own | placed(F.col("comp"))).drop("comp")
+
+    f = once(entries(spark, sf), ["formula"], composed)
+    j = meet(f, written(f.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("same"), (F.max("tc") - F.min("tc")).alias("spread"))), ["key"], "left")
     ox, tc = F.col("ox"), F.col("tc")
-    oxide = ox.isNotNull() & F.col("formula").contains("O")
+    oxide = ox.isNotNull() & F.col("oxygen")
     rules = {
         "A": oxide & ox.between(1.98 - _EPS, 2.02 + _EPS) & (tc > 5),
         "B": oxide & ((ox > 2.6 + _EPS) | (ox < 1.7 - _EPS)) & (tc > 10),
         "C": oxide & (ox > 2.35 + _EPS) & (ox < 2.6 - _EPS) & (tc > 20),
         "D": (F.col("same") > 1) & (F.col("spread") > 15 + _EPS),
         "E": F.col("iqr") > 10,
-        "G": oxide & ox.between(2.10 - _EPS, 2.35 + _EPS) & (tc == 0) & ~F.col("formula").rlike("|".join(BREAKERS)),
+        "G": oxide & ox.between(2.10 - _EPS, 2.35 + _EPS) & (tc == 0) & ~F.col("breaker"),
     }
-    near = near_conflicts(f.select("id", F.col("parent_formula").alias("parent"), "comp", "tc"), 30)
+    near = near_conflicts(f.select("id", F.col("parent_formula").alias("parent"), "elements", "shares", "tc"), 30)
     return flagged(j, rules).unionByName(near.select("id", F.lit("F").alias("flag")))
 
 
@@ -231,8 +257,7 @@ _FERRITE = f"""(SELECT id, tc, parent_formula, kinds, ln, ln1, ae, ae1, {', '.jo
 def audit_ferrite(spark, sf):
     """Exact parents with a temperature (FA), temperatures over a frame's ceiling (FB), nearly equal ones that disagree (FF), zeros
     in the window where doping works (FG)."""
-    f = formulas(spark, sf).filter(_has(F.col("comp"), "Fe")).withColumn("frame", frame(F.col("comp")))
-    c, tc, kind_of = F.col("comp"), F.col("tc"), F.col("frame")
+    c, kind_of = F.col("comp"), F.col("frame")
     n = lambda e: amount(c, e)
     one = lambda names: (F.size(F.map_filter(c, lambda e, _: e.isin(names))) == 1) & (_amount(c, names) == 1)
     exact = ((kind_of == "1111") & one(LANTHANOIDS) & (n("Fe") == 1) & (n("As") == 1) & (n("O") == 1) & (F.size(c) == 4)) | ((kind_of == "122") & one(EARTHS) & (n("Fe") == 2) & ((n("As") == 2) | (n("P") == 2)) & (F.size(c) == 3))
@@ -243,7 +268,12 @@ def audit_ferrite(spark, sf):
     cobalt = n("Co") * 2.0 / (F.greatest(n("Fe"), tiny) + n("Co") + n("Ni"))
     chalcogens = n("Se") + n("Te")
     window = F.when(kind_of == "1111", light & within(n("F") / F.greatest(n("O") + n("F"), tiny), 0.08, 0.30)).when(kind_of == "122", (within(potassium, 0.25, 0.55) & light) | within(cobalt, 0.05, 0.15)).when(kind_of == "11", light & (chalcogens > 0) & within(F.try_divide(n("Te"), chalcogens), 0.35, 0.65)).otherwise(False)
-    rules = {"FA": exact & (tc > 5), "FB": tc > ceiling, "FG": window & (tc == 0)}
-    near = near_conflicts(f.select("id", F.col("parent_formula").alias("parent"), "comp", "tc"), 12)
-    every = flagged(f, rules).unionByName(near.select("id", F.lit("FF").alias("flag")))
-    return every.join(f.select("id", "frame"), "id").select("id", "frame", "flag")
+
+    def composed(f: DataFrame) -> DataFrame:
+        f = f.withColumn("comp", parse(F.col("formula"))).filter(_has(c, "Fe")).withColumn("frame", frame(c))
+        return f.withColumns({"exact": exact, "ceiling": ceiling, "window": window} | placed(c)).drop("comp")
+
+    f, tc = once(entries(spark, sf), ["formula"], composed), F.col("tc")
+    rules = {"FA": F.col("exact") & (tc > 5), "FB": tc > F.col("ceiling"), "FG": F.col("window") & (tc == 0)}
+    near = near_conflicts(f.select("id", "frame", F.col("parent_formula").alias("parent"), "elements", "shares", "tc"), 12)
+    return flagged(f, rules, keep=("id", "frame")).unionByName(near.select("id", "frame", F.lit("FF").alias("flag")))

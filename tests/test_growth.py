@@ -28,3 +28,9 @@ def test_either_way_of_meeting(spark, monkeypatch):
     large = composition.once(rows, ["f", "p"], tell)
     assert "BroadcastHashJoin" not in plan(large)
     assert sorted(map(str, large.collect())) == small and len(small) == 8
+
+
+@pytest.mark.parametrize("name", ["audit_nine", "audit_classify", "audit_doping", "audit_ferrite"])
+def test_audits_judge_compositions_once(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "BuildLeft" not in text and "regexp_extract_all" not in text
