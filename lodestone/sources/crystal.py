@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,15 @@ _SITES = pa.list_(pa.struct([("label", pa.string()), ("element", pa.string()), (
 def tokens(text: str) -> Iterator[tuple[str, bool]]:
     """(value, whether it was quoted) of a CIF text: bare words, quoted strings and text fields; comments go."""
     for m in _TOKEN.finditer(text):
-        if m.lastgroup:
-            yield m[m.lastgroup], m.lastgroup != "bare"
+        if kind := m.lastgroup:
+            yield m[kind], kind != "bare"
+
+
+@lru_cache(1 << 14)
+def element_of(name: str) -> str | None:
+    """The symbol that a type or a label begins with."""
+    m = re.match(r"[A-Z][a-z]?", name)
+    return m[0] if m else None
 
 
 def loops(text: str) -> Iterator[dict[str, list[str | None]]]:
@@ -58,31 +66,44 @@ def loops(text: str) -> Iterator[dict[str, list[str | None]]]:
     yield from done()
 
 
+@lru_cache(1 << 14)
 def number(value: str | None) -> float | None:
     """A value without its uncertainty in brackets; None where it isn't a number."""
     m = _NUMBER.fullmatch(value or "")
     return float(m[1]) if m else None
 
 
-def sites(text: str | None) -> list[dict] | None:
-    """The sites of the first loop that has some: the element from the type or else the label, one where no occupancy or
+def site_columns(text: str | None) -> dict[str, list] | None:
+    """The columns of the first loop that has sites: the element from the type or else the label, one where no occupancy or
     multiplicity is given. None where there is no such loop."""
     for loop in loops(text or ""):
         if _SITE["label"] in loop or _SITE["type"] in loop:
             n = len(next(iter(loop.values())))
             of = {k: loop.get(t, [None] * n) for k, t in _SITE.items()}
-            out = []
-            for k in range(n):
-                label, kind = of["label"][k], of["type"][k]
-                element = re.match(r"[A-Z][a-z]?", kind or label or "")
-                occupancy, times = number(of["occupancy"][k]), number(of["multiplicity"][k])
-                out.append(
-                    {"label": label, "element": element[0] if element else None, **{c: number(of[c][k]) for c in "xyz"}, "occupancy": 1.0 if occupancy is None else occupancy, "multiplicity": 1 if times is None else int(times)}
-                )
-            return out
+            numbers = {k: list(map(number, of[k])) for k in ("x", "y", "z", "occupancy", "multiplicity")}
+            return {
+                "label": of["label"], "element": [element_of(kind or label or "") for kind, label in zip(of["type"], of["label"], strict=True)], **{c: numbers[c] for c in "xyz"},
+                "occupancy": [1.0 if x is None else x for x in numbers["occupancy"]], "multiplicity": [1 if x is None else int(x) for x in numbers["multiplicity"]],
+            }
     return None
 
 
+def sites(text: str | None) -> list[dict] | None:
+    """``site_columns`` as a row for each site."""
+    found = site_columns(text)
+    return None if found is None else [dict(zip(found, row, strict=True)) for row in zip(*found.values(), strict=True)]
+
+
+def _site_lists(texts: list[str | None]) -> pa.Array:
+    """The sites of each text, put together column by column."""
+    found = [site_columns(x) for x in texts]
+    counts = np.array([0 if x is None else len(x["label"]) for x in found], np.int32)
+    kind = _SITES.value_type
+    columns = [pa.array([v for x in found if x is not None for v in x[f.name]], f.type) for f in kind]
+    ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, fields=list(kind)), type=_SITES, mask=pa.array([x is None for x in found], pa.bool_()))
+
+
 def read_cif_sites(files: DataFrame, text_col: str = "value") -> DataFrame:
     """``files`` with ``sites`` and their ``comp``, the sum of occupancy times multiplicity by element, in place of the text.
 
@@ -93,7 +114,7 @@ def read_cif_sites(files: DataFrame, text_col: str = "value") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([sites(x) for x in b.column(text_col).to_pylist()], _SITES)
+            found = _site_lists(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), found], [*rest, "sites"])
 
     site = "array<struct<label string, element string, x double, y double, z double, occupancy double, multiplicity int>>"
@@ -119,9 +140,10 @@ def scan_cif_sites(spark, sf):
     head = "stray line\ndata_x\n_cell_volume 173.1(2)\nloop_\n_symmetry_equiv_pos_as_xyz\n'x, y, z'\n\nloop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\n_atom_site_occupancy\n_atom_site_symmetry_multiplicity\n"
     text = F.concat(F.lit(head), "body", F.lit("\n_refine_note\n;\nloop_ of words\n;\n"))
     found = read_cif_sites(lines.select("id", text.alias("value")))
-    each = found.select("id", F.explode("sites").alias("s")).groupBy("id", F.col("s.element").alias("element")).agg(F.count("*").alias("sites"), F.round(F.max("s.x"), 6).alias("x"))
-    amounts = found.select("id", F.explode("comp").alias("element", "amount"))
-    return each.join(amounts, ["id", "element"]).select("id", "element", F.round("amount", 6).alias("amount"), "sites", "x")
+    # a text is parsed once: its elements come with their sites, and nothing is joined
+    each = found.select("id", "sites", F.explode("comp").alias("element", "amount"))
+    own = F.filter("sites", lambda s: s["element"] == F.col("element"))
+    return each.select("id", "element", F.round("amount", 6).alias("amount"), F.size(own).cast("long").alias("sites"), F.round(F.array_max(F.transform(own, lambda s: s["x"])), 6).alias("x"))
 
 
 # What a rydberg is in THz and in kelvin, and below how many kelvin a spectrum is smearing.

@@ -34,3 +34,26 @@ def test_either_way_of_meeting(spark, monkeypatch):
 def test_audits_judge_compositions_once(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "BuildLeft" not in text and "regexp_extract_all" not in text
+
+
+def test_angles_and_statistics_travel_as_lines(spark):
+    """One shuffle by structure for the 41 statistics and the angles of a node, and no array functions that are interpreted."""
+    assert plan(QUERIES["agg_descriptors41"](spark, SF)).count("Exchange hashpartitioning") + plan(QUERIES["agg_descriptors41"](spark, SF)).count("REPARTITION_BY_COL") <= 2
+    assert "partial_stddev_pop" not in plan(QUERIES["agg_descriptors41"](spark, SF)).split("Exchange")[1]
+    assert plan(QUERIES["agg_dihedral_node"](spark, SF)).count("Exchange") == 1
+    angles = plan(QUERIES["agg_angle_rbf_mean"](spark, SF))
+    assert "posexplode" not in angles.split("Exchange")[-1]
+    assert "lambda" not in plan(QUERIES["fn_min_image"](spark, SF))
+
+
+def test_site_lists_are_the_sites():
+    from lodestone.sources import crystal
+
+    text = "data_x\nloop_\n_atom_site_label\n_atom_site_fract_x\n_atom_site_occupancy\n'Cu 1' 0.5(2) ?\nO1 . 0.25\n"
+    texts = [text, None, "data_y", text.replace("Cu", "9"), ""]
+    assert crystal._site_lists(texts).to_pylist() == [crystal.sites(x) for x in texts]
+    assert crystal.sites(text)[0] == {"label": "Cu 1", "element": "Cu", "x": 0.5, "y": None, "z": None, "occupancy": 1.0, "multiplicity": 1}
+
+
+def test_cif_texts_are_read_once(spark):
+    assert plan(QUERIES["scan_cif_sites"](spark, SF)).count("MapInArrow") == 1
