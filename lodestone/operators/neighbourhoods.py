@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.composition import _ROWS, _SHARES, chemsys, formulas, fractions
+from lodestone.functions.composition import _ROWS, _SHARES, chemsys, entries, fractions, meet, once, parse
 from lodestone.registry import query, written
 
 #: Distances are compared after rounding to so many digits, so that the order of additions doesn't matter.
@@ -40,6 +40,30 @@ def within(points: DataFrame, reach: float, axes: int = 2) -> DataFrame:
     return left.join(right, ["block", "cell"]).select("block", "a", "b", l1(F.col("va"), F.col("vb")).alias("dist")).filter(F.col("dist") <= reach)
 
 
+def without_own(around: DataFrame, own: DataFrame) -> DataFrame:
+    """(point, own, n, around, low, high): how many of the values around a point (point, value, k) are left once ``own`` (point, own),
+    one of them, is taken out once, their median, and their range.
+
+    What is taken out moves each place behind it by one, so the two values in the middle are read off the running counts: a
+    point's own values never meet all those around it.
+    """
+    by = Window.partitionBy("point").orderBy("value")
+    upto = F.sum("k").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = around.withColumns({"upto": upto, "before": upto - F.col("k"), "next": F.lead("value").over(by), "last": F.lag("value").over(by)})
+    total = around.groupBy("point").agg(F.sum("k").alias("all"))
+    left = F.col("all") - 1
+    places = F.array(*[f(f((left - 1) / 2) + d).cast("long") for f in (F.floor, F.ceil) for d in (0, 1)])
+    at = F.filter(F.array_distinct("places"), lambda p: (p >= F.col("before")) & (p < F.col("upto")))
+    middle = ranked.join(total.select("point", "all", places.alias("places")), "point").select("*", F.explode_outer(at).alias("place"))
+    edge = lambda first: F.max(F.when(F.col("last" if first else "next").isNull(), F.struct("value", "k", F.col("next" if first else "last").alias("other"))))
+    facts = middle.groupBy("point").agg(F.max("all").alias("all"), edge(True).alias("first"), edge(False).alias("end"), F.map_from_entries(F.collect_set(F.when(F.col("place").isNotNull(), F.struct("place", "value")))).alias("of"))
+    starts = ranked.select("point", F.col("value").alias("own"), "before")
+    j = own.join(starts, ["point", "own"]).join(facts, "point").withColumn("n", left).filter("n > 0")
+    value = lambda f: F.try_element_at("of", (f((F.col("n") - 1) / 2) + F.when(f((F.col("n") - 1) / 2) >= F.col("before"), 1).otherwise(0)).cast("long"))
+    end = lambda c: F.when((F.col(c)["value"] == F.col("own")) & (F.col(c)["k"] == 1), F.col(c)["other"]).otherwise(F.col(c)["value"])
+    return j.select("point", "own", "n", ((value(F.floor) + value(F.ceil)) / 2).alias("around"), end("first").alias("low"), end("end").alias("high"))
+
+
 def neighbourhood(rows: DataFrame, reach: float = 0.03, least: int = 3) -> DataFrame:
     """(id, n, around, low, high, nearest, distance, flag) of rows (id, block, vec, value) with ``least`` others within ``reach``.
 
@@ -52,17 +76,15 @@ def neighbourhood(rows: DataFrame, reach: float = 0.03, least: int = 3) -> DataF
     """
     rows = rows.filter(F.col("vec").isNotNull() & F.col("value").isNotNull())
     points = written(rows.groupBy("block", "vec").agg(F.min(F.struct("id", "value")).alias("first")).withColumn("point", F.monotonically_increasing_id()))
-    mine = written(rows.join(points.select("block", "vec", "point", F.col("first.id").alias("first_id")), ["block", "vec"]).select("id", "point", "value", "first_id"))
+    mine = written(meet(rows, points.select("block", "vec", "point", F.col("first.id").alias("first_id")), ["block", "vec"]).select("id", "point", "value", "first_id"))
     near = written(within(points.select("block", "point", "vec"), reach).select("a", "b", "dist"))
     counts = written(mine.groupBy("point", "value").agg(F.count("*").alias("k")))
-    meet = near.join(counts.select(F.col("point").alias("b"), "value", "k"), "b").groupBy("a", "value").agg(F.sum("k").alias("k"))
-    own = counts.select(F.col("point").alias("a"), F.col("value").alias("own"))
-    left = meet.join(own, "a").withColumn("k", F.col("k") - F.when(F.col("value") == F.col("own"), 1).otherwise(0)).filter("k > 0")
-    told = left.groupBy("a", "own").agg(F.sum("k").alias("n"), F.percentile("value", F.lit(0.5), F.col("k")).alias("around"), F.min("value").alias("low"), F.max("value").alias("high")).filter(F.col("n") >= least)
+    around = near.join(counts.select(F.col("point").alias("b"), "value", "k"), "b").groupBy(F.col("a").alias("point"), "value").agg(F.sum("k").alias("k"))
+    told = written(without_own(written(around), counts.select("point", F.col("value").alias("own"))).filter(F.col("n") >= least))
     second = mine.filter("id <> first_id").groupBy("point").agg(F.min("id").alias("second_id"))
     closest = near.filter("a <> b").join(points.select(F.col("point").alias("b"), F.col("first.id").alias("other")), "b").groupBy("a").agg(F.min(F.struct("dist", "other")).alias("c"))
-    j = mine.join(told, (F.col("point") == F.col("a")) & (F.col("value") == F.col("own"))).drop("a", "own")
-    j = j.join(second, "point", "left").join(closest.withColumnRenamed("a", "point"), "point", "left")
+    extra = points.select("point").join(second, "point", "left").join(closest.withColumnRenamed("a", "point"), "point", "left")
+    j = meet(meet(mine, told.withColumnRenamed("own", "value"), ["point", "value"]), written(extra), ["point"])
     same = F.when(F.col("id") == F.col("first_id"), F.col("second_id")).otherwise(F.col("first_id"))
     apart = F.abs(F.col("value") - F.col("around")) > F.greatest(F.lit(10.0), 0.5 * F.greatest("value", "around"))
     kind = F.when((F.col("value") == 0) & (F.col("around") > 10), "zero among high").when((F.col("around") == 0) & (F.col("value") > 10), "high among zeros").otherwise("jump")
@@ -77,7 +99,8 @@ def neighbourhood(rows: DataFrame, reach: float = 0.03, least: int = 3) -> DataF
     SELECT id, n, round(around, 4) AS around, low, high, nearest, round(distance, 6) AS distance, CASE WHEN abs(tc - around) > greatest(10, 0.5 * greatest(tc, around)) THEN CASE WHEN tc = 0 AND around > 10 THEN 'zero among high' WHEN around = 0 AND tc > 10 THEN 'high among zeros' ELSE 'jump' END END AS flag FROM g""")
 def join_band_self(spark, sf):
     """Formulas of a chemical system within 0.03 in L1 of their shares, and whether a temperature fits those around it."""
-    f = formulas(spark, sf)
-    vec = F.transform(F.array_sort(F.map_entries(fractions(F.col("comp")))), lambda e: e["value"])
-    found = neighbourhood(f.select("id", chemsys(F.col("comp")).alias("block"), vec.alias("vec"), F.col("tc").alias("value")))
+    comp = F.col("comp")
+    vec = F.transform(F.array_sort(F.map_entries(fractions(comp))), lambda e: e["value"])
+    f = once(entries(spark, sf).select("id", "formula", F.col("tc").alias("value")), ["formula"], lambda f: f.withColumn("comp", parse(F.col("formula"))).select("formula", chemsys(comp).alias("block"), vec.alias("vec")))
+    found = neighbourhood(f.select("id", "block", "vec", "value"))
     return found.withColumn("around", F.round("around", 4)).withColumn("distance", F.round("distance", 6))

@@ -57,3 +57,24 @@ def test_site_lists_are_the_sites():
 
 def test_cif_texts_are_read_once(spark):
     assert plan(QUERIES["scan_cif_sites"](spark, SF)).count("MapInArrow") == 1
+
+
+def test_values_without_ones_own(spark):
+    """Medians and ranges around a point, against lists; own values never meet all of those around."""
+    import random
+    import statistics
+
+    from lodestone.operators import neighbourhoods
+
+    r = random.Random(5)
+    lists = {p: [r.randrange(8) / 2 for _ in range(r.randint(1, 9))] for p in range(60)}
+    around = spark.createDataFrame([(p, v, x.count(v)) for p, x in lists.items() for v in set(x)], "point long, value double, k long")
+    found = neighbourhoods.without_own(around, around.select("point", F.col("value").alias("own")))
+    want = {}
+    for p, x in lists.items():
+        for v in set(x):
+            rest = list(x)
+            rest.remove(v)
+            if rest:
+                want[p, v] = (len(rest), statistics.median(rest), min(rest), max(rest))
+    assert {(x["point"], x["own"]): (x["n"], x["around"], x["low"], x["high"]) for x in found.collect()} == want
