@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lodestone.registry import query, scratch, table
@@ -16,12 +17,12 @@ from lodestone.registry import query, scratch, table
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def arrivals(spark: SparkSession, parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], own_state: bool = False) -> DataFrame:
+def arrivals(spark: SparkSession, parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], own_state: bool = False, mode: str = "append") -> DataFrame:
     """What the stream ``build(input)`` writes when ``parts`` arrive one after the other in a folder, each as the files it has.
 
     After each arrival the query runs over what is new and stops; its checkpoint carries the state on. A batch replaces
     its own folder, so one that is run again isn't counted twice. ``own_state``: the state is the stream's own and needs a
-    store with columns.
+    store with columns. In ``update`` mode the rows have the number of their ``batch`` too.
     """
     path, out, state = scratch(spark), scratch(spark), scratch(spark)
     schema = parts[0].schema
@@ -38,25 +39,20 @@ def arrivals(spark: SparkSession, parts: list[DataFrame], build: Callable[[DataF
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     for part in parts:
         part.write.mode("append").parquet(path)
-        stream.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    if mode == "update":
+        return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(out)
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
 
 
-class FirstWins(StatefulProcessor):
-    """Passes a key's smallest event of the first batch that has the key; a flag remembers it."""
+def first_wins(spark: SparkSession, parts: list[DataFrame], keys: list[str], value: str) -> DataFrame:
+    """(keys, value): the smallest value of the first batch that has the key; later ones change nothing.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            return
-        least = min(int(x["event_id"].min()) for x in rows)
-        self.seen.update((True,))
-        yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "event_id": [least]})
-
-    def close(self) -> None:
-        pass
+    The state is the stream's own aggregate, summed up where the rows are. A batch gives the keys it touched, and the first
+    that was given for a key stands.
+    """
+    out = arrivals(spark, parts, lambda s: s.groupBy(*keys).agg(F.min(value).alias(value)), own_state=True, mode="update")
+    return out.groupBy(*keys).agg(F.min_by(value, "batch").alias(value))
 
 
 class Breaker(StatefulProcessor):
@@ -110,10 +106,9 @@ def halves(df: DataFrame, by: str = "event_id") -> list[DataFrame]:
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
 def stream_dedup_first(spark, sf):
-    """The first event of each user and type: the smallest id of the batch in which they come first; later ones meet a flag in the state."""
+    """The first event of each user and type: the smallest id of the batch in which they come first; later ones meet a state that has the key."""
     e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    first = lambda s: s.groupBy("user_id", "event_type").transformWithStateInPandas(FirstWins(), "user_id long, event_type string, event_id long", "append", "none")
-    return arrivals(spark, halves(e), first, own_state=True).select("user_id", "event_type", "event_id")
+    return first_wins(spark, halves(e), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
 @query("""WITH e AS (SELECT user_id AS worker, event_id, event_type IN ('error', 'signup') AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), s AS (SELECT *, i - max(CASE WHEN NOT bad THEN i ELSE 0 END) OVER (PARTITION BY worker ORDER BY i ROWS UNBOUNDED PRECEDING) AS strikes FROM e)

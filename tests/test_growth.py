@@ -78,3 +78,13 @@ def test_values_without_ones_own(spark):
             if rest:
                 want[p, v] = (len(rest), statistics.median(rest), min(rest), max(rest))
     assert {(x["point"], x["own"]): (x["n"], x["around"], x["low"], x["high"]) for x in found.collect()} == want
+
+
+def test_first_batch_wins(spark):
+    """The smallest of the first batch stands, though a later batch has a smaller one; no key goes through Python."""
+    from lodestone.streaming import stateful
+
+    rows = [[(1, "a", 5), (1, "a", 4), (2, "b", 9)], [(1, "a", 1), (2, "c", 7), (None, "c", 3)], [(2, "b", 2), (2, "c", 8)]]
+    parts = [spark.createDataFrame(x, "user_id long, event_type string, event_id long") for x in rows]
+    got = stateful.first_wins(spark, parts, ["user_id", "event_type"], "event_id").collect()
+    assert {tuple(x) for x in got} == {(1, "a", 4), (2, "b", 9), (2, "c", 7), (None, "c", 3)} and len(got) == 4
