@@ -5,6 +5,9 @@ Level k counts the k-grams both of whose overlapping (k-1)-grams are frequent; n
 ends, so a k-gram is a pair of neighbouring numbers. Workers count pairs of a batch before anything is shuffled. The
 frequent grams are sent to every worker up to a stated size; beyond it the numbers come by a join. Cuts are scored from
 the level tables.
+
+Rows of numbers are byte strings of bounded length, what is sent are sorted arrays, and workers pass on small batches, so
+that an executor's memory doesn't follow the texts.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +33,10 @@ OFTEN = 1024
 _SLICE, _HELD = 1_000_000, 300_000
 #: Numbers in a row of encoded texts, from which it ends at the next break.
 _ROW = 1024
+#: Words whose numbers a worker keeps at hand, and rows of a batch that it passes on: of encoded texts, and of counts.
+_KEPT, _PASSED_ROWS, _PASSED_COUNTS = 100_000, 256, 16_384
+#: Rows that are read from a table of encoded texts at once.
+_READ_ROWS = 1024
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
 
 
@@ -40,15 +49,34 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _lists(values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+def _kind(count: int) -> type:
+    """Of the numbers below ``count`` in packed rows."""
+    return np.int32 if count < 1 << 31 else np.int64
+
+
+def _packed(ids: np.ndarray, ends: list[int], kind: type) -> pa.Array:
+    """``ids`` up to each of ``ends`` as a byte string."""
+    data = ids.astype(kind)
+    offsets = np.array([0, *ends], np.int32) * np.int32(data.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
 
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of a column of packed ones."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64)
 
-def _rows(ids: np.ndarray) -> pa.RecordBatch:
-    """``ids``, which end with a break, as rows that end with one."""
+
+def _passed(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in small ones; the JVM holds each whole, outside of its heap."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _rows(ids: np.ndarray, kind: type) -> Iterator[pa.RecordBatch]:
+    """``ids``, which end with a break, as packed rows that end with one."""
     breaks = np.flatnonzero(ids < 0) + 1
     ends = np.unique(breaks[np.searchsorted(breaks, [*range(_ROW, len(ids), _ROW), len(ids)])]) if len(breaks) else breaks
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids))], ["ids"])
+    return _passed(pa.RecordBatch.from_arrays([_packed(ids, ends, kind)], ["ids"]), _PASSED_ROWS)
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -57,18 +85,21 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
     def rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, c in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], schema=schema)
+            yield from _passed(pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], schema=schema), _PASSED_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
+        read = 0
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                c = held.setdefault(lang, Counter())
                 for words in tokens(text.as_py()):
-                    c.update(words)
-            if sum(map(len, held.values())) > _HELD:
-                yield from rows(_with_totals(held))
-                held = {}
+                    held.setdefault(lang, Counter()).update(words)
+                    read += len(words)
+                    if read > _HELD // 4:
+                        read = 0
+                        if sum(map(len, held.values())) > _HELD:
+                            yield from rows(_with_totals(held))
+                            held = {}
         yield from rows(_with_totals(held))
 
     return docs.mapInArrow(run, "lang string, word binary, n long")
@@ -101,116 +132,186 @@ def _closed(ids: np.ndarray) -> np.ndarray:
     return ids[known | np.append(False, known[:-1])]
 
 
-def _flat(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False)
+def _key(lang: Column, word: Column) -> Column:
+    """Of a word in its language; words hold no space, so no two have the same one."""
+    return F.concat(F.encode(lang, "UTF-8"), F.lit(b" "), word)
 
 
 def _encoded_words(docs: DataFrame, words: DataFrame, count: int) -> DataFrame:
     """(ids): the numbers of the frequent words of all texts, with breaks."""
-    size = words.agg(F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()[0]
+    keyed, kind = words.select(_key(F.col("lang"), F.col("word")).alias("key"), "n", "gid"), _kind(count)
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()[0]
     if count > SENT_WORDS or size > SENT_BYTES:
-        return _joined_words(docs, words)
-    known: dict[str, dict[bytes, int]] = {}
-    for lang, word, gid in zip(*(c.to_pylist() for c in words.select("lang", "word", "gid").toArrow().columns), strict=True):
-        known.setdefault(lang, {})[word] = gid
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+        return _joined_words(docs, keyed, kind)
+    table = keyed.select("key", "gid").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(_sorted_keys(table.column("key"), table.column("gid").to_numpy().astype(kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[bytes, int]] = {}
+        held: list[tuple[str, list[bytes]]] = []
+        read = 0
         for b in batches:
-            out: list[int | None] = []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                of = sent.value.get(lang, {})
                 for slice_ in tokens(text.as_py()):
-                    out.extend(map(of.get, slice_))
-                out.append(None)
-                if len(out) > _SLICE:
-                    yield encoded(out)
-                    out = []
-            yield encoded(out)
-
-    def encoded(out: list[int | None]) -> pa.RecordBatch:
-        return _rows(_closed(pa.array(out, pa.int64()).fill_null(-1).to_numpy()))
-
-    return docs.mapInArrow(run, "ids array<long>")
+                    held.append((lang, slice_))
+                    read += len(slice_)
+                    if read > _SLICE // 16 and slice_[-1:] == [b"."]:
+                        yield from _rows(encoded(held, known), kind)
+                        held, read = [], 0
+                held.append((lang, [b"."]))
+                if read > _SLICE // 16:
+                    yield from _rows(encoded(held, known), kind)
+                    held, read = [], 0
+        yield from _rows(encoded(held, known), kind)
+
+    def encoded(held: list[tuple[str, list[bytes]]], known: dict[str, dict[bytes, int]]) -> np.ndarray:
+        if sum(map(len, known.values())) > _KEPT:
+            known.clear()
+        met: dict[str, set[bytes]] = {}
+        for lang, words in held:
+            met.setdefault(lang, set()).update(words)
+        for lang, own in met.items():
+            of, before = known.setdefault(lang, {}), lang.encode() + b" "
+            fresh = [*own.difference(of)]
+            of.update(zip(fresh, _numbers(sent.value, [before + w for w in fresh]), strict=True))
+        out: list[int] = []
+        for lang, words in held:
+            out.extend(map(known[lang].__getitem__, words))
+        return _closed(np.array(out, np.int64))
+
+    return docs.mapInArrow(run, "ids binary")
+
+
+def _sorted_keys(keys: pa.ChunkedArray, gids: np.ndarray, seed: int = 0) -> tuple[int, np.ndarray, np.ndarray, pa.Array]:
+    """(seed, hashes in order, their numbers and keys), with a seed that tells all keys apart."""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(np.array([digest(k, seed) for k in c.to_pylist()], np.uint64) for c in keys.chunks)])
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    if (hashes[1:] == hashes[:-1]).any():
+        return _sorted_keys(keys, gids, seed + 1)
+    taken = keys.take(pa.array(order))
+    return seed, hashes, gids[order], pa.concat_arrays([pa.array([], pa.binary()), *taken.chunks])
+
+
+def _numbers(known: tuple[int, np.ndarray, np.ndarray, pa.Array], keys: list[bytes]) -> list[int]:
+    """The number of each key, -1 where it isn't known."""
+    seed, hashes, gids, of = known
+    if not len(hashes) or not keys:
+        return [-1] * len(keys)
+    place = np.minimum(np.searchsorted(hashes, np.array([xxhash.xxh64_intdigest(k, seed) for k in keys], np.uint64)), len(hashes) - 1)
+    same = pc.equal(of.take(pa.array(place)), pa.array(keys, pa.binary())).to_numpy(zero_copy_only=False)
+    return np.where(same, gids[place], -1).tolist()
+
+
+def _lines(words: list[bytes]) -> Iterator[list[bytes]]:
+    """``words`` cut at breaks into lists of bounded length."""
+    at = 0
+    while at < len(words):
+        try:
+            end = words.index(b".", at + _ROW) + 1
+        except ValueError:
+            end = len(words)
+        yield words[at:end]
+        at = end
 
 
-def _joined_words(docs: DataFrame, words: DataFrame) -> DataFrame:
-    key = pa.struct([("lang", pa.string()), ("word", pa.binary())])
+def _joined_words(docs: DataFrame, words: DataFrame, kind: type) -> DataFrame:
+    def rows(lists: list[list[bytes]], places: list[list[int]]) -> pa.RecordBatch:
+        at, ends = np.concatenate([np.array(x, np.int64) for x in places]), np.cumsum([len(x) for x in places])
+        keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array([k for x in lists for k in x], pa.binary()))
+        return pa.RecordBatch.from_arrays([keys, _packed(at, ends, np.int32)], ["keys", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, places = [], []
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for slice_ in tokens(text.as_py()):
-                    place = {w: k for k, w in enumerate(dict.fromkeys(w for w in slice_ if w != b"."))}
-                    at = np.array([*(place.get(w, -1) for w in slice_), -1], np.int64)
-                    keys = pa.array([{"lang": lang, "word": w} for w in place], key)
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), _lists(at)], ["keys", "at"])
+                before = lang.encode() + b" "
+                for line in (x for slice_ in tokens(text.as_py()) for x in _lines(slice_)):
+                    place = {w: k for k, w in enumerate(dict.fromkeys(w for w in line if w != b"."))}
+                    places.append([*(place.get(w, -1) for w in line), -1])
+                    lists.append([before + w for w in place])
+                    if len(lists) == _PASSED_ROWS:
+                        yield rows(lists, places)
+                        lists, places = [], []
+        if lists:
+            yield rows(lists, places)
 
-    return _looked_up(docs.mapInArrow(run, "keys array<struct<lang:string,word:binary>>, at array<long>"), words, ["lang", "word"])
+    return _looked_up(docs.mapInArrow(run, "keys array<binary>, at binary"), words, "key", kind)
 
 
 def _encoded_grams(ids: DataFrame, grams: DataFrame, count: int, below: int) -> DataFrame:
     """(ids) with the numbers of the frequent pairs of neighbours; ``below`` bounds the numbers in ``ids``."""
+    given, kind = _kind(below), _kind(count)
     if count > SENT_GRAMS or below >= 1 << 31:
-        return _joined_grams(ids, grams)
+        return _joined_grams(ids, grams, given, kind)
     table = grams.select("a", "b", "gid").toArrow()
     a, b, gid = (c.to_numpy() for c in table.columns)
     code = a << 32 | b
     order = np.argsort(code)
-    sent = ids.sparkSession.sparkContext.broadcast((code[order], gid[order]))
+    sent = ids.sparkSession.sparkContext.broadcast((code[order], gid[order].astype(kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, gids = sent.value
         for batch in batches:
-            flat = _flat(batch.column(0))
+            flat = _flat(batch.column(0), given)
             out = np.full(len(flat), -1, np.int64)
             at = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
             if len(at) and len(codes):
                 pair = flat[at] << 32 | flat[at + 1]
                 place = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
                 out[at] = np.where(codes[place] == pair, gids[place], -1)
-            yield _rows(_closed(out))
+            yield from _rows(_closed(out), kind)
 
-    return ids.mapInArrow(run, "ids array<long>")
+    return ids.mapInArrow(run, "ids binary")
 
 
-def _joined_grams(ids: DataFrame, grams: DataFrame) -> DataFrame:
+def _joined_grams(ids: DataFrame, grams: DataFrame, given: type, kind: type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = _flat(batch.column(0))
-            at = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
-            (a, b, _), index = _pairs(flat[at], flat[at + 1], with_index=True)
-            out = np.full(len(flat), -1, np.int64)
-            out[at] = index
-            keys = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), _lists(out)], ["keys", "at"])
-
-    return _looked_up(ids.mapInArrow(run, "keys array<struct<a:long,b:long>>, at array<long>"), grams, ["a", "b"])
-
-
-def _looked_up(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+            lists, places = [], []
+            for row in batch.column(0):
+                flat = np.frombuffer(row.as_py(), given).astype(np.int64)
+                at = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+                (a, b, _), index = _pairs(flat[at], flat[at + 1], with_index=True)
+                out = np.full(len(flat), -1, np.int64)
+                out[at] = index
+                lists.append((a, b)), places.append(out)
+            if not lists:
+                continue
+            keys = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*lists, strict=True)], ["a", "b"])
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(a) for a, _ in lists)]), pa.int32()), keys)
+            yield from _passed(pa.RecordBatch.from_arrays([keys, _packed(np.concatenate(places), np.cumsum([len(x) for x in places]), np.int32)], ["keys", "at"]), _PASSED_ROWS)
+
+    rows = ids.mapInArrow(run, "keys array<struct<a:long,b:long>>, at binary")
+    return _looked_up(rows, grams.select(F.struct("a", "b").alias("key"), "n", "gid"), "key", kind)
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, kind: type) -> DataFrame:
     """(ids) of ``rows`` (keys, the different keys of a row; at, which of them stands where) by a join with ``table``.
 
     Keys with 1 / 10,000 of all occurrences or more are 10,000 at most and are sent; the others are shuffled.
     """
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    each = rows.select("row", F.posexplode("keys").alias("d", "k")).select("row", "d", *[F.col(f"k.{c}").alias(c) for c in key])
+    each = rows.select("row", F.posexplode("keys").alias("d", key))
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = F.col("n") > max(OFTEN, total // 10_000)
-    told = each.join(F.broadcast(table.filter(hot).select(*key, "gid")), key, "left")
-    rest = told.filter(F.col("gid").isNull()).drop("gid").join(table.filter(~hot).select(*key, "gid"), key)
+    told = each.join(F.broadcast(table.filter(hot).select(key, "gid")), key, "left")
+    rest = told.filter(F.col("gid").isNull()).drop("gid").join(table.filter(~hot).select(key, "gid"), key)
     found = told.filter(F.col("gid").isNotNull()).select("row", "d", "gid").unionByName(rest.select("row", "d", "gid"))
     found = found.groupBy("row").agg(F.collect_list("d").alias("d"), F.collect_list("gid").alias("gid"))  # at most a row's different keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out = [np.zeros(0, np.int64)]
             for at, d, gid in zip(*b.columns, strict=True):
-                at, d = np.array(at.values), np.array(d.values if d.is_valid else [], np.int64)
-                number = np.full(max([-1, *at[at >= 0], *d]) + 2 if len(at) else 1, -1, np.int64)
+                at, d = np.frombuffer(at.as_py(), np.int32), np.array(d.values if d.is_valid else [], np.int64)
+                number = np.full(max([-1, *at.tolist(), *d.tolist()]) + 2, -1, np.int64)
                 number[d] = np.array(gid.values if gid.is_valid else [], np.int64)
-                yield _rows(_closed(number[at]))  # number[-1] is a break
+                out.append(number[at])  # number[-1] is a break
+            yield from _rows(_closed(np.concatenate(out)), kind)
 
-    return rows.join(found, "row", "left").select("at", "d", "gid").mapInArrow(run, "ids array<long>")
+    return rows.join(found, "row", "left").select("at", "d", "gid").mapInArrow(run, "ids binary")
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, with_index: bool = False):
@@ -230,20 +331,20 @@ def _pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, with_index
     return (out, index) if with_index else out
 
 
-def _pair_counts(ids: DataFrame) -> DataFrame:
+def _pair_counts(ids: DataFrame, kind: type) -> DataFrame:
     """(a, b, n) of neighbouring numbers, not yet summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            flat = _flat(batch.column(0))
+            flat = _flat(batch.column(0), kind)
             ok = (flat[:-1] >= 0) & (flat[1:] >= 0)
             own = _pairs(flat[:-1][ok], flat[1:][ok])
             held = _pairs(*(np.concatenate(x) for x in zip(held, own, strict=True)))
             if len(held[0]) > _HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["a", "b", "n"])
+                yield from _passed(pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["a", "b", "n"]), _PASSED_COUNTS)
                 held = [np.zeros(0, np.int64)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["a", "b", "n"])
+        yield from _passed(pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["a", "b", "n"]), _PASSED_COUNTS)
 
     return ids.mapInArrow(run, "a long, b long, n long")
 
@@ -287,6 +388,9 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, sh
     """
     spark = docs.sparkSession
     text_batches(spark)
+    reads = "spark.sql.parquet.columnarReaderBatchSize"
+    usual = spark.conf.get(reads)
+    spark.conf.set(reads, str(_READ_ROWS))
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counted = cut(_word_counts(own).groupBy("lang", "word").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("word").isNull()))
     totals = counted.filter(F.col("word").isNull()).select("lang", F.col("n").alias("total"))
@@ -296,7 +400,7 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, sh
     ids = cut(_encoded_words(own, words, count))
     levels: list[DataFrame] = []
     for k in range(2, longest + 1):
-        grams, n = _numbered(_pair_counts(ids).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+        grams, n = _numbered(_pair_counts(ids, _kind(count)).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
         below = cut(_level(grams, below))
         levels.append(below)
         if k < longest:
@@ -304,6 +408,7 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, sh
             drop(before)
             count = n
     drop(ids)
+    spark.conf.set(reads, usual)
     kept = []
     for level, longer in zip(levels, [*levels[1:], None], strict=True):
         if longer is not None:

@@ -69,6 +69,37 @@ def test_phrases_of_long_texts_and_slices(spark, said, monkeypatch):
     assert sorted(map(tuple, phrases.mine(df, 7, 5, 40).collect())) == mined(rows, 7, 5, 40)
 
 
+def test_phrase_keys_stay_with_their_rows(spark, monkeypatch):
+    """Beyond what is sent, a row holds the keys of one row of a text, not those of a batch of texts."""
+    r, most, cut = random.Random(3), [], phrases.cut
+    rows = [("en", " ".join(f"w{r.randrange(400)}" + r.choice(["", "", ","]) for _ in range(600))) for _ in range(60)]
+
+    def measured(df):
+        out = cut(df)
+        if "keys" in out.columns:
+            most.append(out.agg(F.max(F.size("keys"))).first()[0])
+        return out
+
+    monkeypatch.setattr(phrases, "cut", measured)
+    monkeypatch.setattr(phrases, "SENT_GRAMS", 2)
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    assert sorted(map(tuple, phrases.mine(df, 3, 3, 50).collect())) == mined(rows, 3, 3, 50)
+    assert most and max(most) <= 1024
+
+
+def test_phrase_tables_that_are_sent():
+    """Known words have their numbers, others -1, those with the hash of a known one too."""
+    import pyarrow as pa
+
+    words = [f"en w{k}".encode() for k in range(50)]
+    known = phrases._sorted_keys(pa.chunked_array([pa.array(words[:20], pa.binary()), pa.array(words[20:], pa.binary())]), np.arange(50, dtype=np.int32))
+    assert phrases._numbers(known, [*words[::-1], b"en x", b"de w1", b"w1"]) == [*range(49, -1, -1), -1, -1, -1]
+    seed, hashes, gids, of = known
+    clash = (seed, hashes, gids, pa.array([b"en other"] * 50, pa.binary()))
+    assert phrases._numbers(clash, words) == [-1] * 50
+    assert phrases._numbers(phrases._sorted_keys(pa.chunked_array([], pa.binary()), np.zeros(0, np.int32)), words[:2]) == [-1, -1]
+
+
 def test_phrase_scores_are_exact(spark):
     a, left, right = 3 * 10**15 + 7, 5 * 10**15 + 1, 10**15 + 3
     level = spark.createDataFrame([("en", bytearray(b"x y"), a, [left], [right])], "lang string, phrase binary, n long, begins array<long>, ends array<long>")
