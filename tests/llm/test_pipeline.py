@@ -140,6 +140,24 @@ def test_stage_on_odd_rows(spark, name, stage):
         assert {1, 2, 3, 4, 5, 6, None} == set(ids)
 
 
+def test_rows_without_ids_or_with_repeated_ones(spark):
+    """Copies go and repeated passages are cut whether or not a row has an id of its own."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    word = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(1, word("a", 99)), (9, word("a", 99)), (None, word("a", 99)), (2, word("b", 99)), (2, word("b", 99)), (None, word("c", 99)), (None, word("c", 99)), (2, word("a", 98)), (7, word("d", 99)), (7, word("e", 99))]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], shape).repartition(3)
+    got = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (2, "b"), (None, "c"), (7, "d"), (7, "e")], key=str)
+
+    passage = word("p", 60)
+    for low in ([(-5, f"x {passage} y")], []):
+        rows = [*low, (None, f"u {passage} v"), (None, f"s {passage} t")]
+        docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], shape)
+        got = corpus_pipeline.drop_repeated_passages(spark, docs, SF).collect()
+        assert len(got) == len(rows) and sum(passage in r["text"] for r in got) == 1
+        assert sum(r["doc_id"] is None for r in got) == 2 and all(passage in r["text"] for r in got if r["doc_id"] is not None)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stage_on_nothing(spark, name, stage):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
